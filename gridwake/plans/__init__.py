@@ -1,6 +1,6 @@
 """The registered queries and their SQL forms."""
 
-from . import series  # noqa: F401
+from . import relational, search, series  # noqa: F401
 from .base import REGISTRY
 
 __all__ = ["REGISTRY"]

@@ -15,7 +15,7 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 def canonical(frame: pd.DataFrame) -> list[str]:
     def cell(x):
-        if x is None or x is pd.NaT or isinstance(x, float) and math.isnan(x):
+        if x is None or x is pd.NA or x is pd.NaT or isinstance(x, float) and math.isnan(x):
             return "null"
         if isinstance(x, bool) or type(x).__name__ == "bool_":
             return str(bool(x)).lower()
