@@ -78,5 +78,49 @@ def queries() -> dict:
     return {f.__name__: f for f in every} | {"pipeline": pipeline}
 
 
+_WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
+
+OP1_SQL = rf"""with w as (select doc_id, {_WORDS} as ws from documents),
+win as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w)),
+f as (select g, min(doc_id) as d from win group by 1),
+gone as (select distinct doc_id, i + k as p from win join f using (g), range(13) t(k) where d < doc_id),
+pos as (select doc_id, unnest(range(1, len(ws) + 1)) as p, unnest(ws) as word from w),
+kept as (select doc_id, string_agg(word, ' ' order by p) as text, count(*) as n from pos anti join gone using (doc_id, p) group by 1)
+select w.doc_id, len(ws) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(text, '')) as kept_sha256 from w left join kept using (doc_id)"""
+
+OP7_SQL = rf"""with w as (select doc_id, source, coalesce(text, '') as text, {_WORDS} as ws from documents),
+win as (select doc_id, i, array_to_string(ws[i:i + 4], ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as i from w)),
+again as (select doc_id, g from win group by 1, 2 having count(*) > 1),
+rep as (select doc_id, count(distinct i + k) as n from win join again using (doc_id, g), range(5) t(k) group by 1),
+lines as (select doc_id, unnest(string_split(text, chr(10))) as line from w),
+dup as (select doc_id, count(*) - count(distinct line) as n from lines where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1),
+s as (select doc_id, source, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, coalesce(dup.n, 0) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words from w left join dup using (doc_id) left join rep using (doc_id)),
+b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from s),
+h as (select source, count(*) as n, count(*) filter (where base_failed) as fails from b group by 1),
+m as (select sum(fails) / sum(n) as mean, var_pop(fails / n) as var, avg(1.0 / n) as noise, sum(n) as total from h),
+q as (select mean, least(case when var - mean * (1 - mean) * noise > 0 then greatest(mean * (1 - mean) / (var - mean * (1 - mean) * noise) - 1, 1.0) else total end, total) as weight from m),
+bad as (select source from h, q where (fails + case when mean > 0 and mean < 1 then mean * weight else 0.5 end) / (n + case when mean > 0 and mean < 1 then weight else 1.0 end) > {hosts.MOST_FAILED})
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not exists (select 1 from bad where bad.source is not distinct from b.source) as kept from b"""
+
+
+def _op9_sql() -> str:
+    margins = ("source", "lang", "topic")
+    parts = [
+        rf"d as (select doc_id, coalesce(source, '{mixing.NONE}') as source, coalesce(lang, '{mixing.NONE}') as lang, coalesce(cast(label as varchar), '{mixing.NONE}') as topic, len({_WORDS}) as tokens from documents left join (select vec_id, min(label) as label from embeddings group by 1) on vec_id = doc_id)",
+        "c0 as (select source, lang, topic, sum(tokens) as tokens, cast(sum(tokens) as double) as weight from d group by 1, 2, 3)",
+        "whole as (select sum(tokens) as total from d)",
+    ]
+    for m in margins:
+        parts.append(f"goal_{m} as (select {m}, pow(t, {mixing.TEMPER}) / sum(pow(t, {mixing.TEMPER})) over () as share from (select {m}, cast(sum(tokens) as double) as t from d group by 1 having sum(tokens) > 0))")
+    for i in range(3 * mixing.ROUNDS):
+        m = margins[i % 3]
+        parts.append(f"c{i + 1} as (select c{i}.source, c{i}.lang, c{i}.topic, tokens, weight * coalesce(share * total / nullif(sum(weight) over (partition by c{i}.{m}), 0), 0) as weight from c{i} left join goal_{m} using ({m}), whole)")
+    last = f"c{3 * mixing.ROUNDS}"
+    parts.append(f"r as (select source, lang, topic, weight / nullif(tokens, 0) as rate from {last})")
+    parts.append(f"t as (select least(max(rate), {mixing.MOST_RATE}) as scale from r)")
+    parts.append("p as (select doc_id, tokens, topic, least(1.0, coalesce(rate / scale, 1.0)) as probability from d join r using (source, lang, topic), t)")
+    return "with " + ",\n".join(parts) + f"\nselect doc_id, tokens, topic, round(probability, 9) as probability, cast('0x' || substr(md5('0:' || doc_id), 1, 13) as ubigint) / {mixing._STEPS}.0 < probability as kept from p"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_substring_dedup": OP1_SQL, "op7_host_rules": OP7_SQL, "op9_mixing": _op9_sql()}

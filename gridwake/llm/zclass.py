@@ -1,8 +1,10 @@
 """Quality classification by compression.
 
 Two zstandard dictionaries are built from good and from bad labelled texts. A text that is like the good
-ones compresses better with the first; the difference of its two compressed sizes, divided by its own size,
-is turned into the probability of label 1 by a logistic fit on labelled texts that are in neither dictionary.
+ones compresses better with the first. The difference of its two compressed sizes over its own size is
+turned into the probability of label 1 by a logistic fit on labelled texts that are in neither dictionary.
+The fit also sees the normalised size itself and the text's length, since the same difference says more
+about a text that hardly compresses, or a long one.
 """
 
 from __future__ import annotations
@@ -25,15 +27,16 @@ LEVEL = 3
 class Classifier(NamedTuple):
     good: bytes
     bad: bytes
-    slope: float
-    offset: float
+    mean: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray
 
     def scorer(self):
         """A function from a text to its score; build it once for many texts."""
         sizes = _sizer(self.good), _sizer(self.bad)
 
         def score(text: str | None) -> float:
-            return float(1 / (1 + np.exp(-np.clip(self.slope * difference(sizes, text) + self.offset, -30, 30))))
+            return float(_chance(_features(np.array([measures(sizes, text)]), self.mean, self.scale) @ self.weights)[0])
 
         return score
 
@@ -46,10 +49,22 @@ def _sizer(dictionary: bytes):
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_dict_id=False).compress
 
 
-def difference(sizes, text: str | None) -> float:
+def measures(sizes, text: str | None) -> tuple[float, float, float]:
+    """Difference of the compressed sizes and the size with the good dictionary, both over the text's, and its log length."""
     data = (text or "").encode("utf-8", "replace")
-    good, bad = len(sizes[0](data)), len(sizes[1](data))
-    return (bad - good) / (len(data) + 1)
+    good, bad, n = len(sizes[0](data)), len(sizes[1](data)), len(data) + 1
+    return (bad - good) / n, good / n, float(np.log(n))
+
+
+def _features(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Measures in standard units, their products, and a one."""
+    x = np.clip((x - mean) / scale, -6, 6)
+    pairs = [x[:, i] * x[:, j] for i in range(x.shape[1]) for j in range(i, x.shape[1])]
+    return np.column_stack([x, *pairs, np.ones(len(x))])
+
+
+def _chance(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
@@ -60,17 +75,16 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"".join(texts)[-DICTIONARY:]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by Newton's method, with a small penalty that keeps them finite."""
-    w, features = np.zeros(2), np.c_[x, np.ones(len(x))]
-    penalty = np.diag([1e-3, 1e-3])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
-        step = np.linalg.solve(features.T @ (features * (p * (1 - p))[:, None]) + penalty, features.T @ (p - y) + penalty @ w)
+def _logistic(features: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> np.ndarray:
+    """Weights by Newton's method, with a small penalty that keeps them finite."""
+    w, ridge = np.zeros(features.shape[1]), penalty * np.eye(features.shape[1])
+    for _ in range(60):
+        p = _chance(features @ w)
+        step = np.linalg.solve(features.T @ (features * (p * (1 - p))[:, None]) + ridge, features.T @ (p - y) + ridge @ w)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0]), float(w[1])
+    return w
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = ROWS) -> Classifier:
@@ -95,17 +109,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             size[row["y"]] += len(data)
     share = (all_counts.get(1, 0) + 0.5) / (sum(all_counts.values()) + 1)
     if min(map(len, found.values())) < 3:
-        return Classifier(b"", b"", 0.0, float(np.log(share / (1 - share))))
+        return Classifier(b"", b"", np.zeros(3), np.ones(3), np.r_[np.zeros(9), np.log(share / (1 - share))])
     built = {y: [t for i, t in enumerate(found[y]) if i % 3] for y in found}
     tuned = {y: [t for i, t in enumerate(found[y]) if not i % 3] for y in found}
     good, bad = _dictionary(built[1]), _dictionary(built[0])
     sizes = _sizer(good), _sizer(bad)
-    x = np.array([difference(sizes, t.decode("utf-8", "replace")) for y in (0, 1) for t in tuned[y]])
+    x = np.array([measures(sizes, t.decode("utf-8", "replace")) for y in (0, 1) for t in tuned[y]])
     y = np.repeat([0.0, 1.0], [len(tuned[0]), len(tuned[1])])
-    slope, offset = _logistic(x, y)
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    weights = _logistic(_features(x, mean, scale), y)
     sampled = len(tuned[1]) / len(y)
-    offset += np.log(share / (1 - share)) - np.log(sampled / (1 - sampled))
-    return Classifier(good, bad, slope, float(offset))
+    weights[-1] += np.log(share / (1 - share)) - np.log(sampled / (1 - sampled))
+    return Classifier(good, bad, mean, scale, weights)
 
 
 def scored(docs: DataFrame, model: Classifier, text_col: str = "text", others: dict[str, str | Column] | None = None) -> DataFrame:
