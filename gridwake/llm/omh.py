@@ -7,9 +7,11 @@ sketch are candidates. A pair is near if an alignment of the two k-mer sequences
 the threshold allows, matches m of them with m / (n1 + n2 - m) of at least 0.8.
 
 Classes are the components of the near pairs. Texts with the same words are one node. In a group that
-shares a sketch, pairs are not all formed: members are compared with pivots, one at first and then twice as
-many each round, and only where their components still differ. A group is done when it is one component or
-each member was a pivot, so no pair that could join two components is left out.
+shares a sketch, pairs are not all formed: members are compared with pivots, the one with most companions
+first and then eight times as many each round, and only where their components still differ. A group is done
+when it is one component or each member was a pivot, so no pair that could join two components is left out.
+Pairs whose k-mers differ too much are turned away by the parities of their k-mers' counts in 1024 buckets:
+as many parities differ as k-mers do at most, so this never turns away a near pair.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,6 +32,8 @@ from .text import Words, buffers, find_words, mix, powers, slices, span_hashes,
 K, TAKEN, SKETCHES, NEAR = 5, 4, 24, 0.8
 
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, (2, 256), dtype=np.uint64) | np.uint64(1)
+#: Parity bits of a text, as so many longs.
+LONGS = 16
 #: K-mers of a text that are expected to pass the first cut for a sketch; of TAKEN needed.
 _PASS = 8 * TAKEN
 
@@ -56,11 +60,10 @@ def labelled(value: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return mix(value + count * _SEEDS[0, 255])
 
 
-def sketches(value: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
-    """SKETCHES numbers for each document (0 for one without k-mers)."""
+def sketches(label: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """SKETCHES numbers for each document (0 for one without k-mers) from its labelled k-mers."""
     out = np.zeros((n_docs, SKETCHES), np.int64)
     size = np.bincount(doc, minlength=n_docs)
-    label = labelled(value, doc)
     share = np.minimum(_PASS / np.maximum(size, 1), 0.999999)
     limit = np.where(size <= 2 * _PASS, np.iinfo(np.uint64).max, (share * 2.0**64).astype(np.uint64))
     for i in range(SKETCHES):
@@ -75,6 +78,20 @@ def sketches(value: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
     return out
 
 
+def parities(label: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """LONGS numbers for each document: whether an odd number of its labelled k-mers falls into each bucket."""
+    bits = 64 * LONGS
+    bucket = (label >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+    odd = np.bincount(doc * bits + bucket, minlength=n_docs * bits).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(n_docs, bits), axis=1).view(np.int64)
+
+
+def may_be_near(least: float = NEAR) -> Column:
+    """Whether the parities of two rows (p0.., q0..) leave it open that they are near: n and m k-mers that differ in at most a share."""
+    differ = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"q{i}"))) for i in range(1, LONGS)), F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))))
+    return differ <= (F.col("p_size") + F.col("q_size")) * ((1 - least) / (1 + least)) + 1e-6
+
+
 def _least(drawn: np.ndarray, doc: np.ndarray, limit: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Places of the TAKEN least numbers of each document (all of them in a smaller one), in text order."""
     some = np.flatnonzero(drawn <= limit[doc])
@@ -95,14 +112,23 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = find_words(data[offsets[a] : offsets[b]], offsets[a : b + 1])
             hashes = span_hashes(words.data, words.start, words.end)
             value, doc = kmers(words, hashes)
-            got = sketches(value, doc, b - a)
+            label = labelled(value, doc)
+            got, parity = sketches(label, doc, b - a), parities(label, doc, b - a)
             up = powers(len(hashes))[0]
             n = np.diff(words.first)
             owner = np.repeat(np.arange(b - a), n)
             inside = np.arange(len(hashes)) - np.repeat(words.first[:-1], n)
             sums = [np.r_[np.uint64(0), np.cumsum(h * up[inside])] for h in (hashes, mix(hashes + _SEEDS[0, 254]))] if len(owner) else [np.zeros(1, np.uint64)] * 2
             same = [mix(s[words.first[1:]] - s[words.first[:-1]] + n.astype(np.uint64)).view(np.int64) for s in sums]
-            yield pa.RecordBatch.from_pydict({"id": batch["id"].slice(a, b - a), "n": pa.array(n, pa.int64()), "h1": pa.array(same[0], pa.int64()), "h2": pa.array(same[1], pa.int64()), "sketch": pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * SKETCHES + 1, SKETCHES), pa.int32()), pa.array(got.ravel(), pa.int64()))})
+            yield pa.RecordBatch.from_pydict({
+                "id": batch["id"].slice(a, b - a),
+                "n": pa.array(n, pa.int64()),
+                "size": pa.array(np.bincount(doc, minlength=b - a), pa.int64()),
+                "h1": pa.array(same[0], pa.int64()),
+                "h2": pa.array(same[1], pa.int64()),
+                "sketch": pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * SKETCHES + 1, SKETCHES), pa.int32()), pa.array(got.ravel(), pa.int64())),
+                **{f"p{i}": pa.array(parity[:, i], pa.int64()) for i in range(LONGS)},
+            })
 
 
 def _sequence(text: str | None) -> np.ndarray:
@@ -203,34 +229,42 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     are one document, near to what any of its texts is near to. An empty table gives an empty one.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = stored(texts.mapInArrow(_sketch, "id long, n long, h1 long, h2 long, sketch array<long>"), "sketches")
+    longs = [f"p{i}" for i in range(LONGS)]
+    found = stored(texts.mapInArrow(_sketch, "id long, n long, size long, h1 long, h2 long, sketch array<long>, " + ", ".join(f"{c} long" for c in longs)), "sketches")
     usable = found.where("n > 0 and id is not null")
     nodes = usable.groupBy("h1", "h2").agg(F.min("id").alias("node"))
     members = stored(usable.select("id", "h1", "h2").join(nodes, ["h1", "h2"]).select("id", "node").distinct(), "members")
     own = usable.join(nodes.withColumnRenamed("node", "id"), ["h1", "h2", "id"], "left_semi").dropDuplicates(["h1", "h2", "id"])
     keys = own.select("id", F.explode("sketch").alias("key"))
-    many = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").drop("last")
+    many = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
     groups = stored(keys.join(many, "key"), "groups")
+    scores = groups.groupBy("id").agg(F.sum("n").alias("score"))
+    scored = stored(groups.drop("n").join(scores, "id"), "scored")
+    pivots = scored.groupBy("key").agg(F.max(F.struct("score", "id")).alias("pivot"))
 
     copies = members.where("id != node").select(F.col("node").alias("a"), F.col("id").alias("b"))
-    needed = stored(texts.join(groups.select("id").distinct(), "id", "left_semi"), "texts")
-    pairs = groups.where("id != pivot").groupBy(F.col("id").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b")
-    checked = _verified(pairs, needed, least)
-    tried = checked
-    pivots, many_pivots = 0, 2
+    needed = stored(texts.join(scores.select("id"), "id", "left_semi"), "texts")
+    bits = stored(own.select("id", F.col("size").alias("p_size"), *longs).join(scores.select("id"), "id", "left_semi"), "parities")
+    first = scored.join(pivots, "key").where("id != pivot.id").groupBy("id").agg(F.max("pivot").alias("pivot"))
+    pairs = first.select(F.col("pivot.id").alias("a"), F.col("id").alias("b"))
+    tried = _verified(pairs, needed, least)
+    done, upto = 0, 1
+    other = {f"p{i}": f"q{i}" for i in range(LONGS)} | {"p_size": "q_size", "id": "b"}
     while True:
         labels = components(tried.where("near").select("a", "b"))
-        marked = groups.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        open_ = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where(f"low < high and size > {pivots + 1}").select("key")
-        ranked = marked.join(open_, "key").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id")) - 1).select("key", "id", "label", "rank").checkpoint()
-        first = ranked.where(f"rank >= {pivots} and rank < {many_pivots}").select("key", F.col("id").alias("a"), F.col("label").alias("a_label"), F.col("rank").alias("a_rank"))
-        pairs = first.join(ranked.withColumnRenamed("id", "b"), "key").where("rank > a_rank and label != a_label").select("a", "b").distinct()
-        pairs = pairs.join(tried, ["a", "b"], "left_anti").checkpoint()
+        marked = scored.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        unlike = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where(f"low < high and size > {done + 1}").select("key")
+        place = F.dense_rank().over(Window.partitionBy("key").orderBy(F.desc("score"), F.desc("id"))) - 1
+        ranked = marked.join(unlike, "key").withColumn("rank", place).join(bits, "id").select("key", "id", "label", "rank", "p_size", *longs).checkpoint()
+        if ranked.isEmpty():
+            break
+        pivot = ranked.where(f"rank >= {done} and rank < {upto}").withColumnsRenamed({"id": "a", "label": "a_label", "rank": "a_rank"})
+        members_of = ranked.withColumnsRenamed(other | {"key": "own_key"})
+        pairs = pivot.join(members_of, (F.col("key") == F.col("own_key")) & (F.col("rank") > F.col("a_rank")) & (F.col("label") != F.col("a_label")) & may_be_near(least))
+        pairs = pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti").checkpoint()
         if not pairs.isEmpty():
             tried = stored(tried.unionByName(_verified(pairs, needed, least)), "tried")
-        elif ranked.isEmpty():
-            break
-        pivots, many_pivots = many_pivots, 2 * many_pivots
+        done, upto = upto, 8 * upto
     links = tried.where("near").select("a", "b")
     labels = components(links.unionByName(copies))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
