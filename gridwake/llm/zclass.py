@@ -10,6 +10,8 @@ about a text that hardly compresses, or a long one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 import numpy as np
@@ -17,7 +19,6 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Bytes of a dictionary, labelled texts of each label for the fit, and their bytes of text, at most.
 DICTIONARY, ROWS, BYTES = 112_640, 4_000, 24_000_000
@@ -87,19 +88,27 @@ def _logistic(features: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> np.
     return w
 
 
+def _drawn(place: Column, counts: dict[int, int], most: int) -> Column:
+    """About ``most`` rows of each label (all of one that has fewer), by the place of their hash; so a broadcast of them is bounded."""
+    limits = {y: min(1.0, most / n) for y, n in counts.items()}
+    share = F.pmod(place, F.lit(1 << 30)) / (1 << 30)
+    return reduce(or_, [(F.col("y") == y) & (share < limit) for y, limit in limits.items()], F.lit(False))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = ROWS) -> Classifier:
     """Learn from labelled rows of ``docs``: a sample of at most ``rows`` for each label, in the order of a hash of the id.
 
     Two in three texts of the sample build the dictionaries, the rest fits the score, which is corrected for
-    the share of each label among all labelled rows. Null labels and texts are left out. Without texts of
-    both labels every score is the share of label 1 (one half if there is none).
+    the share of each label among all labelled rows. Null labels and texts are left out; of repeated ids the
+    least label and the least text count. Without texts of both labels every score is the share of label 1
+    (one half if there is none).
     """
-    marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null").dropDuplicates(["id"])
-    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
+    place = F.xxhash64("id")
+    marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null").groupBy("id").agg(F.min("y").alias("y"))
     all_counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    pool = marked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 2 * rows)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").dropDuplicates(["id"])
-    sample = texts.join(F.broadcast(pool), "id").select("y", "place", "text").orderBy("y", "place")
+    pool = marked.withColumn("place", place).where(_drawn(place, all_counts, 4 * rows))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    sample = texts.join(F.broadcast(pool), "id").groupBy("y", "place", "id").agg(F.min("text").alias("text")).orderBy("y", "place", "id")
     found: dict[int, list[bytes]] = {0: [], 1: []}
     size = {0: 0, 1: 0}
     for row in sample.toLocalIterator():
