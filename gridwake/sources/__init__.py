@@ -1,0 +1 @@
+"""Reading raw tables, articles and waveform archives; writing results."""
