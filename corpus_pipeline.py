@@ -21,11 +21,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays: that with the least id."""
-    classes = omh.classes(docs)
-    gone = classes.where("class_id is not null and class_id != doc_id").select("doc_id").distinct()
-    one = docs.dropDuplicates(["doc_id"]) if _repeated(docs) else docs
-    return one.join(small(stored(gone, "gone")), "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each class of near-duplicates stays: that with the least id.
+
+    Rows that share an id are documents of their own: they go only if their class is the same (or they have
+    no words, both), and the digest of the text, then the other columns, choose among them. Rows with a null
+    id all stay.
+    """
+    if not _repeated(docs):
+        gone = omh.classes(docs).where("class_id is not null and class_id != doc_id").select("doc_id").distinct()
+        return docs.join(small(stored(gone, "gone")), "doc_id", "left_anti").select(*COLUMNS)
+    rows = stored(docs.where("doc_id is not null").select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+    wordless = mixing.words("text") == 0
+    order = rows.select("row", F.when(wordless, F.col("doc_id")).alias("alone"), F.struct("doc_id", F.sha2("text", 256).alias("digest"), "lang", "source", "n_chars", "row").alias("order"))
+    classed = order.join(omh.classes(rows, id_col="row"), "row").withColumn("class_id", F.when(F.col("alone").isNull(), F.col("class_id")))
+    kept = classed.groupBy("class_id", "alone").agg(F.min("order").alias("first")).select(F.col("first.row").alias("row"))
+    one = rows.join(small(stored(kept, "kept")), "row", "left_semi").select(*COLUMNS)
+    return one.unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def _repeated(docs: DataFrame) -> bool:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import collections
+
 import corpus_pipeline as cp
 from gridwake.llm import omh
 from tests.llm.test_operators import WORD, brute_classes, brute_dedup, brute_statistics
@@ -36,3 +38,21 @@ def test_stages(spark):
 def test_run(spark):
     assert cp.run(spark, DATA).count() > 0
     assert omh.NEAR == 0.8
+
+
+def test_near_dedup_null_and_repeated_ids(spark):
+    """Null ids all stay; rows that share an id go only if they are near, and the choice doesn't hang on the order of rows."""
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (1, text("c")), (1, text("d")), (1, text("d") + " end"), (2, text("d") + " tail"), (3, text("e")), (4, text("c") + " z"), (5, ""), (5, " "), (6, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    got = []
+    for part in (rows, rows[::-1], [r for r in rows if r[0] is None or r[0] in (3, 4)]):
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in part], schema).repartition(3)
+        out = cp.near_dedup(spark, docs, DATA)
+        assert out.columns == cp.COLUMNS
+        got.append(sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str))
+    assert got[0] == got[1]
+    counts = collections.Counter(i for i, _ in got[0])
+    assert counts == {None: 3, 1: 2, 3: 1, 5: 1, 6: 1}
+    assert (1, text("c")) in got[0] and len({t[0] for i, t in got[0] if i == 1}) == 2
+    assert got[2] == sorted([r for r in rows if r[0] is None or r[0] in (3, 4)], key=str)
