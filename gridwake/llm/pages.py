@@ -4,8 +4,9 @@ A page becomes lines, one for each block of text, after markup is stripped with
 marked as something else than an article: menus, page headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments. The lengths of the lines (without link text) are summed over
 sliding windows; the text surges where a sum first passes a threshold and dives after the last one
-that does. What lies between is kept whole, short lines too. An article or main element that holds
-such a region is kept from its first to its last line, so a short headline or last line stays.
+that does. What lies between is kept whole, short lines too. Article or main elements that hold most of
+such a region's text are kept from first to last line, so a short headline or last line stays. A class
+or id that names something else doesn't count on an element that holds the page's articles or most of its text.
 """
 
 from __future__ import annotations
@@ -39,6 +40,10 @@ _OTHER = re.compile(
     r"widgets?|pagination|pager|toolbars?|contentinfo|complementary)(?:$|[\s_-])",
     re.I,
 )
+#: Of these, words for what readers or other pages say; such lists can hold article elements of their own.
+_REMARK = re.compile(r"(?:^|[_-])(?:comments?|commentlist|disqus|repl(?:y|ies)|respond|related|recommend(?:ed|ations?)?)(?:$|[_-])", re.I)
+#: A class that tells the state of a wrapper, as has-sidebar or menu-open.
+_STATE = re.compile(r"^(?:has|no|not|with|without|is)[_-]|[_-](?:open|opened|closed|enabled|disabled|visible|active)$", re.I)
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z""",
     re.S,
@@ -52,25 +57,96 @@ class Line(NamedTuple):
     inside: bool
 
 
-def _other(name: str, attributes: str) -> bool:
-    """Whether an element's attributes say that it isn't part of an article."""
+class Token(NamedTuple):
+    start: int
+    end: int
+    name: str
+    closing: bool
+    attributes: str
+
+
+def _other(name: str, attributes: str) -> str:
+    """How an element's attributes say that it isn't part of an article: "hidden", "remark", "layout" or not at all."""
+    found = ""
     if not attributes or name in _KEPT:
-        return False
+        return found
     for mark in _MARK.finditer(attributes):
         key, value = mark[1].lower(), next((v for v in mark.groups()[1:] if v is not None), "")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if key in ("class", "id", "role") and _OTHER.search(value):
-            return True
-    return False
+            return "hidden"
+        for word in value.split() if key in ("class", "id", "role") else ():
+            if _OTHER.search(word) and not _STATE.search(word):
+                found = "remark" if found == "remark" or _REMARK.search(word) else "layout"
+    return found
+
+
+def _tokens(page: str) -> list[Token]:
+    """Tags, comments etc. of a page in order; a raw element is one token with all that it holds."""
+    out, at = [], 0
+    while (token := _TOKEN.search(page, at)) is not None:
+        at = token.end()
+        name, closing, attributes = (token[2] or token[5] or "").lower(), bool(token[1] or token[4]), token[3] or token[6] or ""
+        if name in _RAW and not closing and not attributes.endswith("/"):
+            end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = end.end() if end else len(page)
+        out.append(Token(token.start(), at, name, closing, attributes))
+    return out
+
+
+class _Spans:
+    """Ends of a page's elements, and what they hold."""
+
+    def __init__(self, page: str, tokens: list[Token]) -> None:
+        n = len(tokens)
+        self.page, self.tokens, self.ends = page, tokens, [n] * n
+        self.text, self.articles, self.mains = [0], [0], [0]
+        opened: dict[str, list[int]] = {}
+        at = links = 0
+        for i, t in enumerate(tokens):
+            self.text.append(self.text[-1] + (0 if links else len(page[at : t.start].strip())))
+            self.articles.append(self.articles[-1] + (t.name == "article" and not t.closing))
+            self.mains.append(self.mains[-1] + (t.name == "main" and not t.closing))
+            at = t.end
+            if t.name == "a":
+                links = max(0, links - 1) if t.closing else links + 1
+            if t.closing:
+                if opened.get(t.name):
+                    self.ends[opened[t.name].pop()] = i
+            elif not t.attributes.endswith("/"):
+                opened.setdefault(t.name, []).append(i)
+        self.text.append(self.text[-1] + (0 if links else len(page[at:].strip())))
+        following = n
+        for i in range(n - 1, -1, -1):
+            if tokens[i].name in _OPEN_ENDED and not tokens[i].closing:
+                self.ends[i] = following
+            if tokens[i].name in _BLOCK or tokens[i].name in _OPEN_ENDED:
+                following = i
+
+    def behind(self, i: int) -> tuple[int, int]:
+        """The first token behind element i, and the place in the page where it ends."""
+        end = self.ends[i]
+        if end == len(self.tokens):
+            return end, len(self.page)
+        own = self.tokens[end].closing and self.tokens[end].name == self.tokens[i].name
+        return (end + 1, self.tokens[end].end) if own else (end, self.tokens[end].start)
+
+    def holds_article(self, i: int, kind: str) -> bool:
+        """Whether element i, of a kind from _other, holds a main element, all articles or most of the text outside of links."""
+        end = self.ends[i]
+        last = end + 1 if end < len(self.tokens) else -1
+        most = 2 * (self.text[last] - self.text[i + 1]) > self.text[-1]
+        articles = self.articles[end] - self.articles[i]
+        every = articles > 0 and articles == self.articles[-1]
+        return self.mains[end] > self.mains[i] or (every and most if kind == "remark" else every or most)
 
 
 def lines_of(page: str) -> list[Line]:
     """Text blocks of a page in order, without what is marked as something else."""
     lines: list[Line] = []
     parts: list[tuple[str, bool]] = []
-    at, skip, depth, inside, links = 0, "", 0, 0, 0
-    raw_end = re.compile("")
+    tokens = _tokens(page)
+    spans = _Spans(page, tokens)
+    at = i = inside = links = 0
 
     def flush() -> None:
         text = " ".join(unescape("".join(p for p, _ in parts)).split())
@@ -79,26 +155,13 @@ def lines_of(page: str) -> list[Line]:
             lines.append(Line(text, max(0, len(text) - linked), inside > 0))
         parts.clear()
 
-    while at < len(page):
-        token = _TOKEN.search(page, at)
-        if not skip and (token is None or token.start() > at):
-            parts.append((page[at : token.start() if token else len(page)], links > 0))
-        if token is None:
-            break
-        at = token.end()
-        name = (token[2] or token[5] or "").lower()
+    while i < len(tokens):
+        start, end, name, closing, attributes = tokens[i]
+        if start > at:
+            parts.append((page[at:start], links > 0))
+        at, i = end, i + 1
         if not name:
             continue
-        closing, attributes = bool(token[1] or token[4]), token[3] or token[6] or ""
-        if skip:
-            if name == skip:
-                depth += -1 if closing else 0 if attributes.endswith("/") else 1
-            elif skip in _OPEN_ENDED and name in _BLOCK:
-                depth = 0  # its end tag was left out
-                at = token.start()
-            if depth <= 0:
-                skip = ""
-            continue
         if name in _BLOCK:
             flush()
         if closing:
@@ -109,16 +172,16 @@ def lines_of(page: str) -> list[Line]:
             if name == "br":
                 parts.append((" ", links > 0))
             continue
-        if name in _SKIP or name == "header" and not inside or _other(name, attributes):
-            if name in _RAW:
-                raw_end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I)
-                end = raw_end.search(page, at)
-                at = end.end() if end else len(page)
-            else:
-                skip, depth = name, 1
+        if name in _RAW:
+            continue
+        kind = "always" if name in _SKIP or name == "header" and not inside else _other(name, attributes)
+        if kind in ("always", "hidden") or kind and not spans.holds_article(i - 1, kind):
+            i, at = spans.behind(i - 1)
             continue
         inside += name in ("article", "main")
         links += name == "a"
+    if at < len(page):
+        parts.append((page[at:], links > 0))
     flush()
     return lines
 
@@ -136,7 +199,7 @@ def main_text(page: str | None) -> str:
     """The article's blocks, joined by one newline."""
     lines = lines_of(page or "")
     a, b = region(lines)
-    if any(line.inside for line in lines[a:b]):
+    if 2 * sum(line.weight for line in lines[a:b] if line.inside) > sum(line.weight for line in lines[a:b]):
         return "\n".join(line.text for line in lines if line.inside)
     return "\n".join(line.text for line in lines[a:b])
 

@@ -155,6 +155,28 @@ def test_region_is_found_without_an_article_element():
     assert got.count("word") == 120 and "End." in got and got.count("Link") <= 4
 
 
+BODY = "".join(f"<p>{'word ' * 40}{i}</p>" for i in range(4))
+
+
+@pytest.mark.parametrize("page", [
+    f"<div>{BODY}<article><p>A card</p></article></div><article><p>Another card</p></article>",
+    f"<div class='ad'><script>document.write('<div id=slot>')</script></div><article>{BODY}</article>",
+    f"<div class='layout has-sidebar'><article>{BODY}</article></div>",
+    f"<div class='no-sidebar'><div class='menu-open'>{BODY}</div></div>",
+    f"<div class='page-share'>{BODY}</div><p>Tail</p>",
+    f"<div id='search'><p>Top</p><main>{BODY}</main></div>",
+])
+def test_main_text_keeps_articles(page):
+    assert pages.main_text(f"<body>{page}</body>").count("word") == 160
+
+
+def test_main_text_drops_marked_parts():
+    advert = "<div class='ad'><script>document.write('</div>')</script><p>Buy</p></div>"
+    comments = f"<ol class='comment-list'>{'<li><article><p>remark, and so on and so forth, at length</p></article></li>' * 9}</ol>"
+    got = pages.main_text(f"<body>{advert}<div class='sidebar'><p>Side</p></div><div>{BODY}</div>{comments}</body>")
+    assert got.count("word") == 160 and not any(x in got for x in ("Buy", "Side", "remark"))
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, None, "")]
     got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
