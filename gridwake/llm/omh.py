@@ -4,14 +4,17 @@ The k-mers of a text are its runs of five words (all words of a shorter text), e
 it occurred before. A sketch draws the few k-mers that are least under a random order and keeps them in the
 order of the text, so it is equal only if the texts share these k-mers in that order. Texts that share a
 sketch are candidates. A pair is near if an alignment of the two k-mer sequences, banded to the shifts that
-the threshold allows, matches m of them with m / (n1 + n2 - m) of at least 0.8.
-
-Classes are the components of the near pairs. Texts with the same words are one node. In a group that
-shares a sketch, pairs are not all formed: members are compared with pivots, the one with most companions
-first and then eight times as many each round, and only where their components still differ. A group is done
-when it is one component or each member was a pivot, so no pair that could join two components is left out.
-Pairs whose k-mers differ too much are turned away by the parities of their k-mers' counts in 1024 buckets:
-as many parities differ as k-mers do at most, so this never turns away a near pair.
+the threshold allows, matches m of them with m / (n1 + n2 - m) of at least 0.8. Texts of a few k-mers get
+further keys, their least k-mers under one order, as many as make sure that near ones share one.
+
+Classes are the components of the near pairs. Texts with the same words are one node. In a group that shares
+a key, pairs are not all formed: each member is compared with the member that shares most with others; then
+only members outside of the group's largest component are compared with the rest of it. Where many are outside
+(a passage that many unlike texts share), their k-mers are counted, and only texts that share one of their
+rarest k-mers are compared: near texts always do, and a common passage is never among the rarest unless it is
+most of a text. So no pair that could join two components is left out. Pairs whose k-mers differ too much are
+turned away by the parities of their k-mers' counts in 1024 buckets: as many parities differ as k-mers do at
+most, so this never turns away a near pair.
 """
 
 from __future__ import annotations
@@ -24,12 +27,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import stored
+from .shared import HOT_ROWS, Shelf, hot_keys, joined, small
 from .text import Words, buffers, find_words, mix, powers, slices, span_hashes, starts_of, windows
 
 #: Words of a k-mer, k-mers of a sketch, sketches of a text, and the least similarity.
-#: A pair at 0.8 shares a given sketch with probability 0.8^4 and none of the 24 with 3e-6.
+#: A pair of long texts at 0.8 shares a given sketch with probability 0.8^4 and none of the 24 with 3e-6.
 K, TAKEN, SKETCHES, NEAR = 5, 4, 24, 0.8
+#: Two texts of so many k-mers at most share a further key if they are near, whatever the sketches are.
+SHORT = 15
+#: Members outside of a group's largest component that are compared with all of it, and in one step of that.
+OUTSIDE, CHUNK = 64, 64
+#: Pairs of a task that aligns them, on average, as long as there are no more than so many tasks.
+PAIRS, MOST_TASKS = 1000, 20_000
 
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, (2, 256), dtype=np.uint64) | np.uint64(1)
 #: Parity bits of a text, as so many longs.
@@ -78,6 +87,26 @@ def sketches(label: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
     return out
 
 
+def least_kmers(label: np.ndarray, doc: np.ndarray, n_docs: int, least: float = NEAR) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the texts of at most SHORT k-mers, and each one's document: of n k-mers, the first n - least * n + 1 under one order.
+
+    Near texts of n and m k-mers share least * max(n, m) of them, so they share one of these.
+    """
+    size = np.bincount(doc, minlength=n_docs)
+    some = np.flatnonzero((size <= SHORT)[doc])
+    drawn = mix(label[some] ^ _SEEDS[1, 254])
+    order = np.lexsort((drawn, doc[some]))
+    drawn, who = drawn[order], doc[some][order]
+    first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.empty(0, np.int64)
+    rank = np.arange(len(who)) - np.repeat(first, np.diff(np.r_[first, len(who)]))
+    keep = rank < _prefix(size[who], least)
+    return drawn[keep].view(np.int64), who[keep]
+
+
+def _prefix(size, least: float):
+    return size - np.ceil(least * size - 1e-9) + 1
+
+
 def parities(label: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
     """LONGS numbers for each document: whether an odd number of its labelled k-mers falls into each bucket."""
     bits = 64 * LONGS
@@ -86,10 +115,14 @@ def parities(label: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
     return np.packbits(odd.reshape(n_docs, bits), axis=1).view(np.int64)
 
 
+def differing() -> Column:
+    """Parities that differ between two rows (p0.., q0..)."""
+    return sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"q{i}"))) for i in range(1, LONGS)), F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))))
+
+
 def may_be_near(least: float = NEAR) -> Column:
-    """Whether the parities of two rows (p0.., q0..) leave it open that they are near: n and m k-mers that differ in at most a share."""
-    differ = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"q{i}"))) for i in range(1, LONGS)), F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))))
-    return differ <= (F.col("p_size") + F.col("q_size")) * ((1 - least) / (1 + least)) + 1e-6
+    """Whether the parities of two rows leave it open that they are near: n and m k-mers that differ in at most a share."""
+    return differing() <= (F.col("p_size") + F.col("q_size")) * ((1 - least) / (1 + least)) + 1e-6
 
 
 def _least(drawn: np.ndarray, doc: np.ndarray, limit: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -105,36 +138,56 @@ def _least(drawn: np.ndarray, doc: np.ndarray, limit: np.ndarray, size: np.ndarr
     return np.sort(some[rank < TAKEN])
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = buffers(batch["text"])
-        for a, b in slices(offsets):
-            words = find_words(data[offsets[a] : offsets[b]], offsets[a : b + 1])
-            hashes = span_hashes(words.data, words.start, words.end)
-            value, doc = kmers(words, hashes)
-            label = labelled(value, doc)
-            got, parity = sketches(label, doc, b - a), parities(label, doc, b - a)
-            up = powers(len(hashes))[0]
-            n = np.diff(words.first)
-            owner = np.repeat(np.arange(b - a), n)
-            inside = np.arange(len(hashes)) - np.repeat(words.first[:-1], n)
-            sums = [np.r_[np.uint64(0), np.cumsum(h * up[inside])] for h in (hashes, mix(hashes + _SEEDS[0, 254]))] if len(owner) else [np.zeros(1, np.uint64)] * 2
-            same = [mix(s[words.first[1:]] - s[words.first[:-1]] + n.astype(np.uint64)).view(np.int64) for s in sums]
-            yield pa.RecordBatch.from_pydict({
-                "id": batch["id"].slice(a, b - a),
-                "n": pa.array(n, pa.int64()),
-                "size": pa.array(np.bincount(doc, minlength=b - a), pa.int64()),
-                "h1": pa.array(same[0], pa.int64()),
-                "h2": pa.array(same[1], pa.int64()),
-                "sketch": pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * SKETCHES + 1, SKETCHES), pa.int32()), pa.array(got.ravel(), pa.int64())),
-                **{f"p{i}": pa.array(parity[:, i], pa.int64()) for i in range(LONGS)},
-            })
-
-
-def _sequence(text: str | None) -> np.ndarray:
-    data, offsets = buffers(pa.array([text or ""], pa.large_string()))
-    words = find_words(data, offsets)
-    return kmers(words, span_hashes(data, words.start, words.end))[0]
+def _sketch(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _sketched(batch, least)
+
+    return run
+
+
+def _slices(batch: pa.RecordBatch):
+    """Slices of a batch with their words, word hashes, labelled k-mers and the document of each."""
+    data, offsets = buffers(batch["text"])
+    for a, b in slices(offsets):
+        words = find_words(data[offsets[a] : offsets[b]], offsets[a : b + 1])
+        hashes = span_hashes(words.data, words.start, words.end)
+        value, doc = kmers(words, hashes)
+        yield a, b, words, hashes, labelled(value, doc), doc
+
+
+def _sketched(batch: pa.RecordBatch, least: float) -> Iterator[pa.RecordBatch]:
+    for a, b, words, hashes, label, doc in _slices(batch):
+        got, parity = sketches(label, doc, b - a), parities(label, doc, b - a)
+        more, whose = least_kmers(label, doc, b - a, least)
+        keys, owners = np.concatenate((got.ravel(), more)), np.concatenate((np.repeat(np.arange(b - a), SKETCHES), whose))
+        keys = keys[np.argsort(owners, kind="stable")]
+        edges = np.r_[0, np.cumsum(np.bincount(owners, minlength=b - a))]
+        up = powers(len(hashes))[0]
+        n = np.diff(words.first)
+        owner = np.repeat(np.arange(b - a), n)
+        inside = np.arange(len(hashes)) - np.repeat(words.first[:-1], n)
+        sums = [np.r_[np.uint64(0), np.cumsum(h * up[inside])] for h in (hashes, mix(hashes + _SEEDS[0, 254]))] if len(owner) else [np.zeros(1, np.uint64)] * 2
+        same = [mix(s[words.first[1:]] - s[words.first[:-1]] + n.astype(np.uint64)).view(np.int64) for s in sums]
+        yield pa.RecordBatch.from_pydict({
+            "id": batch["id"].slice(a, b - a),
+            "n": pa.array(n, pa.int64()),
+            "size": pa.array(np.bincount(doc, minlength=b - a), pa.int64()),
+            "h1": pa.array(same[0], pa.int64()),
+            "h2": pa.array(same[1], pa.int64()),
+            "sketch": pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(keys, pa.int64())),
+            **{f"p{i}": pa.array(parity[:, i], pa.int64()) for i in range(LONGS)},
+        })
+
+
+def _sequences(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The k-mers of each text in order."""
+    data, offsets = buffers(texts)
+    for a, b in slices(offsets):
+        words = find_words(data[offsets[a] : offsets[b]], offsets[a : b + 1])
+        value, doc = kmers(words, span_hashes(words.data, words.start, words.end))
+        edges = np.searchsorted(doc, np.arange(b - a + 1))
+        yield from (value[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True))
 
 
 def similarity(x: np.ndarray, y: np.ndarray, least: float = NEAR) -> float:
@@ -181,92 +234,197 @@ def _aligned(x: list[int], y: list[int], band: int) -> int:
     return len(y) - row.bit_count()
 
 
-def _verify(least: float):
+def _compared(least: float):
+    """Near pairs from rows sorted by (a, part, b): a row without b holds the text that those after it are compared with."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str | None, np.ndarray] = (None, np.empty(0, np.uint64))
+        of, held, fresh = None, [], False
         for batch in batches:
-            near = []
-            for s, t in zip(batch["a_text"], batch["b_text"], strict=True):
-                s = s.as_py()
-                if s != last[0]:
-                    last = (s, _sequence(s))
-                near.append(similarity(last[1], _sequence(t.as_py()), least) >= least - 1e-9)
-            yield pa.RecordBatch.from_pydict({"a": batch["a"], "b": batch["b"], "near": pa.array(near, pa.bool_())})
+            near: list[tuple[int, int]] = []
+            for a, b, own in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), _sequences(batch["text"]), strict=True):
+                if b is None:
+                    held = [*held, own] if fresh and a == of else [own]
+                    of, fresh = a, True
+                    continue
+                fresh = False
+                if any(similarity(x, own, least) >= least - 1e-9 for x in held):
+                    near.append((a, b))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in near], pa.int64()), "b": pa.array([x for _, x in near], pa.int64())})
 
     return run
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) with whether they are near."""
-    b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("b_text")), "b")
-    both = b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("a_text")), "a").select("a", "b", "a_text", "b_text")
-    checked = both.mapInArrow(_verify(least), "a long, b long, near boolean")
-    return stored(checked.groupBy("a", "b").agg(F.max("near").alias("near")), "pairs")
-
+    """Those of the stored pairs (a, b) that are near.
 
-def components(links: DataFrame) -> DataFrame:
-    """``node`` and the least node that it is connected with (``label``), for all nodes of the links (a, b).
+    The text of ``a`` travels once for HOT_ROWS of its pairs, that of ``b`` with each pair; a text with many
+    pairs is dealt to as many tasks.
+    """
+    hot = hot_keys(pairs, ["a"])
+    if hot is None:
+        dealt, pivots = pairs.withColumn("part", F.lit(0)), pairs.select("a").distinct().withColumn("part", F.lit(0))
+    else:
+        parts = F.broadcast(hot.select("a", F.ceil(F.col("hot_n") / HOT_ROWS).cast("int").alias("parts")))
+        dealt = pairs.join(parts, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        pivots = dealt.select("a", "part").distinct()
+    own = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "text")
+    first = pivots.join(texts.withColumnRenamed("id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    tasks = max(1, min(-(-pairs.count() // PAIRS), MOST_TASKS))
+    rows = own.unionByName(first).repartition(tasks, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return rows.select("a", "b", "text").mapInArrow(_compared(least), "a long, b long")
+
+
+def components(links: DataFrame, shelf: Shelf) -> DataFrame:
+    """``node`` and the least node that it is connected with (``label``), for all nodes of the links (a, b); stored.
 
     Labels spread along links, and each round a label is replaced by its own label, so the rounds grow with
-    the logarithm of the longest path.
+    the logarithm of the longest path. A node with many links is no key of one task.
     """
-    both = stored(links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"))), "links")
-    labels = both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("label")).select("node", F.least("node", "label").alias("label")).checkpoint()
+    both = shelf.put(links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct(), "links")
+    labels = shelf.put(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("label")).select("node", F.least("node", "label").alias("label")), "labels")
     while True:
-        seen = both.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
-        spread = labels.join(seen, "node").select("node", F.least("label", "near").alias("new"), "label").checkpoint()
-        jumped = spread.join(spread.select(F.col("node").alias("new"), F.col("new").alias("root")), "new").select("node", F.least("new", "root").alias("label"), (F.least("new", "root") != F.col("label")).alias("moved")).checkpoint()
-        labels = jumped.select("node", "label")
+        seen = joined(both, labels.withColumnRenamed("node", "y"), ["y"]).groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
+        spread = shelf.put(labels.join(seen, "node").select("node", F.least("label", "near").alias("new"), "label"), "spread")
+        roots = spread.select(F.col("node").alias("new"), F.col("new").alias("root"))
+        jumped = shelf.put(joined(spread, roots, ["new"]).select("node", F.least("new", "root").alias("label"), (F.least("new", "root") != F.col("label")).alias("moved")), "labels")
+        shelf.drop(labels, spread)
         if jumped.where("moved").isEmpty():
-            return labels
+            shelf.drop(both)
+            return jumped
+        labels = jumped
+
+
+def _outside(marked: DataFrame) -> DataFrame:
+    """Groups with more than one component: the largest (``major``), and how many members are in others (``minor``)."""
+    counts = marked.groupBy("key", "label").agg(F.count("*").alias("n"))
+    tops = counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"))
+    return tops.where("n > top.n").select("key", F.col("top.label").alias("major"), (F.col("n") - F.col("top.n")).alias("minor"))
+
+
+def _candidates(marked: DataFrame, groups: DataFrame, bits: DataFrame, least: float, shelf: Shelf) -> DataFrame:
+    """Pairs (a, b) of unlike components that share a group, a of a minor component, as far as their parities allow; stored.
+
+    Members of minor components are dealt into parts of about CHUNK, each of which meets all members.
+    """
+    parts = F.ceil(F.col("minor") / CHUNK).cast("int").alias("parts")
+    rows = joined(marked, groups.select("key", "major", parts), ["key"]).join(bits, "id")
+    rows = shelf.put(rows, "members")
+    other = {"id": "a", "label": "a_label", "p_size": "q_size"} | {f"p{i}": f"q{i}" for i in range(LONGS)}
+    minor = rows.where("label != major").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("major", "parts").withColumnsRenamed(other)
+    whole = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    found = joined(whole, minor, ["key", "part"]).where((F.col("label") != F.col("a_label")) & ((F.col("label") == F.col("major")) | (F.col("a") < F.col("id"))) & may_be_near(least))
+    pairs = found.select("a", F.col("id").alias("b"), F.col("label").alias("b_label"), differing().alias("differ")).groupBy("a", "b").agg(F.min("b_label").alias("b_label"), F.min("differ").alias("differ"))
+    pairs = shelf.put(pairs, "pairs")
+    shelf.drop(rows)
+    return pairs
+
+
+def _linked(pairs: DataFrame, links: DataFrame, texts: DataFrame, least: float, shelf: Shelf) -> tuple[DataFrame, DataFrame]:
+    """``links`` with those of the candidate pairs that are needed to join their components, and the labels after that.
+
+    Of a member and a component the pair with the fewest differing parities comes first; then all other pairs
+    that are still in unlike components are tried.
+    """
+    first = shelf.put(pairs.groupBy("a", "b_label").agg(F.min_by("b", F.struct("differ", "b")).alias("b")).select("a", "b"), "first")
+    links = links.unionByName(shelf.put(_verified(first, texts, least), "near"))
+    labels = components(links, shelf)
+    at = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_at"))
+    rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
+    rest = shelf.put(rest.where(F.coalesce("a_at", "a") != F.coalesce("b_at", "b")).select("a", "b"), "rest")
+    shelf.drop(first)
+    if not rest.isEmpty():
+        more = shelf.put(_verified(rest, texts, least), "near")
+        if not more.isEmpty():
+            shelf.drop(labels)
+            links = links.unionByName(more)
+            labels = components(links, shelf)
+    shelf.drop(rest)
+    return links, labels
+
+
+def _kmer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, words, _, label, doc in _slices(batch):
+            size = np.bincount(doc, minlength=b - a)
+            own = batch.select(["id", "own"]).slice(a, b - a).take(pa.array(doc))
+            yield pa.RecordBatch.from_pydict({"id": own["id"], "own": own["own"], "size": pa.array(size[doc], pa.int64()), "key": pa.array(label.view(np.int64), pa.int64())})
+
 
+def _by_rare_kmers(texts: DataFrame, least: float, shelf: Shelf) -> DataFrame:
+    """Groups (key, id) of the texts that share one of their rarest k-mers; stored.
+
+    Of n k-mers the n - least * n + 1 rarest count, the same order for all texts; two near texts share
+    least * max(n, m) k-mers, so one of these.
+    """
+    rows = shelf.put(texts.select("id", F.xxhash64("text").alias("own"), "text").mapInArrow(_kmer_rows, "id long, own long, size long, key long"), "kmers")
+    shared = shelf.put(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    ranked = joined(rows, shared, ["key"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("id", "own", "size").orderBy("n", "key"))
+    rare = ranked.withColumn("place", place).where((F.col("n") > 1) & (F.col("place") <= F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1))
+    out = shelf.put(rare.select("key", "id").distinct(), "rare")
+    shelf.drop(rows, shared)
+    return out
+
+
+def _marked(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    return groups.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = NEAR) -> DataFrame:
-    """``id_col``, ``class_id`` (the least id of its class) and ``n_links`` (near pairs found that join its node) of each row.
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = NEAR, outside: int = OUTSIDE) -> DataFrame:
+    """``id_col`` and ``class_id`` (the least id of its class) of each row; stored in the shared folder.
 
     Only words count, so texts that differ in white space are copies. A text without words, a null one
     included, is a class of its own, and so is a row with a null id (its class is null). Rows with equal ids
-    are one document, near to what any of its texts is near to. An empty table gives an empty one.
+    are one document, near to what any of its texts is near to. An empty table gives an empty one. Other
+    columns are not read. ``outside`` says from how many members outside of a group's largest component on
+    rare k-mers choose the pairs; the classes do not depend on it. What steps leave behind is deleted.
     """
+    shelf = Shelf(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     longs = [f"p{i}" for i in range(LONGS)]
-    found = stored(texts.mapInArrow(_sketch, "id long, n long, size long, h1 long, h2 long, sketch array<long>, " + ", ".join(f"{c} long" for c in longs)), "sketches")
+    found = shelf.put(texts.mapInArrow(_sketch(least), "id long, n long, size long, h1 long, h2 long, sketch array<long>, " + ", ".join(f"{c} long" for c in longs)), "sketches")
     usable = found.where("n > 0 and id is not null")
-    nodes = usable.groupBy("h1", "h2").agg(F.min("id").alias("node"))
-    members = stored(usable.select("id", "h1", "h2").join(nodes, ["h1", "h2"]).select("id", "node").distinct(), "members")
-    own = usable.join(nodes.withColumnRenamed("node", "id"), ["h1", "h2", "id"], "left_semi").dropDuplicates(["h1", "h2", "id"])
+    same = shelf.put(usable.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count("*").alias("n")).where("n > 1"), "same")
+    members = shelf.put(joined(usable.select("id", "h1", "h2"), same.drop("n"), ["h1", "h2"], counts=same), "copies")
+    own = usable.join(small(members.where("id != node").select("id", "h1", "h2")), ["id", "h1", "h2"], "left_anti")
     keys = own.select("id", F.explode("sketch").alias("key"))
-    many = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
-    groups = stored(keys.join(many, "key"), "groups")
-    scores = groups.groupBy("id").agg(F.sum("n").alias("score"))
-    scored = stored(groups.drop("n").join(scores, "id"), "scored")
-    pivots = scored.groupBy("key").agg(F.max(F.struct("score", "id")).alias("pivot"))
+    many = shelf.put(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"), "many")
+    groups = shelf.put(joined(keys, many, ["key"], counts=many), "groups")
+    scores = shelf.put(groups.groupBy("id").agg(F.sum("n").alias("score")), "scores")
+    scored = shelf.put(groups.select("key", "id").join(scores, "id"), "scored")
+    shelf.drop(same, many, groups)
 
-    copies = members.where("id != node").select(F.col("node").alias("a"), F.col("id").alias("b"))
-    needed = stored(texts.join(scores.select("id"), "id", "left_semi"), "texts")
-    bits = stored(own.select("id", F.col("size").alias("p_size"), *longs).join(scores.select("id"), "id", "left_semi"), "parities")
-    first = scored.join(pivots, "key").where("id != pivot.id").groupBy("id").agg(F.max("pivot").alias("pivot"))
-    pairs = first.select(F.col("pivot.id").alias("a"), F.col("id").alias("b"))
-    tried = _verified(pairs, needed, least)
-    done, upto = 0, 1
-    other = {f"p{i}": f"q{i}" for i in range(LONGS)} | {"p_size": "q_size", "id": "b"}
-    while True:
-        labels = components(tried.where("near").select("a", "b"))
-        marked = scored.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        unlike = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where(f"low < high and size > {done + 1}").select("key")
-        place = F.dense_rank().over(Window.partitionBy("key").orderBy(F.desc("score"), F.desc("id"))) - 1
-        ranked = marked.join(unlike, "key").withColumn("rank", place).join(bits, "id").select("key", "id", "label", "rank", "p_size", *longs).checkpoint()
-        if ranked.isEmpty():
-            break
-        pivot = ranked.where(f"rank >= {done} and rank < {upto}").withColumnsRenamed({"id": "a", "label": "a_label", "rank": "a_rank"})
-        members_of = ranked.withColumnsRenamed(other | {"key": "own_key"})
-        pairs = pivot.join(members_of, (F.col("key") == F.col("own_key")) & (F.col("rank") > F.col("a_rank")) & (F.col("label") != F.col("a_label")) & may_be_near(least))
-        pairs = pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti").checkpoint()
-        if not pairs.isEmpty():
-            tried = stored(tried.unionByName(_verified(pairs, needed, least)), "tried")
-        done, upto = upto, 8 * upto
-    links = tried.where("near").select("a", "b")
-    labels = components(links.unionByName(copies))
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    per_id = members.groupBy("id").agg(F.min("node").alias("node")).join(labels.withColumnRenamed("node", "id"), "id", "left").join(degree, "node", "left")
-    return found.select("id").join(per_id, "id", "left").select(F.col("id").alias(id_col), F.coalesce("label", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    pivots = scored.groupBy("key").agg(F.max(F.struct("score", "id")).alias("pivot"))
+    best = joined(scored, pivots, ["key"]).where("id != pivot.id").groupBy("id").agg(F.max("pivot").alias("pivot"))
+    pairs = shelf.put(best.select(F.col("pivot.id").alias("a"), F.col("id").alias("b")), "pairs")
+    candidates = scores.select("id")
+    needed = texts.join(candidates, "id", "left_semi")
+    bits = own.select("id", F.col("size").alias("p_size"), *longs).join(candidates, "id", "left_semi")
+    links = shelf.put(_verified(pairs, needed, least), "near")
+    labels = components(links, shelf)
+    marked = shelf.put(_marked(scored, labels), "marked")
+    unlike = shelf.put(_outside(marked), "unlike")
+    shelf.drop(pairs, scored)
+
+    wide = unlike.where(F.col("minor") > outside)
+    if not unlike.isEmpty():
+        pairs = _candidates(marked, unlike.where(F.col("minor") <= outside), bits, least, shelf)
+        links, labels = _linked(pairs, links, needed, least, shelf)
+        shelf.drop(pairs)
+    if not wide.isEmpty():
+        apart = joined(marked, wide, ["key"]).select("id").distinct()
+        rare = _by_rare_kmers(texts.join(apart, "id", "left_semi"), least, shelf)
+        again = shelf.put(_marked(rare, labels), "marked")
+        pairs = _candidates(again, shelf.put(_outside(again), "unlike"), bits, least, shelf)
+        links, labels = _linked(pairs, links, needed, least, shelf)
+    shelf.drop(marked, unlike)
+    twice = usable.groupBy("id").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("id")
+    repeated = members.where("id != node").join(twice, "id", "left_semi").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    if not repeated.isEmpty():
+        labels = components(links.unionByName(repeated), shelf)
+    copies = joined(members.select("id", "node"), labels, ["node"], "left").select("id", F.coalesce("label", "node").alias("class_id"))
+    by_id = shelf.put(copies.unionByName(labels.select(F.col("node").alias("id"), F.col("label").alias("class_id"))).groupBy("id").agg(F.min("class_id").alias("class_id")), "classes")
+    out = shelf.put(joined(found.select("id"), by_id, ["id"], "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id")), "classes")
+    shelf.keep(out)
+    shelf.clear()
+    return out

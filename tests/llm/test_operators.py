@@ -328,7 +328,7 @@ def test_mixing_meets_targets(spark, nasty, empty):
 
 
 def brute_classes(rows):
-    sequences = {d: omh._sequence(t) for d, t in rows}
+    sequences = dict(zip([d for d, _ in rows], omh._sequences(pa.array([t for _, t in rows])), strict=True))
     root = {d: d for d, _ in rows}
 
     def find(x):
@@ -368,8 +368,9 @@ def test_order_minhash_links_through_any_member(spark):
         for j in (20 * i + 5, 20 * i + 15):
             chain[j] = f"n{i}_{j}"
     rows += [(300, "short text"), (301, "short  text"), (302, "text short"), (303, ""), (304, None)]
-    got = {r["doc_id"]: r["class_id"] for r in omh.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute_classes(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got, by_rare = ({r["doc_id"]: r["class_id"] for r in omh.classes(frame, outside=n).collect()} for n in (omh.OUTSIDE, 0))
+    assert got == by_rare == brute_classes(rows)
     assert len({got[200 + i] for i in range(8)}) == 1 and got[301] == 300 and got[302] == 302 and got[304] == 304
 
 
