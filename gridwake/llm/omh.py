@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import HOT_ROWS, Shelf, hot_keys, joined, small
+from .shared import HOT_ROWS, Shelf, hot_keys, in_small_batches, joined, small
 from .text import Words, buffers, find_words, mix, powers, slices, span_hashes, starts_of, windows
 
 #: Words of a k-mer, k-mers of a sketch, sketches of a text, and the least similarity.
@@ -380,7 +380,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     rare k-mers choose the pairs; the classes do not depend on it. What steps leave behind is deleted.
     """
     shelf = Shelf(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     longs = [f"p{i}" for i in range(LONGS)]
     found = shelf.put(texts.mapInArrow(_sketch(least), "id long, n long, size long, h1 long, h2 long, sketch array<long>, " + ", ".join(f"{c} long" for c in longs)), "sketches")
     usable = found.where("n > 0 and id is not null")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Keys that are joined by broadcast at most, and the rows that such a key has at least.
 HOT_KEYS, HOT_ROWS = 1000, 500
+#: Bytes of an Arrow batch.
+BATCH = "8m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return (folder or own.get()).rstrip("/")
 
 
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, in a session whose Arrow batches hold BATCH bytes at most, so a task's memory doesn't grow with its texts.
+
+    A batch has one row at least. A session that has set another limit than Spark's keeps it.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) in (None, "67108864b"):
+        conf.set(name, BATCH)
+    return docs
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
