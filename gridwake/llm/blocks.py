@@ -1,7 +1,7 @@
 """Dealing documents into blocks, and asking all other blocks about a block's hashes.
 
-A block is a set of documents that is fixed by their ids alone, so a task that is run again sees
-the same rows. Blocks talk through buckets of the hash space: each block sends the distinct hashes
+A block is a set of rows that is fixed by their ids and texts (by their places where the id is null), so a
+task that is run again sees the same rows. Blocks talk through buckets of the hash space: each block sends the distinct hashes
 that it has in a bucket as one sorted array, and gets one bit for each hash back in the same order.
 """
 
@@ -13,18 +13,20 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Documents of a block, on average: some MB of text, so that a block fits into a small task.
-BLOCK_ROWS = 2000
+#: Documents of a block and bytes of their texts, on average, so that a block fits into a small task.
+BLOCK_ROWS, BLOCK_BYTES = 2000, 8_000_000
 
 
-def block_count(docs: DataFrame, rows: int = BLOCK_ROWS) -> int:
-    """As many blocks as give ``rows`` documents each on average."""
-    return max(1, -(-docs.count() // rows))
+def block_count(docs: DataFrame, text: str, rows: int = BLOCK_ROWS, size: int = BLOCK_BYTES) -> int:
+    """As many blocks as give ``rows`` documents or ``size`` bytes each on average, whichever is less."""
+    n, total = docs.agg(F.count("*"), F.sum(F.octet_length(text))).first()
+    return max(1, -(-n // rows), -(-(total or 0) // size))
 
 
-def block_of(key: str, n: int) -> Column:
-    """The block of a document; a null key has one, too."""
-    return F.pmod(F.xxhash64(F.col(key), F.lit("block")), F.lit(n)).cast("int")
+def block_of(key: Column, text: Column, n: int) -> Column:
+    """The block of a row, by its id and text; rows without an id go by their place, so that any number of them is dealt out."""
+    by_place = F.xxhash64(F.monotonically_increasing_id(), F.lit("block"))
+    return F.pmod(F.when(key.isNull(), by_place).otherwise(F.xxhash64(key, text)), F.lit(n)).cast("int")
 
 
 def bucket_bits(n_blocks: int) -> int:

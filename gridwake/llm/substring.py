@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_count, block_of, bucket_bits, by_bucket, distinct, numbers, pack, unpack
+from .shared import in_small_batches
 from .text import Words, by_slice, covered, starts_of, windows
 
 #: A perfect difference cover: every residue modulo 7 is a difference of two of these.
@@ -111,11 +112,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     """
     if k <= V:
         raise ValueError(f"k must be over {V}")
-    n = blocks or block_count(docs)
+    n = blocks or block_count(docs, text_col)
     bits = bucket_bits(n)
-    keep = [F.col(c).alias(f"x{i}") for i, c in enumerate(columns)]
-    dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), block_of(id_col, n).alias("block"), *keep)
-    kinds = dealt.select(*[f"x{i}" for i in range(len(columns))]).schema if columns else None
+    kept_as = ["text" if c == text_col else f"x{i}" for i, c in enumerate(columns)]  # the text travels once
+    keep = [F.col(c).alias(x) for c, x in zip(columns, kept_as, strict=True) if x != "text"]
+    key, text = F.col(id_col).cast("long"), F.col(text_col)
+    dealt = in_small_batches(docs).select(key.alias("id"), text.alias("text"), block_of(key, text, n).alias("block"), *keep)
+    kinds = [dealt.schema[x].dataType.simpleString() for x in kept_as]
 
     def ask_anchors(key, table):
         return _asked(key[0].as_py(), [(v, ids[doc]) for ids, _, _, v, _, doc in _anchors_of(table, k)], bits)
@@ -155,7 +158,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
                 kept.append(words.join(index[~gone[index]]))
                 digest.append(hashlib.sha256(kept[-1]).hexdigest())
         whole = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-        own = {f"x{i}": table[f"x{i}"] for i in range(len(columns))}
+        own = {f"x{i}": table[x] for i, x in enumerate(kept_as)}
         return pa.table(own | {"n_words": whole(total), "n_removed": whole(removed), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "kept_sha256": pa.array(digest, pa.string())})
 
     by_block = dealt.groupBy("block")
@@ -163,7 +166,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     windows_asked = by_block.cogroup(shared.groupBy("block")).applyInArrow(ask_windows, _ASK).drop("more")
     earlier = windows_asked.groupBy("bucket").applyInArrow(tell_earlier, _TOLD)
     told = shared.withColumn("step", F.lit(1)).unionByName(earlier.withColumn("step", F.lit(2)))
-    schema = [f"x{i} {f.dataType.simpleString()}" for i, f in enumerate(kinds or [])] + ["n_words long", "n_removed long", "kept string", "kept_sha256 string"]
+    schema = [f"x{i} {kind}" for i, kind in enumerate(kinds)] + ["n_words long", "n_removed long", "kept string", "kept_sha256 string"]
     out = by_block.cogroup(told.groupBy("block")).applyInArrow(finish, ", ".join(schema))
     return out.withColumnsRenamed({f"x{i}": c for i, c in enumerate(columns)})
 
