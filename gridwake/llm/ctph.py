@@ -12,10 +12,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_small_batches
 from .text import SLICE_BYTES, buffers, mix, slices, span_hashes
 
 #: Bytes that the rolling hash sees, characters of a signature at most, and the least block size.
@@ -114,6 +116,35 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - m] + following[:m]
 
 
+def _bounds(ids: DataFrame, rows: int) -> list[int]:
+    """First ids of the ranges, MOST_RANGES at most: ids that occur, about ``rows`` rows apart.
+
+    Cuts come from approximate quantiles of doubles, which may lie beside the ids where these are over 2^53; one
+    aggregation replaces each by the least id that isn't below it, so the bounds are exact at any size.
+    """
+    n, least = ids.agg(F.count("*"), F.min("id")).first()
+    if not n:
+        return []
+    cuts = min(MOST_RANGES, n // rows)
+    if cuts < 2:
+        return [least]
+    near = ids.select(F.col("id").cast("double").alias("at")).approxQuantile("at", [i / cuts for i in range(1, cuts)], min(0.001, 0.2 / cuts))
+    near = sorted({min(max(int(x), -(1 << 63)), (1 << 63) - 1) for x in near})
+    found = ids.select("id", _place(near).alias("place")).groupBy("place").agg(F.min("id").alias("id")).where("place >= 0").collect()
+    return sorted({least, *(r["id"] for r in found)})
+
+
+def _place(bounds: list[int]) -> Column:
+    """How many of the sorted bounds an id isn't below, less one."""
+    edges = np.array(bounds, np.int64)
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, ids.fillna(0).astype("int64"), "right").astype(np.int32) - 1)
+
+    return place("id")
+
+
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 2000) -> DataFrame:
     """Fingerprint each text, its edited text and its successor in ascending id, and compare them.
 
@@ -123,22 +154,16 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id have no place in the order: their next text is empty. A null text is empty.
     A single document is its own successor. An empty table gives an empty one.
     """
-    ids = docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null")
-    n, least = ids.agg(F.count("*"), F.min("id")).first()
-    cuts = min(MOST_RANGES, n // rows)
-    bounds = np.array(sorted({least, *(int(x) for x in ids.select(F.col("id").cast("double").alias("id")).approxQuantile("id", [i / cuts for i in range(1, cuts)], min(0.001, 0.2 / cuts)))}) if cuts > 1 else [least] * (n > 0), np.int64)
-    if len(bounds) and np.abs(bounds).max() >= 1 << 53:  # not exact as a double: one range
-        bounds = bounds[:1]
-
-    @F.pandas_udf("int")
-    def range_of(ids):
-        return ids.map(lambda x: -1) if not len(bounds) else (np.searchsorted(bounds, ids.fillna(0).astype("int64"), "right") - 1) + 0 * ids.fillna(0).astype("int32")
-
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    key = F.col(id_col).cast("long")
+    ids = docs.select(key.alias("id")).where("id is not null")
+    bounds = _bounds(ids, rows)
     m = len(bounds)
-    own = own.withColumn("range", F.when(F.col("id").isNotNull(), range_of("id")).otherwise(-1 - F.pmod(F.xxhash64("text"), F.lit(max(m, 1))).cast("int"))).withColumn("guard", F.lit(False))
-    guard = own.where(F.col("id").isin(bounds.tolist())).withColumns({"range": F.pmod(F.col("range") - 1, F.lit(max(m, 1))).cast("int"), "guard": F.lit(True)})
-    spread = own.unionByName(guard).repartition("range").sortWithinPartitions("range", "guard", "id", "text")
+    own = in_small_batches(docs).select(key.alias("id"), F.col(text_col).alias("text"))
+    range_of = _place(bounds)
+    own = own.withColumn("range", F.when(F.col("id").isNotNull(), range_of).otherwise(-1 - F.pmod(F.xxhash64("text"), F.lit(max(m, 1))).cast("int"))).withColumn("guard", F.lit(False))
+    firsts = F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in bounds], "id long"))
+    guard = own.join(firsts, "id", "left_semi").withColumns({"range": F.pmod(F.col("range") - 1, F.lit(max(m, 1))).cast("int"), "guard": F.lit(True)})
+    spread = own.unionByName(guard.select(*own.columns)).repartition("range").sortWithinPartitions("range", "guard", "id", "text")
     return spread.mapInArrow(_compare, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("id", id_col)
 
 
