@@ -4,22 +4,27 @@ A page becomes lines, one for each block of text, after markup is stripped with
 marked as something else than an article: menus, page headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments. The lengths of the lines (without link text) are summed over
 sliding windows; the text surges where a sum first passes a threshold and dives after the last one
-that does. What lies between is kept whole, short lines too. Article or main elements that hold most of
-such a region's text are kept from first to last line, so a short headline or last line stays. A class
-or id that names something else doesn't count on an element that holds the page's articles or most of its text.
+that does. What lies between is kept whole, short lines too. The element that holds the text between surge and
+dive gives the region its edges: its short first and last lines stay, and lines of links that the windows
+reach beside it go; of an article or main element, all beside it. A class or id that names something else doesn't count on an element that holds the page's
+articles or most of its text, nor does an element without its end tag.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_small_batches
+
 #: Lines of a window, and the text in it that makes a surge.
 WINDOW, SURGE = 3, 80
 
@@ -32,6 +37,14 @@ _BLOCK = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _OPEN_ENDED = frozenset("p li dt dd td th tr option".split())
 _KEPT = frozenset("html body article main".split())
+#: Elements of a page's head, whose end tag may be left out.
+_HEAD = frozenset("title meta link base script style noscript template".split())
+#: Elements that are left out for a part of a class or id; on others (a paragraph, a word) the whole class must match.
+_PARTS = frozenset("div section ul ol dl table tr td details center figure".split())
+#: Elements that can hold a region; a paragraph can't.
+_HOLDERS = frozenset("article main div section td center".split())
+#: Share of a region's text that makes an element its container; of an article or main element.
+HOLDS, ARTICLE_HOLDS = 0.9, 0.5
 #: Words in a class, id or role that name something other than the article.
 _OTHER = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|adbox|adslot|sponsor(?:ed|s)?|promos?|promotions?|banners?|sidebars?|sidenav|"
@@ -52,9 +65,11 @@ _MARK = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s
 
 
 class Line(NamedTuple):
+    """A block's text, its length without links, and the token that its text stands before."""
+
     text: str
     weight: int
-    inside: bool
+    at: int
 
 
 class Token(NamedTuple):
@@ -75,7 +90,8 @@ def _other(name: str, attributes: str) -> str:
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return "hidden"
         for word in value.split() if key in ("class", "id", "role") else ():
-            if _OTHER.search(word) and not _STATE.search(word):
+            match = _OTHER.search(word)
+            if match and not _STATE.search(word) and (name in _PARTS or match[0] == word):
                 found = "remark" if found == "remark" or _REMARK.search(word) else "layout"
     return found
 
@@ -115,6 +131,8 @@ class _Spans:
             elif not t.attributes.endswith("/"):
                 opened.setdefault(t.name, []).append(i)
         self.text.append(self.text[-1] + (0 if links else len(page[at:].strip())))
+        for i in opened.get("head", []):
+            self.ends[i] = next((j for j in range(i + 1, n) if tokens[j].name and tokens[j].name not in _HEAD), n)
         following = n
         for i in range(n - 1, -1, -1):
             if tokens[i].name in _OPEN_ENDED and not tokens[i].closing:
@@ -130,6 +148,10 @@ class _Spans:
         own = self.tokens[end].closing and self.tokens[end].name == self.tokens[i].name
         return (end + 1, self.tokens[end].end) if own else (end, self.tokens[end].start)
 
+    def closed(self, i: int) -> bool:
+        """Whether element i has an end; one that is still open at the page's end marks nothing."""
+        return self.ends[i] < len(self.tokens) or self.tokens[i].name in _RAW
+
     def holds_article(self, i: int, kind: str) -> bool:
         """Whether element i, of a kind from _other, holds a main element, all articles or most of the text outside of links."""
         end = self.ends[i]
@@ -140,25 +162,31 @@ class _Spans:
         return self.mains[end] > self.mains[i] or (every and most if kind == "remark" else every or most)
 
 
-def lines_of(page: str) -> list[Line]:
-    """Text blocks of a page in order, without what is marked as something else."""
+def lines_of(page: str) -> tuple[list[Line], _Spans]:
+    """Text blocks of a page in order, without what is marked as something else, and the page's elements."""
     lines: list[Line] = []
     parts: list[tuple[str, bool]] = []
     tokens = _tokens(page)
     spans = _Spans(page, tokens)
-    at = i = inside = links = 0
+    at = i = inside = links = first = 0
+
+    def add(text: str, place: int) -> None:
+        nonlocal first
+        if not parts or not any(p.strip() for p, _ in parts):
+            first = place
+        parts.append((text, links > 0))
 
     def flush() -> None:
         text = " ".join(unescape("".join(p for p, _ in parts)).split())
         if text:
             linked = sum(len(p) for p, link in parts if link)
-            lines.append(Line(text, max(0, len(text) - linked), inside > 0))
+            lines.append(Line(text, max(0, len(text) - linked), first))
         parts.clear()
 
     while i < len(tokens):
         start, end, name, closing, attributes = tokens[i]
         if start > at:
-            parts.append((page[at:start], links > 0))
+            add(page[at:start], i)
         at, i = end, i + 1
         if not name:
             continue
@@ -170,37 +198,61 @@ def lines_of(page: str) -> list[Line]:
             continue
         if name in _VOID or attributes.endswith("/") and name not in _BLOCK:
             if name == "br":
-                parts.append((" ", links > 0))
+                add(" ", i - 1)
             continue
         if name in _RAW:
             continue
         kind = "always" if name in _SKIP or name == "header" and not inside else _other(name, attributes)
-        if kind in ("always", "hidden") or kind and not spans.holds_article(i - 1, kind):
+        if kind and spans.closed(i - 1) and (kind in ("always", "hidden") or not spans.holds_article(i - 1, kind)):
             i, at = spans.behind(i - 1)
             continue
         inside += name in ("article", "main")
         links += name == "a"
     if at < len(page):
-        parts.append((page[at:], links > 0))
+        add(page[at:], len(tokens))
     flush()
-    return lines
+    return lines, spans
 
 
 def region(lines: list[Line]) -> tuple[int, int]:
     """First and last + 1 of the lines between surge and dive; all of them if none surges."""
-    sums = [sum(line.weight for line in lines[i : i + WINDOW]) for i in range(max(1, len(lines) - WINDOW + 1))]
-    high = [i for i, s in enumerate(sums) if s >= SURGE]
+    upto = list(accumulate((line.weight for line in lines), initial=0))
+    high = [i for i in range(max(1, len(lines) - WINDOW + 1)) if upto[min(i + WINDOW, len(lines))] - upto[i] >= SURGE]
     if not high:
         return 0, len(lines)
     return high[0], min(len(lines), high[-1] + WINDOW)
 
 
+def container(lines: list[Line], spans: _Spans, a: int, b: int) -> tuple[int, int, bool] | None:
+    """Lines of the innermost article or main element, else of another, that holds the text of lines a to b - 1, and whether it is an article or main element."""
+    upto = list(accumulate((line.weight for line in lines), initial=0))
+    total, places = upto[b] - upto[a], [line.at for line in lines]
+    found: dict[bool, tuple[int, int]] = {}
+    for i, token in enumerate(spans.tokens if total else ()):
+        if token.closing or token.name not in _HOLDERS:
+            continue
+        low, high = bisect_right(places, i), bisect_right(places, spans.ends[i])
+        held = upto[max(min(high, b), a)] - upto[min(max(low, a), b)]
+        article = token.name in ("article", "main")
+        if held > ARTICLE_HOLDS * total if article else held >= HOLDS * total:
+            if article not in found or high - low <= found[article][1] - found[article][0]:
+                found[article] = low, high
+    return next(((*found[kind], kind) for kind in (True, False) if kind in found), None)
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by one newline."""
-    lines = lines_of(page or "")
+    lines, spans = lines_of(page or "")
     a, b = region(lines)
-    if 2 * sum(line.weight for line in lines[a:b] if line.inside) > sum(line.weight for line in lines[a:b]):
-        return "\n".join(line.text for line in lines if line.inside)
+    held = container(lines, spans, a, b)
+    if held:
+        low, high, article = held
+        beside = lambda line: article or 2 * line.weight < len(line.text)
+        while a < low and beside(lines[a]):
+            a += 1
+        while b > high and beside(lines[b - 1]):
+            b -= 1
+        a, b = min(a, low), max(b, high)
     return "\n".join(line.text for line in lines[a:b])
 
 
@@ -217,5 +269,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     cut off in the middle keep what they have. Rows are independent: repeated rows give repeated results,
     null ids and urls stay null, an empty table gives an empty one; other columns are not read.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    rows = in_small_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
