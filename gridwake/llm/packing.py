@@ -2,8 +2,7 @@
 
 Attention costs a sequence about its tokens plus, for each piece in it, the square of the piece's length.
 Documents of a block are taken by falling length, each to the sequence of least cost so far that still has
-room for all of it; where none of the few cheapest has, the cheapest takes as much as it can and the rest
-goes on. A block's sequences hold exactly its tokens: as many whole ones as they fill, and what is left over as
+room for all of it; where none has, the cheapest takes as much as it can and the rest goes on. A block's sequences hold exactly its tokens: as many whole ones as they fill, and what is left over as
 sequences of a power of two, which need no padding. Sequences never mix blocks.
 """
 
@@ -22,16 +21,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_small_batches
 from .text import SLICE_BYTES, buffers, find_words, is_space, slices, span_hashes
 
 SEQUENCE, END_ID = 2048, 1
 #: Tokens of a block at least (the last of a task has what is left), and the weight of the square.
 BLOCK_TOKENS, SQUARE = 4_000_000, 1.0 / 2048
-#: Cheapest sequences that are tried for one with room for all of a document before it is cut.
-LOOKED_AT = 8
 #: Distinct chunks whose ids a task remembers; then it starts anew.
 REMEMBERED = 2_000_000
 
+#: Stands for no sequence.
+_NONE = (float("inf"), -1)
+
 #: White space beyond the six ASCII characters, and the special token: such texts are encoded whole.
 _WHOLE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|<\|endoftext\|>")
 
@@ -68,7 +69,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.place: dict[int, int] = {}
-        self.edges, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint16)
+        self.edges, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -99,7 +100,7 @@ class Encoder:
         size = self.edges[chunk + 1] - self.edges[chunk]
         until = np.cumsum(size)
         source = np.arange(until[-1] if len(until) else 0) + np.repeat(self.edges[chunk] - (until - size), size)
-        return self.ids[source].astype(np.uint32), np.r_[0, until][first]
+        return self.ids[source], np.r_[0, until][first]
 
     def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray, new: np.ndarray, where: np.ndarray) -> None:
         size = end - start
@@ -116,7 +117,7 @@ class Encoder:
         where[new[np.concatenate((many, rest))]] = np.arange(base, base + len(new))
         self.place.update(zip(hashes.tolist(), where[new].tolist(), strict=True))
         self.edges = np.concatenate((self.edges, self.edges[-1] + np.cumsum(counts)))
-        self.ids = np.concatenate((self.ids, joined.astype(np.uint16), np.array([i for x in single for i in x], np.uint16)))
+        self.ids = np.concatenate((self.ids, joined.astype(np.uint32), np.array([i for x in single for i in x], np.uint32)))
 
 
 def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,30 +151,65 @@ def capacities(tokens: int, size: int = SEQUENCE) -> list[int]:
     return [size] * (tokens // size) + [1 << i for i in reversed(range(size.bit_length())) if tokens % size >> i & 1]
 
 
+class Open:
+    """Sequences with room left: the one of least cost (then least number) among those with at least so much room."""
+
+    def __init__(self, rooms: list[int]) -> None:
+        self.width = 1 << max(rooms, default=0).bit_length()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(self.width)]
+        self.least: list[tuple[float, int]] = [_NONE] * (2 * self.width)
+        for i, room in enumerate(rooms):
+            heapq.heappush(self.heaps[room], (0.0, i))
+        for room in set(rooms):
+            self._lift(room)
+
+    def _lift(self, room: int) -> None:
+        least, at = self.least, room + self.width
+        least[at] = self.heaps[room][0] if self.heaps[room] else _NONE
+        while at > 1:
+            at >>= 1
+            a, b = least[2 * at], least[2 * at + 1]
+            least[at] = a if a < b else b
+
+    def cheapest(self, room: int) -> tuple[float, int]:
+        """Cost and number; _NONE if no sequence has so much room."""
+        found, low, high, least = _NONE, room + self.width, 2 * self.width, self.least
+        if room >= self.width:
+            return found
+        while low < high:
+            if low & 1:
+                found, low = min(found, least[low]), low + 1
+            if high & 1:
+                high -= 1
+                found = min(found, least[high])
+            low, high = low >> 1, high >> 1
+        return found
+
+    def move(self, sequence: int, cost: float, room: int, left: int) -> None:
+        """A sequence that had ``room`` (and is the cheapest with that) has ``left`` now, at a new cost."""
+        heapq.heappop(self.heaps[room])
+        self._lift(room)
+        if left:
+            heapq.heappush(self.heaps[left], (cost, sequence))
+            self._lift(left)
+
+
 def pack(lengths: list[int], size: int = SEQUENCE, square: float = SQUARE) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of a block; every sequence comes out full."""
-    room = capacities(sum(lengths), size)
-    used = [0] * len(room)
-    open_ = [(0.0, i) for i in range(len(room))]
-    heapq.heapify(open_)
+    rooms = capacities(sum(lengths), size)
+    room, open_ = list(rooms), Open(rooms)
     pieces = []
     for doc in sorted(range(len(lengths)), key=lambda d: (-lengths[d], d)):
         start, left = 0, lengths[doc]
         while left:
-            passed = []
-            while open_ and len(passed) < LOOKED_AT and left <= size and room[open_[0][1]] - used[open_[0][1]] < left:
-                passed.append(heapq.heappop(open_))
-            if passed and (not open_ or room[open_[0][1]] - used[open_[0][1]] < left):  # none has room for all: the cheapest is filled
-                heapq.heappush(open_, passed.pop(0))
-            cost, i = heapq.heappop(open_)
-            n = min(left, room[i] - used[i])
-            pieces.append((doc, start, n, i, used[i]))
-            used[i] += n
+            cost, i = open_.cheapest(left)
+            if i < 0:  # none has room for all
+                cost, i = open_.cheapest(1)
+            n, had = min(left, room[i]), room[i]
+            pieces.append((doc, start, n, i, rooms[i] - had))
+            room[i] -= n
+            open_.move(i, cost + n + square * n * n, had, room[i])
             start, left = start + n, left - n
-            for x in passed:
-                heapq.heappush(open_, x)
-            if used[i] < room[i]:
-                heapq.heappush(open_, (cost + n + square * n * n, i))
     return pieces
 
 
@@ -185,7 +221,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     shuffled; ``sequence_id`` holds the task's number and counts up in it. An empty table gives an empty one.
     ``path`` is the tokenizer file on the executors (default: the installed public one).
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path or tokenizer_path())

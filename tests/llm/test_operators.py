@@ -222,6 +222,29 @@ def test_piece_checksums(spark):
         assert r["ids_crc32"] == zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes())
 
 
+def brute_pack(lengths, size, square):
+    """Longest first, each to the cheapest of all sequences with room for all of it, else to the cheapest with any."""
+    room = packing.capacities(sum(lengths), size)
+    cost, used, pieces = [0.0] * len(room), [0] * len(room), []
+    for doc in sorted(range(len(lengths)), key=lambda d: (-lengths[d], d)):
+        start, left = 0, lengths[doc]
+        while left:
+            fits = [i for i in range(len(room)) if room[i] - used[i] >= left] or [i for i in range(len(room)) if room[i] > used[i]]
+            i = min(fits, key=lambda j: (cost[j], j))
+            n = min(left, room[i] - used[i])
+            pieces.append((doc, start, n, i, used[i]))
+            used[i], cost[i], start, left = used[i] + n, cost[i] + n + square * n * n, start + n, left - n
+    return pieces
+
+
+@pytest.mark.parametrize("size", [16, 2048])
+def test_pack_takes_the_cheapest_with_room(size):
+    rng = np.random.default_rng(3)
+    for high in (2, size // 2, 2 * size):
+        lengths = rng.integers(1, high + 1, 300).tolist()
+        assert packing.pack(lengths, size, 1 / size) == brute_pack(lengths, size, 1 / size)
+
+
 def test_pack_balances_cost():
     rng = np.random.default_rng(3)
     lengths = rng.integers(1, 3000, 400).tolist()
