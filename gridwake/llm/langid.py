@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import in_small_batches
+
 #: N-grams in a profile, and the prediction for texts without a letter.
 LENGTH, UNKNOWN = 300, "und"
 _BITS = 21
@@ -51,7 +53,7 @@ def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def top(codes: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """The most frequent codes; the smaller code first where counts are equal."""
     codes, n = counted(codes)
-    return codes[np.argsort((65535 - np.minimum(n, 65535)).astype(np.uint16), kind="stable")[:length]]
+    return codes[np.argsort(-n.astype(np.int32 if len(n) and n.max() > 32767 else np.int16), kind="stable")[:length]]
 
 
 class Profiles(NamedTuple):
@@ -102,7 +104,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lengt
 
     Counts are added up on the cluster; ``length`` rows for each language come to the driver.
     """
-    rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    rows = in_small_batches(docs).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     counts = rows.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code")) - 1).where(F.col("rank") < length)
     table = best.select("lang", "code", "rank").toArrow().to_pandas()
@@ -119,7 +121,7 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", others
     A null text, or one without a letter, gives ``und`` and 0; so does every text if nothing was learned.
     Equal distances go to the first language by name. Rows are independent; an empty table gives an empty one.
     """
-    rows = docs.select(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in (others or {}).items()], F.col(text_col).alias("text"))
+    rows = in_small_batches(docs).select(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in (others or {}).items()], F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
