@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .shared import new_path
+from .shared import in_small_batches, joined, new_path
 
 MAGIC = "WARC/1.0\r\n"
 #: Between records; the text writer puts it after each.
@@ -67,12 +68,14 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     responses. An empty table writes no record.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"))
-    copies = rows.where(F.octet_length("html") >= least).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
+    rows = in_small_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"))
+    copies = rows.where(F.octet_length("html") >= least).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     copies = copies.checkpoint()
-    copies = F.broadcast(copies) if copies.count() <= MOST_BROADCAST else copies
-    joined = rows.join(copies, "sha1", "left")
-    joined.mapInArrow(_render, "value string").write.option("lineSep", END).text(path)
+    if copies.count() <= MOST_BROADCAST:
+        marked = rows.join(F.broadcast(copies.drop("n")), "sha1", "left")
+    else:
+        marked = joined(rows, copies.drop("n"), ["sha1"], "left", counts=copies)
+    marked.mapInArrow(_render, "value string").write.option("lineSep", END).text(path)
 
 
 def _field(head: bytes, name: str) -> str | None:
@@ -214,9 +217,23 @@ def _split(pieces: DataFrame, ranges: DataFrame, records: DataFrame) -> DataFram
         return pa.table({"page_id": pa.array([got.get("page_id")], pa.int64()), "payload_bytes": pa.array([got.get("payload_bytes")], pa.int64()), "payload_digest": pa.array([got.get("payload_digest")], pa.string()), "kind": pa.array([got.get("kind")], pa.string()), "refers_to": pa.array([got.get("refers_to")], pa.int64()), "good": pa.array([got.get("good")], pa.bool_())})
 
     placed = pieces.withColumn("n", F.octet_length("value")).mapInArrow(place, "file string, block long, piece long, value binary").join(ranges.select("file", "block", "base"), ["file", "block"]).withColumn("piece", F.col("piece") + F.col("base"))
-    spans = records.select("file", "at", "next")
-    mine = placed.join(spans, "file").where("piece >= at and piece < next")
-    return mine.select("file", "at", "piece", "value").groupBy("file", "at").applyInArrow(whole, "page_id long, payload_bytes long, payload_digest string, kind string, refers_to long, good boolean")
+    mine = _owned(placed, ranges, records).where("span is not null and piece < span.next").select("file", F.col("span.at").alias("at"), "piece", "value")
+    return mine.groupBy("file", "at").applyInArrow(whole, "page_id long, payload_bytes long, payload_digest string, kind string, refers_to long, good boolean")
+
+
+def _owned(pieces: DataFrame, ranges: DataFrame, records: DataFrame) -> DataFrame:
+    """``pieces`` with the last record that begins at or before each (``span``), found in order within its range.
+
+    A record that goes beyond its range is noted at the start of each further one; one at most crosses an edge.
+    """
+    span = F.struct("at", "next").alias("span")
+    start = (F.col("base") - len(MAGIC)).alias("piece")
+    beyond = records.select("file", "block", "at", "next").join(ranges.select("file", "block", "stop"), ["file", "block"]).where("next > stop")
+    further = beyond.drop("block", "stop").join(ranges.select("file", "block", "base"), "file").select("file", "block", start, span).where("piece > span.at and piece < span.next")
+    marks = records.select("file", "block", F.col("at").alias("piece"), span).unionByName(further)
+    rows = pieces.select("file", "block", "piece", "value", F.lit(None).cast("struct<at:long,next:long>").alias("span")).unionByName(marks.withColumn("value", F.lit(None).cast("binary")).select("file", "block", "piece", "value", "span"))
+    order = Window.partitionBy("file", "block").orderBy("piece", F.col("value").isNotNull(), F.col("span.at"))
+    return rows.withColumn("span", F.last("span", ignorenulls=True).over(order)).where("value is not null")
 
 
 def roundtrip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
