@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_small_batches
 from .text import Words, buffers, covered, find_words, mix, slices, span_hashes, starts_of, windows
 
 #: Words of a repeated window, words of a document at least, and repeated words in 100 at most.
@@ -84,7 +85,7 @@ def failed() -> Column:
 
 def measured(docs: DataFrame, text_col: str = "text", others: dict[str, str] | None = None) -> DataFrame:
     """``others`` (new name: column), ``text`` and the statistics of each row's whole text; a null text has no words."""
-    rows = docs.select(*[F.col(c).alias(n) for n, c in (others or {}).items()], F.col(text_col).alias("text"))
+    rows = in_small_batches(docs).select(*[F.col(c).alias(n) for n, c in (others or {}).items()], F.col(text_col).alias("text"))
     return rows.mapInArrow(_measure, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", " + STATISTICS)
 
 
@@ -119,7 +120,5 @@ def judged(docs: DataFrame, host_col: str = "source", text_col: str = "text", ot
     hosts = rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("fails")).checkpoint()
     p = prior(hosts)
     bad = hosts.where((F.col("fails") + p.alpha) / (F.col("n") + p.alpha + p.beta) > MOST_FAILED).select(F.col("host").alias("bad_host"), F.lit(True).alias("host_failed"))
-    if bad.isEmpty():
-        return rows.withColumn("kept", ~F.col("base_failed"))
     bad = F.broadcast(bad) if bad.count() <= MOST_BROADCAST else bad
     return rows.join(bad, F.col("host").eqNullSafe(F.col("bad_host")), "left").withColumn("kept", ~F.col("base_failed") & F.col("host_failed").isNull()).drop("bad_host", "host_failed")
