@@ -25,9 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .shared import HOT_ROWS, Shelf, hot_keys, in_small_batches, joined, small
+from .blocks import block_count, block_of, bucket_bits, by_bucket, numbers
+from .shared import Shelf, hot_keys, in_small_batches, joined, small
 from .text import Words, buffers, find_words, mix, powers, slices, span_hashes, starts_of, windows
 
 #: Words of a k-mer, k-mers of a sketch, sketches of a text, and the least similarity.
@@ -39,6 +39,8 @@ SHORT = 15
 OUTSIDE, CHUNK = 64, 64
 #: Pairs of a task that aligns them, on average, as long as there are no more than so many tasks.
 PAIRS, MOST_TASKS = 1000, 20_000
+#: Pairs of one text that go to one task.
+PART = 64
 
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, (2, 256), dtype=np.uint64) | np.uint64(1)
 #: Parity bits of a text, as so many longs.
@@ -257,14 +259,14 @@ def _compared(least: float):
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Those of the stored pairs (a, b) that are near.
 
-    The text of ``a`` travels once for HOT_ROWS of its pairs, that of ``b`` with each pair; a text with many
-    pairs is dealt to as many tasks.
+    The text of ``a`` travels once for PART of its pairs, that of ``b`` with each pair; a text with many pairs
+    is dealt to as many tasks.
     """
-    hot = hot_keys(pairs, ["a"])
+    hot = hot_keys(pairs, ["a"], least=2 * PART)
     if hot is None:
         dealt, pivots = pairs.withColumn("part", F.lit(0)), pairs.select("a").distinct().withColumn("part", F.lit(0))
     else:
-        parts = F.broadcast(hot.select("a", F.ceil(F.col("hot_n") / HOT_ROWS).cast("int").alias("parts")))
+        parts = F.broadcast(hot.select("a", F.ceil(F.col("hot_n") / PART).cast("int").alias("parts")))
         dealt = pairs.join(parts, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
         pivots = dealt.select("a", "part").distinct()
     own = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "text")
@@ -282,12 +284,15 @@ def components(links: DataFrame, shelf: Shelf) -> DataFrame:
     """
     both = shelf.put(links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct(), "links")
     labels = shelf.put(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("label")).select("node", F.least("node", "label").alias("label")), "labels")
+    often = hot_keys(both, ["y"])
     while True:
-        seen = joined(both, labels.withColumnRenamed("node", "y"), ["y"]).groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
-        spread = shelf.put(labels.join(seen, "node").select("node", F.least("label", "near").alias("new"), "label"), "spread")
-        roots = spread.select(F.col("node").alias("new"), F.col("new").alias("root"))
-        jumped = shelf.put(joined(spread, roots, ["new"]).select("node", F.least("new", "root").alias("label"), (F.least("new", "root") != F.col("label")).alias("moved")), "labels")
-        shelf.drop(labels, spread)
+        roots = hot_keys(labels, ["label"])
+        seen = joined(both, labels.withColumnRenamed("node", "y"), ["y"], hot=often, known=True).groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
+        spread = labels.join(seen, "node").select("node", F.least("label", "near").alias("new"), "label")
+        root = spread.select(F.col("node").alias("new"), F.col("new").alias("root"))
+        jumped = joined(spread, root, ["new"], hot=roots and roots.withColumnRenamed("label", "new"), known=True)
+        jumped = shelf.put(jumped.select("node", F.least("new", "root").alias("label"), (F.least("new", "root") != F.col("label")).alias("moved")), "labels")
+        shelf.drop(labels)
         if jumped.where("moved").isEmpty():
             shelf.drop(both)
             return jumped
@@ -342,28 +347,60 @@ def _linked(pairs: DataFrame, links: DataFrame, texts: DataFrame, least: float,
     return links, labels
 
 
-def _kmer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b, words, _, label, doc in _slices(batch):
-            size = np.bincount(doc, minlength=b - a)
-            own = batch.select(["id", "own"]).slice(a, b - a).take(pa.array(doc))
-            yield pa.RecordBatch.from_pydict({"id": own["id"], "own": own["own"], "size": pa.array(size[doc], pa.int64()), "key": pa.array(label.view(np.int64), pa.int64())})
+def _frequency(n: np.ndarray) -> np.ndarray:
+    """A k-mer's count as one byte, in the same order: 0 for one text alone, then in eighths of a power of two."""
+    return np.where(n > 1, np.minimum(1 + 8 * np.log2(np.maximum(n, 1)), 255), 0).astype(np.uint8)
 
 
 def _by_rare_kmers(texts: DataFrame, least: float, shelf: Shelf) -> DataFrame:
     """Groups (key, id) of the texts that share one of their rarest k-mers; stored.
 
-    Of n k-mers the n - least * n + 1 rarest count, the same order for all texts; two near texts share
-    least * max(n, m) k-mers, so one of these.
+    Of n k-mers the n - least * n + 1 rarest count, in one order for all texts (by frequency, then by hash); two
+    near texts share least * max(n, m) k-mers, so one of these. Blocks of texts ask buckets how frequent their
+    distinct k-mers are and get one byte for each, so a k-mer that all texts share makes no large group.
     """
-    rows = shelf.put(texts.select("id", F.xxhash64("text").alias("own"), "text").mapInArrow(_kmer_rows, "id long, own long, size long, key long"), "kmers")
-    shared = shelf.put(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    ranked = joined(rows, shared, ["key"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    place = F.row_number().over(Window.partitionBy("id", "own", "size").orderBy("n", "key"))
-    rare = ranked.withColumn("place", place).where((F.col("n") > 1) & (F.col("place") <= F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1))
-    out = shelf.put(rare.select("key", "id").distinct(), "rare")
-    shelf.drop(rows, shared)
-    return out
+    n = block_count(texts, "text")
+    bits = bucket_bits(n)
+    dealt = texts.select("id", "text", block_of(F.col("id"), F.col("text"), n).alias("block"))
+
+    def distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        parts = [label for batch in table.to_batches() for *_, label, _ in _slices(batch)]
+        return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+    def ask(key, table):
+        value, count = distinct(table)
+        rows = [(b, key[0].as_py(), value[i:j].tobytes(), count[i:j].astype(np.uint32).tobytes()) for b, i, j in by_bucket(value, bits)]
+        kinds = {"bucket": pa.int32(), "block": pa.int32(), "hashes": pa.binary(), "counts": pa.binary()}
+        return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(kinds.items())})
+
+    def tell(key, table):
+        parts = [numbers(x) for x in table["hashes"].to_pylist()]
+        value, at = np.unique(np.concatenate(parts), return_inverse=True)
+        total = np.bincount(at, np.concatenate([numbers(x, np.uint32) for x in table["counts"].to_pylist()]), len(value))
+        told = np.split(_frequency(total)[at], np.cumsum([len(p) for p in parts])[:-1])
+        return pa.table({"bucket": table["bucket"], "block": table["block"], "told": pa.array([t.tobytes() for t in told], pa.binary())})
+
+    def finish(key, table, told):
+        value, _ = distinct(table)
+        answer = dict(zip(told["bucket"].to_pylist(), told["told"].to_pylist(), strict=True))
+        known = np.concatenate([numbers(answer[b], np.uint8) for b, _, _ in by_bucket(value, bits)]) if len(value) else np.empty(0, np.uint8)
+        keys, ids = [], []
+        for batch in table.to_batches():
+            for a, b, _, _, label, doc in _slices(batch):
+                often = known[np.searchsorted(value, label)]
+                order = np.lexsort((label, often, doc))
+                who = doc[order]
+                first = np.searchsorted(who, np.arange(b - a))
+                rank = np.arange(len(who)) - first[who]
+                keep = order[(rank < _prefix(np.bincount(doc, minlength=b - a), least)[who]) & (often[order] > 0)]
+                keys.append(label[keep].view(np.int64))
+                ids.append(batch["id"].slice(a, b - a).take(pa.array(doc[keep])))
+        return pa.table({"key": pa.array(np.concatenate(keys) if keys else [], pa.int64()), "id": pa.chunked_array(ids, pa.int64())})
+
+    by_block = dealt.groupBy("block")
+    told = by_block.applyInArrow(ask, "bucket int, block int, hashes binary, counts binary").groupBy("bucket").applyInArrow(tell, "bucket int, block int, told binary")
+    rare = by_block.cogroup(told.groupBy("block")).applyInArrow(finish, "key long, id long")
+    return shelf.put(rare.distinct(), "rare")
 
 
 def _marked(groups: DataFrame, labels: DataFrame) -> DataFrame:

@@ -87,26 +87,27 @@ class Shelf:
         self.drop(*[table for table, _ in list(self.paths.values())])
 
 
-def hot_keys(rows: DataFrame, keys: list[str], counts: DataFrame | None = None) -> DataFrame | None:
+def hot_keys(rows: DataFrame, keys: list[str], counts: DataFrame | None = None, least: int = HOT_ROWS) -> DataFrame | None:
     """The most frequent keys with their rows (``hot_n``), HOT_KEYS at most, so any other key has under a thousandth of the rows; None if no key is frequent.
 
     ``counts`` holds the rows of each key as ``n``, where the caller has it already.
     """
     if counts is None:
         counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    counts = counts.select(*keys, F.col("n").alias("hot_n")).where(F.col("hot_n") >= HOT_ROWS)
+    counts = counts.select(*keys, F.col("n").alias("hot_n")).where(F.col("hot_n") >= least)
     top = counts.orderBy(F.desc("hot_n"), *keys).limit(HOT_KEYS)
     found = top.collect()
     return rows.sparkSession.createDataFrame(found, top.schema) if found else None
 
 
-def joined(rows: DataFrame, by_key: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+def joined(rows: DataFrame, by_key: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None, hot: DataFrame | None = None, known: bool = False) -> DataFrame:
     """``rows`` with the columns of ``by_key``, which has one row for a key (or a small bounded number), even if a key has much of the rows.
 
     Rows of hot keys stay where they are and get a broadcast of these keys' rows, of which there are HOT_KEYS
-    at most; all others are joined by shuffle. ``rows`` is read up to three times, so it should be stored.
+    at most; all others are joined by shuffle. ``rows`` is read up to three times, so it should be stored. A
+    caller that joins by the same keys again passes what ``hot_keys`` gave (``hot``, ``known``).
     """
-    hot = hot_keys(rows, keys, counts)
+    hot = hot if known else hot_keys(rows, keys, counts)
     if hot is None:
         return rows.join(by_key, keys, how)
     hot = F.broadcast(hot.drop("hot_n"))
