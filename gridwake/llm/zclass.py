@@ -1,14 +1,14 @@
 """Quality classification by compression.
 
-Two zstandard dictionaries are built from good and from bad labelled texts. A text that is like the good
-ones compresses better with the first. The difference of its two compressed sizes over its own size is
-turned into the probability of label 1 by a logistic fit on labelled texts that are in neither dictionary.
-The fit also sees the normalised size itself and the text's length, since the same difference says more
-about a text that hardly compresses, or a long one.
+Two zstandard dictionaries hold good and bad labelled texts. A text that is like the good ones compresses better
+with the first. The difference of its two compressed sizes, normalised by the square root of its own size (by
+which the difference of two unrelated dictionaries varies), is the one input of the score: a logistic curve,
+fitted on labelled texts that are in neither dictionary, turns it into the probability of label 1.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from operator import or_
@@ -23,71 +23,67 @@ from pyspark.sql import functions as F
 from .shared import in_small_batches
 
 #: Bytes of a dictionary, labelled texts of each label for the fit, and their bytes of text, at most.
-DICTIONARY, ROWS, BYTES = 112_640, 4_000, 24_000_000
-LEVEL = 3
+DICTIONARY, ROWS, BYTES = 262_144, 1_500, 6_000_000
+LEVEL = 6
 
 
 class Classifier(NamedTuple):
+    """Two dictionaries, and the slope and place of the logistic curve."""
+
     good: bytes
     bad: bytes
-    mean: np.ndarray
-    scale: np.ndarray
-    weights: np.ndarray
+    slope: float
+    place: float
 
     def scorer(self):
         """A function from a text to its score; build it once for many texts."""
         sizes = _sizer(self.good), _sizer(self.bad)
-
-        def score(text: str | None) -> float:
-            return float(_chance(_features(np.array([measures(sizes, text)]), self.mean, self.scale) @ self.weights)[0])
-
-        return score
+        return lambda text: float(_chance(self.slope * difference(sizes, text) + self.place))
 
 
 def _sizer(dictionary: bytes):
     if not dictionary:
         return zstandard.ZstdCompressor(level=LEVEL).compress
-    known = zstandard.ZstdCompressionDict(dictionary)
+    known = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     known.precompute_compress(level=LEVEL)
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_dict_id=False).compress
 
 
-def measures(sizes, text: str | None) -> tuple[float, float, float]:
-    """Difference of the compressed sizes and the size with the good dictionary, both over the text's, and its log length."""
+def difference(sizes, text: str | None) -> float:
+    """How much smaller the text gets with the good dictionary than with the bad, over the root of its own size."""
     data = (text or "").encode("utf-8", "replace")
-    good, bad, n = len(sizes[0](data)), len(sizes[1](data)), len(data) + 1
-    return (bad - good) / n, good / n, float(np.log(n))
-
+    return (len(sizes[1](data)) - len(sizes[0](data))) / math.sqrt(len(data) + 1)
 
-def _features(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """Measures in standard units, their products, and a one."""
-    x = np.clip((x - mean) / scale, -6, 6)
-    pairs = [x[:, i] * x[:, j] for i in range(x.shape[1]) for j in range(i, x.shape[1])]
-    return np.column_stack([x, *pairs, np.ones(len(x))])
 
-
-def _chance(x: np.ndarray) -> np.ndarray:
+def _chance(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary; the texts' own bytes where there are too few to train on."""
-    try:
-        return zstandard.train_dictionary(min(DICTIONARY, max(1024, sum(map(len, texts)) // 4)), texts).as_bytes()
-    except (zstandard.ZstdError, ValueError):
-        return b"".join(texts)[-DICTIONARY:]
-
-
-def _logistic(features: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> np.ndarray:
-    """Weights by Newton's method, with a small penalty that keeps them finite."""
-    w, ridge = np.zeros(features.shape[1]), penalty * np.eye(features.shape[1])
+def _dictionaries(texts: dict[int, list[bytes]]) -> dict[int, bytes]:
+    """Whole texts of each label in order, as long as they fit; both of one size, so neither has an advantage."""
+    most = min(DICTIONARY, *(sum(map(len, found)) for found in texts.values()))
+    built = {}
+    for y, found in texts.items():
+        parts, room = [], most
+        for text in found:
+            if len(text) <= room:
+                parts.append(text)
+                room -= len(text)
+        built[y] = b"".join(parts)
+    return built
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2) -> tuple[float, float]:
+    """Slope (0 at least, so the score never falls as the difference grows) and place by Newton's method."""
+    both = np.column_stack([x, np.ones(len(x))])
+    w, ridge = np.zeros(2), penalty * np.eye(2)
     for _ in range(60):
-        p = _chance(features @ w)
-        step = np.linalg.solve(features.T @ (features * (p * (1 - p))[:, None]) + ridge, features.T @ (p - y) + ridge @ w)
+        p = _chance(both @ w)
+        step = np.linalg.solve(both.T @ (both * (p * (1 - p))[:, None]) + ridge, both.T @ (p - y) + ridge @ w)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
-    return w
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (0.0, float(np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9))))
 
 
 def _drawn(place: Column, counts: dict[int, int], most: int) -> Column:
@@ -97,41 +93,39 @@ def _drawn(place: Column, counts: dict[int, int], most: int) -> Column:
     return reduce(or_, [(F.col("y") == y) & (share < limit) for y, limit in limits.items()], F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = ROWS) -> Classifier:
-    """Learn from labelled rows of ``docs``: a sample of at most ``rows`` for each label, in the order of a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = ROWS, size: int = BYTES) -> Classifier:
+    """Learn from labelled rows of ``docs``: of each label at most ``rows`` texts and ``size`` bytes, in the order of a hash of the id.
 
-    Two in three texts of the sample build the dictionaries, the rest fits the score, which is corrected for
-    the share of each label among all labelled rows. Null labels and texts are left out; of repeated ids the
-    least label and the least text count. Without texts of both labels every score is the share of label 1
-    (one half if there is none).
+    The sample is chosen by lengths alone, before any text leaves the cluster; then only its texts do, so what
+    reaches the driver is bounded by both parameters. Two in three texts fill the dictionaries, the rest fits
+    the score, which is corrected for the share of each label among all labelled rows. Null labels and texts are
+    left out; of repeated ids the least label and the least text count. With fewer than three texts of a label
+    every score is the share of label 1 (one half if there is none).
     """
     place = F.xxhash64("id")
     marked = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null").groupBy("id").agg(F.min("y").alias("y"))
     all_counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pool = marked.withColumn("place", place).where(_drawn(place, all_counts, 4 * rows))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    sample = texts.join(F.broadcast(pool), "id").groupBy("y", "place", "id").agg(F.min("text").alias("text")).orderBy("y", "place", "id")
-    found: dict[int, list[bytes]] = {0: [], 1: []}
-    size = {0: 0, 1: 0}
-    for row in sample.toLocalIterator():
-        data = row["text"].encode("utf-8", "replace")
-        if len(found[row["y"]]) < rows and size[row["y"]] + len(data) <= BYTES:
-            found[row["y"]].append(data)
-            size[row["y"]] += len(data)
+    lengths = texts.select("id", F.octet_length("text").alias("n")).join(F.broadcast(pool), "id").groupBy("y", "place", "id").agg(F.max("n").alias("n")).collect()
+    chosen: dict[int, list[int]] = {0: [], 1: []}
+    held = {0: 0, 1: 0}
+    for row in sorted(lengths):
+        y = row["y"]
+        if len(chosen[y]) < rows and held[y] + row["n"] <= size:
+            chosen[y].append(row["id"])
+            held[y] += row["n"]
     share = (all_counts.get(1, 0) + 0.5) / (sum(all_counts.values()) + 1)
-    if min(map(len, found.values())) < 3:
-        return Classifier(b"", b"", np.zeros(3), np.ones(3), np.r_[np.zeros(9), np.log(share / (1 - share))])
-    built = {y: [t for i, t in enumerate(found[y]) if i % 3] for y in found}
-    tuned = {y: [t for i, t in enumerate(found[y]) if not i % 3] for y in found}
-    good, bad = _dictionary(built[1]), _dictionary(built[0])
-    sizes = _sizer(good), _sizer(bad)
-    x = np.array([measures(sizes, t.decode("utf-8", "replace")) for y in (0, 1) for t in tuned[y]])
-    y = np.repeat([0.0, 1.0], [len(tuned[0]), len(tuned[1])])
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    weights = _logistic(_features(x, mean, scale), y)
-    sampled = len(tuned[1]) / len(y)
-    weights[-1] += np.log(share / (1 - share)) - np.log(sampled / (1 - sampled))
-    return Classifier(good, bad, mean, scale, weights)
+    if min(map(len, chosen.values())) < 3:
+        return Classifier(b"", b"", 0.0, float(np.log(share / (1 - share))))
+    wanted = docs.sparkSession.createDataFrame([(i,) for ids in chosen.values() for i in ids], "id long")
+    found = {r["id"]: r["text"].encode("utf-8", "replace") for r in texts.join(F.broadcast(wanted), "id").groupBy("id").agg(F.min("text").alias("text")).toLocalIterator()}
+    built = _dictionaries({y: [found[i] for k, i in enumerate(ids) if k % 3] for y, ids in chosen.items()})
+    sizes = _sizer(built[1]), _sizer(built[0])
+    tuned = [(difference(sizes, found[i].decode("utf-8", "replace")), y) for y, ids in chosen.items() for i in ids[::3]]
+    x, y = (np.array(c, float) for c in zip(*tuned, strict=True))
+    slope, at = _logistic(x, y)
+    return Classifier(built[1], built[0], slope, at + float(np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))))
 
 
 def scored(docs: DataFrame, model: Classifier, text_col: str = "text", others: dict[str, str | Column] | None = None) -> DataFrame:

@@ -5,18 +5,21 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import math
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from gridwake.llm import ctph, hosts, langid, mixing, omh, packing, pages, queries, substring, warc, zclass
 from tests.oracle import DATA, by_sql, differences
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+BIGGER = DATA.replace("sf0.001", "sf0.01")
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(30_000))
 PASSAGE = " ".join(f"p{i}" for i in range(60))
 NASTY = [
@@ -330,12 +333,26 @@ def test_bad_host_goes(spark):
 
 
 def test_quality(spark, nasty, empty):
-    got = queries.op8_quality_classifier(spark, DATA).toPandas().merge(spark.read.parquet(f"{DATA}/labels.parquet").toPandas())
-    assert ((got["score"] >= 0.3) == (got["quality"] == 1)).mean() > 0.85
-    assert got["score"].between(0, 1).all()
+    """Held-out rows are ranked and calibrated, and the score rises with the difference of the compressed sizes, computed here anew."""
+    got = queries.op8_quality_classifier(spark, BIGGER).toPandas().merge(spark.read.parquet(f"{BIGGER}/labels.parquet").toPandas())
+    held = got[got["held_out"] & got["quality"].notna()]
+    good, bad = held[held["quality"] == 1]["score"].to_numpy(), held[held["quality"] == 0]["score"].to_numpy()
+    assert len(bad) >= 5 and (good[:, None] > bad).mean() > 0.93  # a constant gives 0
+    assert ((held["score"] >= 0.3) == (held["quality"] == 1)).mean() > (held["quality"] == 1).mean()
+    assert abs(held["score"].mean() - held["quality"].mean()) < 0.1 and got["score"].between(0, 1).all()
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    model = zclass.fit(docs, labels)
+    texts = [t for _, t in sorted((r["doc_id"], r["text"]) for r in docs.collect())]
+    def size(text, dictionary):
+        known = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=zclass.LEVEL, dict_data=known, write_content_size=False, write_dict_id=False).compress(text.encode()))
+    differ = [(size(t, model.bad) - size(t, model.good)) / math.sqrt(len(t.encode()) + 1) for t in texts]
+    score = model.scorer()
+    assert [score(t) for t in texts] == pytest.approx([1 / (1 + math.exp(-model.slope * d - model.place)) for d in differ])
+    assert model.slope > 0 and zclass.fit(docs.unionByName(docs), labels.unionByName(labels)) == model  # repeated rows change nothing
     flat = zclass.fit(nasty, spark.createDataFrame([], "doc_id long, quality int"))
     assert zclass.scored(nasty, flat).select("score").distinct().collect() == [(0.5,)]
-    assert zclass.scored(empty, flat).count() == 0
+    assert zclass.scored(empty, flat).count() == 0 and zclass.fit(empty, labels).slope == 0
 
 
 def test_mixing_meets_targets(spark, nasty, empty):
