@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that a search ignores.
 STOPWORDS = tuple(
-    "a an and are as at be been but by can case cases did do does find for from had has have how i in is it its me of on or "
-    "our show surgeries surgery that the their them these they this those to was we were what when which who with you your".split()
+    "a an and any are be by can case cases did do does find for from give has have how i in is it list many me of on or "
+    "patient patients show tell that the there these this those to was were what when where which who why will with".split()
 )
+_TOKEN = r"[\p{L}\p{N}]"
+
+
+def question_terms(question: str) -> list[str]:
+    """Distinct search tokens of a question, by the rules of ``tokens``, for use as literals."""
+    words = re.findall(r"[^\W_]+", question.replace("₂", "2").lower())
+    return sorted({w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w for w in words if w not in STOPWORDS})
 
 
 def phrases(query: str) -> list[str]:
     """Terms of a query, lower case; a quoted phrase is one term."""
-    import re
-
     return [(a or b).lower() for a, b in re.findall(r'"([^"]+)"|(\S+)', query) if (a or b).strip()]
 
 
@@ -40,14 +47,22 @@ def tokens(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     return F.transform(kept, lambda w: F.when((F.length(w) > 3) & w.endswith("s") & ~w.endswith("ss"), F.left(w, F.length(w) - 1)).otherwise(w))
 
 
-def keyword_score(text: Column, terms: list[str]) -> Column:
-    """Half the share of terms in the text, plus half the share in the sentence with most of them."""
-    if not terms:
-        return F.lit(0.0)
-    wanted = F.array(*[F.lit(t) for t in sorted(set(terms))])
-    hits = lambda t: F.size(F.array_intersect(wanted, tokens(t)))
-    best = F.array_max(F.transform(F.split(text, "[.;]"), hits))
-    return (hits(text) + best) / F.lit(2.0 * len(set(terms)))
+def folded(text: Column) -> Column:
+    return F.lower(F.replace(text, F.lit("₂"), F.lit("2")))
+
+
+def token_count(text: Column) -> Column:
+    """How many ``tokens`` a text has, by counting matches alone."""
+    stop = rf"(?<!{_TOKEN})(?:{'|'.join(STOPWORDS)})(?!{_TOKEN})"
+    return F.regexp_count(folded(text), F.lit(f"{_TOKEN}+")) - F.regexp_count(folded(text), F.lit(stop))
+
+
+def term_count(text: Column, term: str) -> Column:
+    """How often a search token occurs among a text's ``tokens``; 0 without a look at tokens where it is no part of the text."""
+    forms = [term] if not (len(term) > 3 and term.endswith("s") and not term.endswith("ss")) else []
+    forms += [term + "s"] if len(term) >= 3 and not term.endswith("s") else []
+    found = F.regexp_count(folded(text), F.lit(rf"(?<!{_TOKEN})(?:{'|'.join(map(re.escape, forms))})(?!{_TOKEN})")) if forms else F.lit(0)
+    return F.when(F.contains(folded(text), F.lit(term)), found).otherwise(0)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -87,3 +102,14 @@ def nice_step(width: Column) -> Column:
     power = F.pow(F.lit(10.0), F.floor(F.log10(width)))
     ratio = width / power
     return power * F.when(ratio <= 1, 1.0).when(ratio <= 2, 2.0).when(ratio <= 2.5, 2.5).when(ratio <= 5, 5.0).otherwise(10.0)
+
+
+def magnitude(value: Column) -> Column:
+    """The power of ten that a number lies in, as ``1e2..1e3``; null for zero."""
+    e = F.floor(F.log10(F.abs(value))).cast("int")
+    return F.concat(F.lit("1e"), e.cast("string"), F.lit("..1e"), (e + 1).cast("string"))
+
+
+def shown(value: Column) -> Column:
+    """A number without decimals if it is whole, else with one."""
+    return F.when(value == F.floor(value), value.cast("long").cast("string")).otherwise(F.format_string("%.1f", F.bround(value, 1)))

@@ -55,9 +55,14 @@ def with_columns(df: DataFrame, names: list[str], kind: str = "string") -> DataF
 
 
 def last_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The last row of each key in an order without ties."""
-    w = Window.partitionBy(*keys).orderBy(*[c.desc() for c in order])
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """The last row of each key in an order without ties; most rows go before they are shuffled."""
+    row = F.max_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+    return df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(row.alias("_last")).select("_last.*")
+
+
+def dose_kind(start: Column, end: Column) -> Column:
+    """``bolus`` without an end or with one at its start, ``infusion`` with a later, ``reversed`` with an earlier one."""
+    return F.when(end.isNull() | (end == start), "bolus").when(end > start, "infusion").otherwise("reversed")
 
 
 def ideal_weight(height: Column, gender: Column) -> Column:

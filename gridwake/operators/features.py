@@ -10,14 +10,22 @@ from ..config import AGENT_NAMES, MAC_AGE40, MAC_AGE_COEF, N2O_MAC_AGE40
 from .runs import islands
 
 
-def rolling_slope(value: str, keys: list[str], order: list[str], rows: int = 10, least: int = 5) -> Column:
-    """Least-squares slope of ``value`` against its row's place over the last ``rows`` rows; null with fewer than ``least`` values.
+def rolling_slopes(df: DataFrame, values: dict[str, str], keys: list[str], order: list[str], rows: int = 10, least: int = 5) -> DataFrame:
+    """``df`` with a column for each of ``values`` (new name: column): its least-squares slope against the row's place over the last ``rows`` rows.
 
-    A null value keeps its place. Both windows have one partitioning and order, so they share an exchange.
+    Null with fewer than ``least`` values; a null value keeps its place. Places count from the mean place of the
+    frame's values, so a long series loses no digits. ``df`` comes from ``numbered``, whose exchange the window shares.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    frame = w.rowsBetween(-(rows - 1), 0)
-    return F.when(F.count(value).over(frame) >= least, F.regr_slope(F.col(value), F.col("_row")).over(frame))
+    frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(rows - 1), 0)
+    point = lambda v: F.when(F.col(v).isNotNull(), F.struct(F.col("_row").alias("x"), F.col(v).cast("double").alias("y")))
+    total = lambda points, f: F.aggregate(points, F.lit(0.0), lambda s, p: s + f(p))
+    df = df.withColumns({f"_p_{n}": F.collect_list(point(v)).over(frame) for n, v in values.items()})
+    df = df.withColumns({f"_{a}_{n}": total(f"_p_{n}", lambda p, a=a: p[a]) / F.size(f"_p_{n}") for n in values for a in "xy"})
+    for n in values:
+        x, y = F.col(f"_x_{n}"), F.col(f"_y_{n}")
+        xy, xx = (total(f"_p_{n}", f) for f in (lambda p, x=x, y=y: (p["x"] - x) * (p["y"] - y), lambda p, x=x: (p["x"] - x) * (p["x"] - x)))
+        df = df.withColumn(n, F.when(F.size(f"_p_{n}") >= least, xy / xx))
+    return df.drop(*[f"_{a}_{n}" for n in values for a in "pxy"])
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -51,7 +59,7 @@ def add_features(series: DataFrame) -> DataFrame:
     nitrous = F.col("ETN2O") / (N2O_MAC_AGE40 * F.pow(F.lit(10.0), MAC_AGE_COEF * (age - 40)))
     df = df.withColumn("MAC_total_Et", F.when(F.col("MAC_Et").isNotNull() | nitrous.isNotNull(), F.coalesce("MAC_Et", F.lit(0.0)) + F.coalesce(nitrous, F.lit(0.0))))
     df = numbered(df, ["PID"], ["Obs_time"])
-    df = df.withColumn("PIP_slope", rolling_slope("PIP", ["PID"], ["Obs_time"])).withColumn("TV_slope", rolling_slope("TV", ["PID"], ["Obs_time"]))
+    df = rolling_slopes(df, {"PIP_slope": "PIP", "TV_slope": "TV"}, ["PID"], ["Obs_time"])
     if "phase" in df.columns:
         before = F.lag("phase").over(Window.partitionBy("PID").orderBy("Obs_time"))
         df = islands(df, ["PID"], ["Obs_time"], (F.col("_row") > 1) & ~F.col("phase").eqNullSafe(before), "_phase_run")

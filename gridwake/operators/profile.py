@@ -42,10 +42,34 @@ def suppressed(count: Column, least: int = SMALL_CELL) -> Column:
     return F.when((count > 0) & (count < least), F.lit(f"<{least}")).otherwise(count.cast("string"))
 
 
+def names(df: DataFrame, name: str, case: str, most: int = 100, least: int = SMALL_CELL) -> DataFrame:
+    """``label``, ``n``, ``n_cases`` and ``rank`` of the most frequent names, digits and persons masked; the rest is one row ``(other)``.
+
+    A name that fewer than ``least`` cases have is in the rest, whatever its rank. Ranks beyond ``most`` are never
+    computed: the top is a sort with limit.
+    """
+    masked = F.regexp_replace(F.regexp_replace(name, "[0-9]+", "#"), r"(?i)(mr|mrs|ms|dr)\.? +[a-z]+", "[name]")
+    counts = df.where(F.col(name).isNotNull()).groupBy(masked.alias("label")).agg(F.count("*").alias("n"), F.count_distinct(case).alias("n_cases"))
+    top = counts.orderBy(F.desc("n"), "label").limit(most)
+    ranked = top.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "label")).cast("long")).where(F.col("n_cases") >= least)
+    rest = counts.join(ranked.select("label"), "label", "left_anti").agg(F.sum("n").alias("n")).where("n is not null")
+    return ranked.unionByName(rest.select(F.lit("(other)").alias("label"), "n", F.lit(None).cast("long").alias("n_cases"), F.lit(None).cast("long").alias("rank")))
+
+
 def percentiles(df: DataFrame, keys: list[str], value: str, qs: tuple = PERCENTILES) -> DataFrame:
-    """Exact percentiles with linear interpolation, one column each."""
-    found = df.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(q / 100) for q in qs])).alias("p"), F.count(value).alias("n"))
-    return found.select(*keys, "n", *[F.col("p")[i].alias(f"p{q}") for i, q in enumerate(qs)])
+    """Exact percentiles with linear interpolation, one column each.
+
+    Values are counted first, so what is sorted for a key is its distinct values, which spill; no key's values
+    are held in a buffer.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    rows = counts.withColumn("upto", F.sum("n").over(whole.orderBy(value))).withColumn("total", F.sum("n").over(whole))
+    at = lambda rank: F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank), F.col(value)))
+    place = lambda q: (F.col("total") - 1) * (q / 100)
+    found = rows.groupBy(*keys).agg(F.max("total").alias("total"), *[at(f(place(q))).alias(f"{name}{q}") for q in qs for name, f in (("lo", F.floor), ("hi", F.ceil))])
+    shown = [(F.col(f"lo{q}") + (F.col(f"hi{q}") - F.col(f"lo{q}")) * (place(q) - F.floor(place(q)))).alias(f"p{q}") for q in qs]
+    return found.select(*keys, F.col("total").alias("n"), *shown)
 
 
 def changes(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -65,3 +89,28 @@ def tie_aware_top(df: DataFrame, name: str, total: str, k: int = 5, most: int =
     joined = top.join(F.broadcast(tied))
     shown = F.when(F.col("n_tied") <= most, F.col("n_tied")).otherwise(k)
     return joined.where(F.col("rank") <= shown).withColumn("tied_out", F.when(F.col("n_tied") > most, F.col("n_tied") - k).otherwise(F.lit(0)).cast("long")).drop("n_tied")
+
+
+def merged(parts: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
+    """Partial counts of shards added up: equal to the counts of the whole."""
+    return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts])
+
+
+def corpus(readings: DataFrame, ranges: dict[str, tuple[float, float]], case: str, least: int = SMALL_CELL) -> DataFrame:
+    """Histogram of each signal over its range, as ``shown`` count and ``share`` in percent; bins of few cases are not shown.
+
+    ``readings`` has ``signal`` and ``reading``; signals without a range are left out.
+    """
+    bounds = F.create_map(*[x for name, (lo, hi) in ranges.items() for x in (F.lit(name), F.array(F.lit(float(lo)), F.lit(float(hi))))])[F.col("signal")]
+    rows = readings.where(F.col("reading").isNotNull() & F.col("signal").isin(*ranges)).withColumn("bin", bin_of(F.col("reading"), bounds[0], bounds[1]))
+    cells = rows.groupBy("signal", "bin").agg(F.count("*").alias("n"), F.count_distinct(case).alias("cases"))
+    enough = F.col("cases") >= least
+    share = F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("signal")), 4)
+    return cells.select("signal", "bin", F.when(enough, F.col("n").cast("string")).otherwise(F.lit(f"<{least}")).alias("shown"), F.when(enough, share).alias("share"))
+
+
+def phase_counts(df: DataFrame, case: str, phase: str, source: str) -> DataFrame:
+    """Minutes of each phase, and cases of each source (one row a case)."""
+    minutes = df.groupBy(F.lit("minutes").alias("kind"), F.col(phase).alias("label")).agg(F.count("*").alias("n"))
+    sources = df.groupBy(case).agg(F.min(source).alias("label")).groupBy(F.lit("source").alias("kind"), "label").agg(F.count("*").alias("n"))
+    return minutes.unionByName(sources)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,29 +21,40 @@ def all_else_any(docs: DataFrame, column: str, terms: list[str]) -> DataFrame:
     return docs.where(tx.contains_any(F.col(column), terms)) if every.isEmpty() else every
 
 
-def keyword_postings(docs: DataFrame, key: str, column: str, terms: list[str]) -> DataFrame:
-    """Documents with a term, with the same score as ``keyword_score``, from an inverted index of (term, document, sentence).
+def keyword_postings(docs: DataFrame, key: str, column: str, question: str) -> DataFrame:
+    """Documents with a term of the question, with their keyword score, from an inverted index of (term, document, sentence).
 
-    Only rows of a query term are shuffled, and counts are added up before that.
+    The score is half the share of the question's terms in the text, plus half the share in the sentence with most
+    of them. Texts without a term are turned away before they are cut; only rows of terms are shuffled.
     """
-    wanted = sorted({t.lower() for t in terms})
-    sentences = docs.select(key, F.posexplode(F.split(column, "[.;]")).alias("place", "sentence"))
-    postings = sentences.select(key, "place", F.explode(F.array_distinct(tx.tokens(F.col("sentence")))).alias("term")).where(F.col("term").isin(wanted))
-    by_sentence = postings.groupBy(key, "place").agg(F.count("*").alias("n"), F.collect_set("term").alias("terms"))
-    by_doc = by_sentence.groupBy(key).agg(F.max("n").alias("best"), F.size(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("all"))
-    return by_doc.select(key, ((F.col("all") + F.col("best")) / (2.0 * len(wanted))).alias("score"))
-
-
-def _times(column: str, term: str):
-    return F.size(F.filter(column, lambda w: w == term))
-
-
-def bm25(docs: DataFrame, key: str, column: str, terms: list[str]) -> DataFrame:
-    """BM25 of each document with a term. Lengths and counts come from one pass; totals are two numbers."""
-    terms = sorted(set(terms))
-    counted = docs.select(key, tx.tokens(F.col(column)).alias("t")).select(key, F.size("t").alias("n"), *[_times("t", x).alias(f"f{i}") for i, x in enumerate(terms)])
-    has = F.col("n") > 0
-    stats = counted.agg(F.count_if(has).alias("docs"), F.avg(F.when(has, F.col("n"))).alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(terms))]).first()
+    wanted = tx.question_terms(question)
+    if not wanted:
+        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
+    some = F.lit(False)
+    for t in wanted:
+        some |= F.contains(tx.folded(F.col(column)), F.lit(t))
+    sentences = docs.where(some).select(key, F.posexplode(F.split(column, "[.;]")).alias("place", "sentence"))
+    terms = F.array_intersect(F.array(*[F.lit(t) for t in wanted]), tx.tokens(F.col("sentence")))
+    by_sentence = sentences.select(key, terms.alias("terms")).where(F.size("terms") > 0)
+    by_doc = by_sentence.groupBy(key).agg(F.max(F.size("terms")).alias("best"), *[F.max(F.array_contains("terms", t).cast("int")).alias(f"t{i}") for i, t in enumerate(wanted)])
+    every = sum((F.col(f"t{i}") for i in range(1, len(wanted))), F.col("t0"))
+    return by_doc.select(key, ((every + F.col("best")) / (2.0 * len(wanted))).alias("score"))
+
+
+def bm25(docs: DataFrame, key: str, column: str, question: str) -> DataFrame:
+    """BM25 of each document with a term of the question.
+
+    One pass over all texts counts tokens and gives the totals, two numbers and one for each term; the second
+    looks only at documents with a term.
+    """
+    terms = tx.question_terms(question)
+    text = F.col(column)
+    lengths = docs.select(tx.token_count(text).alias("n"), *[(tx.term_count(text, t) > 0).alias(f"d{i}") for i, t in enumerate(terms)]).where("n > 0")
+    stats = lengths.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"d{i}")).alias(f"d{i}") for i in range(len(terms))]).first()
+    some = F.lit(False)
+    for t in terms:
+        some |= F.contains(tx.folded(text), F.lit(t))
+    counted = docs.where(some).select(key, tx.token_count(text).alias("n"), *[tx.term_count(text, t).alias(f"f{i}") for i, t in enumerate(terms)])
     score, any_ = F.lit(0.0), F.lit(False)
     for i in range(len(terms)):
         idf = math.log((stats["docs"] - stats[f"d{i}"] + 0.5) / (stats[f"d{i}"] + 0.5) + 1)
@@ -80,3 +92,15 @@ def hybrid(scored: DataFrame, key: str, most: int) -> DataFrame:
     words = scored.where("cos is null and score > 0").orderBy(F.desc("score"), key).limit(slots)
     vectors = scored.where("cos is not null").orderBy(F.desc("cos"), key).limit(most - slots)
     return words.select(key, F.lit("keyword").alias("branch")).unionByName(vectors.select(key, F.lit("vector").alias("branch")))
+
+
+def ordered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with its place in an order; for hits of one search, which one task can hold."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long"))
+
+
+def with_direct(scored: DataFrame, key: str, question: str) -> DataFrame:
+    """Scores over zero; an id that the question itself names scores 2."""
+    named = re.findall(r"[0-9]+", question)
+    direct = F.col(key).cast("string").isin(*named) if named else F.lit(False)
+    return scored.withColumn("score", F.when(direct, 2.0).otherwise(F.col("score"))).where("score > 0")

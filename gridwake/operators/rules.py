@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import COMPOSITES, rules
-from .runs import long_runs, severity_name, severity_rank
+from .runs import all_long_runs, severity_name, severity_rank
 
 
 def two_step(value: Column, warn: float, critical: float, above: bool) -> Column:
@@ -29,24 +29,22 @@ def rule_columns(series: DataFrame, catalog: dict | None = None, keys: list[str]
     keys, order = keys or ["PID"], order or ["Obs_time"]
     catalog = catalog if catalog is not None else rules()
     phase = F.col("phase") if "phase" in series.columns else None
-    df, ids = series, []
+    fires, severities = {}, {}
     for name, rule in catalog.items():
         if rule["signal"] not in series.columns:
             continue
         value = F.col(rule["signal"])
         where = F.coalesce(F.expr(rule["where"]), F.lit(False)) if "where" in rule else F.lit(True)
         step = "above" if "above" in rule else "below" if "below" in rule else None
-        severity = two_step(value, *rule[step], step == "above") if step else F.lit(rule["severity"])
-        on = where & active(phase, rule.get("skip", ())) & severity.isNotNull() & value.isNotNull()
-        if rule.get("run", 1) > 1:
-            df = long_runs(df, keys, order, on, rule["run"], "_fired")
-            df = df.withColumn(f"rule_{name}", F.when(F.col("_fired"), severity)).drop("_fired")
-        else:
-            df = df.withColumn(f"rule_{name}", F.when(on, severity))
-        ids.append(name)
+        severities[name] = two_step(value, *rule[step], step == "above") if step else F.lit(rule["severity"])
+        on = where & active(phase, rule.get("skip", ())) & severities[name].isNotNull() & value.isNotNull()
+        fires[f"_on_{name}"] = on, rule.get("run", 1)
+    df = all_long_runs(series, keys, order, fires)
+    df = df.withColumns({f"rule_{n}": F.when(F.col(f"_on_{n}"), s) for n, s in severities.items()}).drop(*fires)
+    over = {}
     for name, rule in COMPOSITES.items():
-        parts = [p for p in rule.get("any", ()) if p in ids]
-        if rule["signal"] not in series.columns or not set(rule["all"]) <= set(ids) or ("any" in rule and not parts):
+        parts = [p for p in rule.get("any", ()) if p in severities]
+        if rule["signal"] not in series.columns or not set(rule["all"]) <= set(severities) or ("any" in rule and not parts):
             continue
         on = F.lit(True)
         for p in rule["all"]:
@@ -55,9 +53,8 @@ def rule_columns(series: DataFrame, catalog: dict | None = None, keys: list[str]
             on &= F.coalesce(*[F.col(f"rule_{p}") for p in parts]).isNotNull()
         if "where" in rule:
             on &= F.coalesce(F.expr(rule["where"]), F.lit(False))
-        df = df.withColumn(f"rule_{name}", F.when(on, rule["severity"]))
-        ids.append(name)
-    return df, ids
+        over[name] = F.when(on, rule["severity"])
+    return df.withColumns({f"rule_{n}": c for n, c in over.items()}), [*severities, *over]
 
 
 def flags(series: DataFrame, catalog: dict | None = None, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
@@ -71,14 +68,18 @@ def flags(series: DataFrame, catalog: dict | None = None, keys: list[str] | None
     return rows.withColumn("message", F.concat_ws(" ", "rule_id", F.format_string("%.2f", "value")))
 
 
-def catalog_frame(spark: SparkSession, catalog: dict | None = None) -> DataFrame:
-    """The rules as rows, for search and reference."""
+def catalog_rows(catalog: dict | None = None) -> list[tuple]:
     every = {**(catalog if catalog is not None else rules()), **COMPOSITES}
     rows = []
     for name, rule in every.items():
         steps = rule.get("above") or rule.get("below") or (None, None)
         rows.append((name, rule["signal"], "high" if "above" in rule else "low" if "below" in rule else "condition", *[float(x) if x is not None else None for x in steps], rule.get("where", ""), rule.get("run", 1), ",".join(rule.get("skip", ()))))
-    return spark.createDataFrame(rows, "rule_id string, signal string, direction string, warn double, critical double, condition string, run int, skip_phases string")
+    return rows
+
+
+def catalog_frame(spark: SparkSession, catalog: dict | None = None) -> DataFrame:
+    """The rules as rows, for search and reference."""
+    return spark.createDataFrame(catalog_rows(catalog), "rule_id string, signal string, direction string, warn double, critical double, condition string, run int, skip_phases string")
 
 
 def search_catalog(frame: DataFrame, text: str) -> DataFrame:

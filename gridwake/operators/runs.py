@@ -22,13 +22,27 @@ def previous(column: str, keys: list[str], order: list[str]) -> Column:
 
 def long_runs(df: DataFrame, keys: list[str], order: list[str], flag: Column, least: int, name: str) -> DataFrame:
     """``df`` with ``name``: ``flag`` where it holds for at least ``least`` rows in a row; null counts as false."""
-    on = F.coalesce(flag, F.lit(False))
-    if least <= 1:
-        return df.withColumn(name, on)
-    window = Window.partitionBy(*keys).orderBy(*order)
-    df = df.withColumn("_on", on).withColumn("_before", F.sum(F.when(~F.col("_on"), 1).otherwise(0)).over(window))
-    count = F.sum(F.col("_on").cast("int")).over(Window.partitionBy(*keys, "_before"))
-    return df.withColumn(name, F.col("_on") & (count >= least)).drop("_on", "_before")
+    return all_long_runs(df, keys, order, {name: (flag, least)})
+
+
+def all_long_runs(df: DataFrame, keys: list[str], order: list[str], flags: dict[str, tuple[Column, int]]) -> DataFrame:
+    """``df`` with a column for each of ``flags``: it holds, and does so for at least so many rows in a row; null counts as false.
+
+    A run ends at the last row before and the first row after where the flag doesn't hold. One exchange and two
+    sorts, however many flags: all look back over one window and forward over its reverse.
+    """
+    df = df.withColumns({name: F.coalesce(flag, F.lit(False)) for name, (flag, _) in flags.items()})
+    long = [name for name, (_, least) in flags.items() if least > 1]
+    if not long:
+        return df
+    forth = Window.partitionBy(*keys).orderBy(*order)
+    back = Window.partitionBy(*keys).orderBy(F.desc("_place"))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_place", F.row_number().over(forth))
+    df = df.withColumns({f"_low_{n}": F.coalesce(F.max(F.when(~F.col(n), F.col("_place"))).over(upto(forth)), F.lit(0)) for n in long})
+    df = df.withColumns({"_last": F.max("_place").over(upto(back))} | {f"_high_{n}": F.min(F.when(~F.col(n), F.col("_place"))).over(upto(back)) for n in long})
+    rows = lambda n: F.coalesce(f"_high_{n}", F.col("_last") + 1) - F.col(f"_low_{n}") - 1
+    return df.withColumns({n: F.col(n) & (rows(n) >= flags[n][1]) for n in long}).drop("_place", "_last", *[f"_{side}_{n}" for side in ("low", "high") for n in long])
 
 
 def severity_rank(column: str | Column) -> Column:
@@ -81,3 +95,14 @@ def gap_runs(grid: DataFrame, keys: list[str], at: str, value: str) -> DataFrame
     rows = rows.where(F.col(at).between(F.col("_first"), F.col("_last"))).withColumn("_missing", F.col(value).isNull())
     marked = islands(rows, keys, [at], ~F.col("_missing"), "_run").where("_missing")
     return marked.groupBy(*keys, "_run").agg(F.min(at).alias("gap_start"), F.max(at).alias("gap_end"), F.count("*").alias("gap_length")).drop("_run")
+
+
+def covering(intervals: DataFrame, points: DataFrame, keys: list[str], at: str, start: str = "t_start", end: str = "t_end", width: int = 24) -> DataFrame:
+    """Intervals joined with the points of the same keys that they cover, both ends included.
+
+    Time is cut into buckets of ``width``; an interval is noted in each bucket that it touches, so a key with
+    many intervals and points meets bucket by bucket and not all with all.
+    """
+    bucket = lambda c: F.floor(F.col(c) / width)
+    noted = intervals.withColumn("_bucket", F.explode(F.sequence(bucket(start), bucket(end))))
+    return noted.join(points.withColumn("_bucket", bucket(at)), [*keys, "_bucket"]).where(F.col(at).between(F.col(start), F.col(end))).drop("_bucket")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import COMPOSITES, WEIGHTS
 from .runs import episodes, severity_rank
@@ -31,6 +32,37 @@ def per_hour(score: Column, minutes: Column) -> Column:
     return F.when(minutes > 0, F.bround(score / (minutes / 60), 2))
 
 
+def scores_of_steps(steps: DataFrame, ids: list[str], keys: list[str], place: str, gap: float = 1.5, composites: list[str] | None = None) -> DataFrame:
+    """The scores of ``scores`` from one row a step with a column ``rule_<id>`` for each rule, and ``n_steps``, the steps of an entity.
+
+    One window and one aggregation over the same keys, so one exchange; no flag becomes a row of its own. Entities
+    without a flag have no row. A composite's episode begins where its last hit is more than ``gap`` before.
+    """
+    composites = [c for c in (COMPOSITES if composites is None else composites) if c in ids]
+    before = Window.partitionBy(*keys).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    begins = {}
+    for c in composites:
+        on = F.col(f"rule_{c}").isNotNull()
+        last = F.last(F.when(on, F.col(place)), ignorenulls=True).over(before)
+        begins[f"_begin_{c}"] = on & (last.isNull() | (F.col(place) - last > gap))
+    worst = F.greatest(F.lit(0), *[severity_rank(f"rule_{i}") for i in ids])
+    rows = steps.withColumns({**begins, "_worst": worst})
+    counted = {s: sum((F.count_if(F.col(f"rule_{i}") == s) for i in ids[1:]), F.count_if(F.col(f"rule_{ids[0]}") == s)) for s in ("info", "warn", "critical")}
+    df = rows.groupBy(*keys).agg(
+        F.count("*").alias("n_steps"),
+        F.count_if(F.col("_worst") == 2).alias("worst_warn"),
+        F.count_if(F.col("_worst") == 3).alias("worst_critical"),
+        F.count_if(F.col("_worst") > 0).alias("flagged_steps"),
+        *[c.alias(f"n_{s}") for s, c in counted.items()],
+        *[F.count(f"rule_{i}").alias(f"_n_{i}") for i in ids],
+        sum((F.count_if(c) for c in begins), F.lit(0)).cast("long").alias("composite_episodes"),
+    ).where("flagged_steps > 0")
+    hits = F.filter(F.array(*[F.struct((-F.col(f"_n_{i}")).alias("n"), F.lit(i).alias("rule_id")) for i in ids]), lambda x: x["n"] < 0)
+    shown = F.transform(F.slice(F.sort_array(hits), 1, 5), lambda x: F.concat(x["rule_id"], F.lit("("), (-x["n"]).cast("string"), F.lit(")")))
+    score = weighted(F.col("worst_warn"), F.col("worst_critical"), F.col("composite_episodes"))
+    return df.withColumns({"rule_types": F.size(hits), "top_rules": F.array_join(shown, ", "), "anomaly_score": score}).drop(*[f"_n_{i}" for i in ids])
+
+
 def scores(flags: DataFrame, keys: list[str], at: str, place: str, gap: float = 1.5, composites: list[str] | None = None) -> DataFrame:
     """Per entity: steps at each worst severity, distinct flagged steps, rule types, composite episodes, score, top rules.
 

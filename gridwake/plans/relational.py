@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
-from ..operators import clean, profile
+from ..operators import clean, matching, profile
 from .base import query, signal_k, stamp, table
 
 _LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -85,10 +85,18 @@ def binned_percentile(spark, sf_dir):
     return profile.binned_percentile(hist, ["event_type"], 50, 0, 200).withColumn("percentile", F.round("percentile", 4))
 
 
-@query("select o_orderpriority, o_orderstatus, case when n < 11 then '<11' else cast(n as varchar) end as shown from (select o_orderpriority, o_orderstatus, count(*) as n from orders where o_orderkey % 97 = 0 group by 1, 2)")
+@query("""select o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') as day, case when n < 11 then '<11' else cast(n as varchar) end as shown from (select o_orderstatus, o_orderdate, count(*) as n from orders group by 1, 2)""")
 def small_cell_suppression(spark, sf_dir):
-    cells = table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
-    return cells.select("o_orderpriority", "o_orderstatus", profile.suppressed(F.col("n")).alias("shown"))
+    cells = table(spark, sf_dir, "orders").groupBy("o_orderstatus", "o_orderdate").agg(F.count("*").alias("n"))
+    return cells.select("o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), profile.suppressed(F.col("n")).alias("shown"))
+
+
+@query("""with m as (select regexp_replace(regexp_replace(p_name, '[0-9]+', '#', 'g'), '(?i)(mr|mrs|ms|dr)\\.? +[a-z]+', '[name]', 'g') as label, p_brand from part),
+c as (select label, count(*) as n, count(distinct p_brand) as n_cases from m group by 1), r as (select *, row_number() over (order by n desc, label) as rank from c),
+k as (select *, n_cases >= 11 and rank <= 100 as shown from r)
+select label, n, n_cases, rank from k where shown union all select '(other)', sum(n), null, null from k where not shown having count(*) > 0""")
+def event_name_profile(spark, sf_dir):
+    return profile.names(table(spark, sf_dir, "part"), "p_name", "p_brand")
 
 
 @query("""select coalesce(event_type, '(all)') as event_type, round(100.0 * avg(case when value >= 70 then 1 else 0 end), 4) as pct_beyond, count(distinct case when value >= 70 then user_id end) as n_cases from events group by grouping sets ((), (event_type))""")
@@ -98,12 +106,12 @@ def threshold_shares(spark, sf_dir):
     return sets.withColumn("event_type", F.coalesce("event_type", F.lit("(all)")))
 
 
-@query("""with a as (select user_id, count(*) as before from events where ts < timestamp '2024-01-16' and event_type = 'error' group by 1), b as (select user_id, count(*) as after from events where ts >= timestamp '2024-01-16' and event_type = 'error' group by 1)
-select user_id, before, after, before is distinct from after as changed from a full join b using (user_id)""")
+@query("""with a as (select user_id, event_type, count(*) as before from events where ts < timestamp '2024-01-16' group by 1, 2), b as (select user_id, event_type, count(*) as after from events where ts >= timestamp '2024-01-16' group by 1, 2)
+select user_id, event_type, before, after, before is distinct from after as changed from a full join b using (user_id, event_type)""")
 def profile_diff(spark, sf_dir):
-    events = table(spark, sf_dir, "events").where("event_type = 'error'")
-    half = lambda c: events.where(c).groupBy("user_id").agg(F.count("*").alias("n"))
-    return profile.changes(half("ts < timestamp_ntz'2024-01-16'"), half("ts >= timestamp_ntz'2024-01-16'"), ["user_id"], "n")
+    events = table(spark, sf_dir, "events")
+    half = lambda c: events.where(c).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return profile.changes(half("ts < timestamp_ntz'2024-01-16'"), half("ts >= timestamp_ntz'2024-01-16'"), ["user_id", "event_type"], "n")
 
 
 @query("""with r as (select min(o_totalprice) as lo, max(o_totalprice) as hi from orders), p as (select lo, hi, pow(10, floor(log10((hi - lo) / 8))) as pw from r),
@@ -185,17 +193,26 @@ def pid_resolution(spark, sf_dir):
     return one.select(F.inline(F.array(*cells)))
 
 
-@query("""with s as (select o_orderkey, cast(date_diff('day', timestamp '1995-01-01', o_orderdate) as bigint) as m from orders where o_custkey < 300), d as (select l_orderkey, cast(date_diff('day', timestamp '1995-01-01', l_shipdate) as bigint) as m, l_quantity from lineitem where l_orderkey in (select o_orderkey from s))
+@query("""with s as (select o_orderkey, cast(date_diff('day', timestamp '1995-01-01', o_orderdate) as bigint) as m from orders), d as (select l_orderkey, cast(date_diff('day', timestamp '1995-01-01', l_shipdate) as bigint) as m, l_quantity from lineitem where l_orderkey in (select o_orderkey from s))
 select o_orderkey as k, m, 'sample' as kind, null as qty from s union all select l_orderkey, m, case when exists (select 1 from s where s.o_orderkey = d.l_orderkey and s.m = d.m) then 'dose' else 'dose only' end, l_quantity from d""")
 def dose_alignment(spark, sf_dir):
     days = lambda c: F.datediff(c, F.lit("1995-01-01").cast("timestamp_ntz")).cast("long")
-    samples = table(spark, sf_dir, "orders").where("o_custkey < 300").select(F.col("o_orderkey").alias("k"), days("o_orderdate").alias("m"))
+    samples = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), days("o_orderdate").alias("m"))
     doses = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), days("l_shipdate").alias("m"), F.col("l_quantity").alias("qty")).join(samples.select("k"), "k", "left_semi")
     matched = doses.join(samples.withColumn("there", F.lit(True)), ["k", "m"], "left")
     rows = matched.select("k", "m", F.when(F.col("there"), "dose").otherwise("dose only").alias("kind"), "qty")
     return samples.select("k", "m", F.lit("sample").alias("kind"), F.lit(None).cast("double").alias("qty")).unionByName(rows)
 
 
+@query("""select l_orderkey, l_linenumber, case when finish is null or finish = l_shipdate then 'bolus' when finish > l_shipdate then 'infusion' else 'reversed' end as kind, case when finish > l_shipdate then cast(date_diff('day', l_shipdate, finish) as bigint) end as days
+from (select l_orderkey, l_linenumber, l_shipdate, case when l_linenumber <> 4 then l_shipdate + to_days(cast(l_quantity as integer) % 7 - 2) end as finish from lineitem)""")
+def dose_kinds(spark, sf_dir):
+    finish = F.when(F.col("l_linenumber") != 4, F.expr("l_shipdate + make_dt_interval(cast(l_quantity as int) % 7 - 2)"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", finish.alias("finish"))
+    lasting = F.when(F.col("finish") > F.col("l_shipdate"), F.datediff("finish", "l_shipdate").cast("long"))
+    return lines.select("l_orderkey", "l_linenumber", clean.dose_kind(F.col("l_shipdate"), F.col("finish")).alias("kind"), lasting.alias("days"))
+
+
 @query("""select doc_id, coalesce(quality, case when n_chars > 2000 then 1 else 0 end) as verdict, quality is not null as from_label from documents left join labels using (doc_id)""")
 def overlay_precedence(spark, sf_dir):
     df = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id", "left")
@@ -235,11 +252,10 @@ def value_shape_mask(spark, sf_dir):
     return customer.groupBy(text.shape(F.col("c_name")).alias("shape"), "c_mktsegment").agg(F.count("*").alias("n"), F.round(F.avg(numeric.cast("double")), 4).alias("numeric_share"))
 
 
-@query("""with a as (select c_custkey, c_name, substr(c_name, 1, 17) as block from customer where c_custkey % 10 = 3) select a.c_custkey as asked, c.c_custkey as near from a join customer c on substr(c.c_name, 1, 17) = a.block where c.c_name <> a.c_name and levenshtein(c.c_name, a.c_name) <= 1""")
+@query("""select a.c_custkey as asked, c.c_custkey as near from customer a join customer c on c.c_name <> a.c_name and (levenshtein(c.c_name, a.c_name) <= 1 or starts_with(c.c_name, a.c_name) or starts_with(a.c_name, c.c_name)) where a.c_custkey % 100 = 0""")
 def near_miss_ids(spark, sf_dir):
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.substring("c_name", 1, 17).alias("block"))
-    asked = customer.where("c_custkey % 10 = 3").select(F.col("c_custkey").alias("asked"), F.col("c_name").alias("name"), "block")
-    return asked.join(customer, "block").where(text.near_miss(F.col("c_name"), F.col("name"))).select("asked", F.col("c_custkey").alias("near"))
+    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    return matching.near_misses(customer.where("key % 100 = 0"), customer).select(F.col("asked_key").alias("asked"), F.col("key").alias("near"))
 
 
 @query("""select event_id, cast(floor(cast(json_extract_string(props, '$.k') as integer) / 5) * 5 as bigint) as band, strftime(ts, '%Y') as shown from events""")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import retrieval
+from ..operators import retrieval, rules
 from .base import query, table
 
-_TERMS = ["thing", "onnt"]
+_TERMS, _QUESTION = ["thing", "onnt"], "Which of the things is onnt?"
 
 
 def _docs(spark, sf_dir):
@@ -43,12 +43,12 @@ _SCORE_SQL = f"""k as (select doc_id, (len(list_intersect({_TERMS}, {_TOK.replac
 
 @query(f"with {_SCORE_SQL} select doc_id, round(score, 4) as score from k where score > 0")
 def keyword_score(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.round(text.keyword_score(F.col("text"), _TERMS), 4).alias("score")).where("score > 0")
+    return retrieval.keyword_postings(_docs(spark, sf_dir), "doc_id", "text", _QUESTION).select("doc_id", F.round("score", 4).alias("score"))
 
 
 @query(f"with {_SCORE_SQL} select doc_id, round(score, 4) as score, l.quality is not null as analyzed from k left join labels l using (doc_id) where score > 0 order by score desc, analyzed desc, doc_id limit 10")
 def keyword_rank(spark, sf_dir):
-    ranked = retrieval.keyword_postings(_docs(spark, sf_dir), "doc_id", "text", _TERMS)
+    ranked = retrieval.keyword_postings(_docs(spark, sf_dir), "doc_id", "text", _QUESTION)
     labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality").isNotNull()).alias("analyzed"))
     out = ranked.join(labels, "doc_id", "left").select("doc_id", F.round("score", 4).alias("score"), F.coalesce("analyzed", F.lit(False)).alias("analyzed"))
     return out.orderBy(F.desc("score"), F.desc("analyzed"), "doc_id").limit(10)
@@ -70,7 +70,7 @@ def _vector(spark, sf_dir):
 b as (select vec_id as doc_id, row_number() over (order by cos desc, vec_id) as r from (select vec_id, cos from c where cos > 0 order by cos desc, vec_id limit 50))
 select doc_id, round(coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0), 6) as fused from a full join b using (doc_id)""")
 def rrf_fusion(spark, sf_dir):
-    words = retrieval.keyword_postings(_docs(spark, sf_dir), "doc_id", "text", _TERMS)
+    words = retrieval.keyword_postings(_docs(spark, sf_dir), "doc_id", "text", _QUESTION)
     vectors = retrieval.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", _vector(spark, sf_dir)).where("cos > 0").withColumnRenamed("vec_id", "doc_id")
     fused = retrieval.fuse(retrieval.ranked(words, "doc_id", "score", 50), retrieval.ranked(vectors, "doc_id", "cos", 50), "doc_id")
     return fused.select("doc_id", F.round("fused", 6).alias("fused"))
@@ -80,7 +80,7 @@ def rrf_fusion(spark, sf_dir):
 tf as (select doc_id, w, count(*) as f from t where w in ('thing', 'onnt', 'erinan') group by 1, 2), df as (select w, count(*) as d from tf group by 1)
 select doc_id, round(sum(ln((docs - d + 0.5) / (d + 0.5) + 1) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean))), 4) as bm25 from tf join df using (w) join dl using (doc_id), s group by 1""")
 def bm25_rank(spark, sf_dir):
-    return retrieval.bm25(_docs(spark, sf_dir), "doc_id", "text", ["thing", "onnt", "erinan"]).withColumn("bm25", F.round("bm25", 4))
+    return retrieval.bm25(_docs(spark, sf_dir), "doc_id", "text", "thing onnt erinan").withColumn("bm25", F.round("bm25", 4))
 
 
 @query("select d.doc_id, substr(sha256(d.text), 1, 16) as text_hash from documents d left join embeddings on vec_id = doc_id where vec_id is null")
@@ -94,7 +94,8 @@ s as (select least(kw, cast(ceil(10.0 * missing / pool) as bigint)) as slots fro
 select doc_id, 'keyword' as branch from (select doc_id, row_number() over (order by score desc, doc_id) as r from p where cos is null and score > 0), s where r <= slots
 union all select doc_id, 'vector' from (select doc_id, row_number() over (order by cos desc, doc_id) as r from p where cos is not null), s where r <= 10 - slots""")
 def hybrid_slots(spark, sf_dir):
-    words = _docs(spark, sf_dir).select("doc_id", text.keyword_score(F.col("text"), _TERMS).alias("score"))
+    scores = retrieval.keyword_postings(_docs(spark, sf_dir), "doc_id", "text", _QUESTION)
+    words = table(spark, sf_dir, "documents").select("doc_id").join(scores, "doc_id", "left").fillna(0.0, ["score"])
     vectors = retrieval.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", _vector(spark, sf_dir)).withColumnRenamed("vec_id", "doc_id")
     return retrieval.hybrid(words.join(vectors, "doc_id", "left"), "doc_id", 10)
 
@@ -119,10 +120,15 @@ def clipped_texts(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.size(F.split("text", "[.;]")).cast("long").alias("n_sentences"), F.length(F.regexp_replace("text", r"\s+", " ")).cast("long").alias("n_chars"), F.when(F.length("text") > 200, F.concat(F.substring("text", 1, 200), F.lit(" …"))).otherwise(F.col("text")).alias("clipped"))
 
 
-@query(None)
-def rule_catalog_search(spark, sf_dir):
-    from ..operators import rules
+def _catalog_sql() -> str:
+    show = lambda x: "null" if x is None else f"{x}" if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
+    rows = ", ".join(f"({', '.join(map(show, r))})" for r in rules.catalog_rows())
+    return f"""with c(rule_id, signal, direction, warn, critical, condition, run, skip_phases) as (values {rows})
+select rule_id, signal, direction, cast(warn as double) as warn, cast(critical as double) as critical, condition, run, skip_phases from c where contains(lower(concat_ws(' ', rule_id, signal, direction, condition, skip_phases)), 'peep')"""
+
 
+@query(_catalog_sql())
+def rule_catalog_search(spark, sf_dir):
     return rules.search_catalog(rules.catalog_frame(spark), "peep")
 
 

@@ -121,15 +121,16 @@ def anchor_offsets(spark, sf_dir):
     return df.select("user_id", stamp("h").alias("h"), "t_min", "case_duration_min", F.round("case_frac", 6).alias("case_frac"))
 
 
-_SLOPE_SQL = """s as (select *, case when count(value) over f >= 5 then regr_slope(value, rn) over f end as slope from
-  (select *, cast(row_number() over (partition by user_id order by h) as double) as rn from hourly)
-  window f as (partition by user_id order by h rows between 9 preceding and current row))"""
+_SLOPE_SQL = """r as (select *, row_number() over (partition by user_id order by h) as rn from hourly),
+f as (select a.user_id, a.h, b.rn - a.rn as x, b.value as y from r a join r b on a.user_id = b.user_id and b.rn between a.rn - 9 and a.rn where b.value is not null),
+s as (select user_id, h, case when points >= 5 then slope end as slope from r left join (select user_id, h, count(*) as points, regr_slope(y, x) as slope from f group by 1, 2) using (user_id, h))"""
 
 
-@query(f"with {HOURLY_SQL}, {_SLOPE_SQL} select user_id, strftime(h, '%Y-%m-%d %H:%M:%S') as h, round(slope, 4) as slope from s")
+@query(f"with {HOURLY_SQL}, {_SLOPE_SQL} select user_id, strftime(h, '%Y-%m-%d %H:%M:%S') as h, round(slope, 6) as slope from s")
 def rolling_slope(spark, sf_dir):
     df = features.numbered(hourly(spark, sf_dir), ["user_id"], ["h"])
-    return df.select("user_id", stamp("h").alias("h"), F.round(features.rolling_slope("value", ["user_id"], ["h"]), 4).alias("slope"))
+    df = features.rolling_slopes(df, {"slope": "value"}, ["user_id"], ["h"])
+    return df.select("user_id", stamp("h").alias("h"), F.round("slope", 6).alias("slope"))
 
 
 @query(f"""with {HOURLY_SQL}, m as (select *, case when count(value) over f >= 5 then quantile_cont(value, 0.5) over f end as med from hourly
@@ -231,7 +232,8 @@ scores as (select user_id, worst_warn, worst_critical, flagged_steps, rule_types
 
 
 def _scores(spark, sf_dir):
-    return scoring.scores(_flags(spark, sf_dir), ["user_id"], "h", "hn", 6, ["both"])
+    steps, ids = rules.rule_columns(hourly(spark, sf_dir).withColumn("hn", hour_number()), _CATALOG, ["user_id"], ["h"])
+    return scoring.scores_of_steps(steps, ids, ["user_id"], "hn", 6, ["both"])
 
 
 @query(f"with {_SCORE_SQL} select user_id, worst_warn, worst_critical, flagged_steps, composite_episodes, anomaly_score from scores")
@@ -246,8 +248,7 @@ def top_rules_string(spark, sf_dir):
 
 @query(f"with {_SCORE_SQL} select user_id, n_info, n_warn, n_critical from scores")
 def pivot_severity(spark, sf_dir):
-    wide = _flags(spark, sf_dir).groupBy("user_id").pivot("severity", ["info", "warn", "critical"]).agg(F.count(F.lit(1))).fillna(0)
-    return wide.select("user_id", *[F.col(s).alias(f"n_{s}") for s in ("info", "warn", "critical")])
+    return _scores(spark, sf_dir).select("user_id", "n_info", "n_warn", "n_critical")
 
 
 @query(f"with {_SCORE_SQL} select user_id, flagged_steps as n_steps, rule_types from scores")
@@ -258,10 +259,10 @@ def distinct_minutes(spark, sf_dir):
 @query(f"""with {_SCORE_SQL} select s.user_id, c_mktsegment, anomaly_score, top_rules, round(anomaly_score / (n / 1.0), 2) as per_step from scores s
 join (select user_id, count(*) as n from hourly group by 1) using (user_id) left join customer on user_id = c_custkey order by anomaly_score desc, user_id limit 30""")
 def top_anomalies(spark, sf_dir):
-    steps = hourly(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"))
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
-    df = _scores(spark, sf_dir).join(steps, "user_id").join(customers, "user_id", "left")
-    return df.select("user_id", "c_mktsegment", "anomaly_score", "top_rules", F.round(F.col("anomaly_score") / F.col("n").cast("double"), 2).alias("per_step")).orderBy(F.desc("anomaly_score"), "user_id").limit(30)
+    best = _scores(spark, sf_dir).orderBy(F.desc("anomaly_score"), "user_id").limit(30)
+    df = best.join(customers, "user_id", "left").withColumn("per_step", F.round(F.col("anomaly_score") / F.col("n_steps").cast("double"), 2))
+    return df.select("user_id", "c_mktsegment", "anomaly_score", "top_rules", "per_step").orderBy(F.desc("anomaly_score"), "user_id")
 
 
 @query(f"""with {_FLAGS_SQL} select rule_id, count(distinct user_id) as n_cases, count(*) as n_flags, count(distinct (user_id, h)) as n_steps,
@@ -279,13 +280,11 @@ def gap_runs(spark, sf_dir):
     return runs.gap_runs(_dense(spark, sf_dir).withColumn("hn", hour_number()), ["user_id"], "hn", "value")
 
 
-@query(f"""with {HOURLY_SQL}, a as (select user_id, {_HOUR} as hn, value, value < 30 as low from hourly where value is not null),
-b as (select *, sum(case when hn - lag(hn) over w > 12 or low <> lag(low) over w then 1 else 0 end) over w as g from (select * from a) window w as (partition by user_id order by hn))
+@query(f"""with {HOURLY_SQL}, a as (select user_id, {_HOUR} as hn, value, value < 30 as low from hourly where value is not null)
 select user_id, min(hn) as t_start, max(hn) as t_end, count(*) as n_readings, round(min(value), 4) as lowest from (
   select user_id, hn, value, low, sum(brk) over (partition by user_id order by hn) as g from (
     select *, case when hn - lag(hn) over w > 12 or low <> lag(low) over w then 1 else 0 end as brk from a window w as (partition by user_id order by hn)))
-where low group by user_id, g having count(*) >= 2 and max(hn) - min(hn) > 2""".replace("""b as (select *, sum(case when hn - lag(hn) over w > 12 or low <> lag(low) over w then 1 else 0 end) over w as g from (select * from a) window w as (partition by user_id order by hn))
-""", "z as (select 1)\n"))
+where low group by user_id, g having count(*) >= 2 and max(hn) - min(hn) > 2""")
 def low_runs(spark, sf_dir):
     df = runs.low_runs(hourly(spark, sf_dir).withColumn("hn", hour_number()), ["user_id"], "hn", "value", 30, 12, 2, 2)
     return df.withColumn("lowest", F.round("lowest", 4))
@@ -301,28 +300,27 @@ def isolated_points(spark, sf_dir):
     return df.withColumn("alone", alone).where("alone").select("user_id", "hn")
 
 
-@query(f"""with {_EPISODE_SQL}, probe as (select user_id, {_HOUR} as m from hourly where n >= 2),
+@query(f"""with {_EPISODE_SQL}, probe as (select user_id, {_HOUR} as m from hourly),
 j as (select p.user_id, m, rule_id, t_start, row_number() over (partition by p.user_id, m order by worst desc, t_start, rule_id) as rn from probe p join episodes e on p.user_id = e.user_id and m between t_start and t_end)
 select user_id, m, rule_id, t_start from j where rn = 1""")
 def covering_episode(spark, sf_dir):
-    probe = hourly(spark, sf_dir).where("n >= 2").select("user_id", hour_number().alias("m"))
-    hit = probe.join(_episodes(spark, sf_dir), "user_id").where("m between t_start and t_end")
+    hit = runs.covering(_episodes(spark, sf_dir), hourly(spark, sf_dir).select("user_id", hour_number().alias("m")), ["user_id"], "m")
     w = Window.partitionBy("user_id", "m").orderBy(runs.severity_rank("severity").desc(), "t_start", "rule_id")
     return hit.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("user_id", "m", "rule_id", "t_start")
 
 
 @query(f"""with {_EPISODE_SQL} select e.user_id, e.rule_id, e.t_start, round(min(k), 4) as k_min, round(max(k), 4) as k_max, round(avg(k), 4) as k_mean, count(*) - count(k) as k_missing, count(*) as n_steps
-from episodes e join hourly h on e.user_id = h.user_id and cast(epoch(h) / 3600 as bigint) between t_start and t_end group by 1, 2, 3""".replace("hourly h on e.user_id = h.user_id and cast(epoch(h) / 3600", "hourly s on e.user_id = s.user_id and cast(epoch(s.h) / 3600"))
+from episodes e join hourly s on e.user_id = s.user_id and cast(epoch(s.h) / 3600 as bigint) between t_start and t_end group by 1, 2, 3""")
 def episode_signal_stats(spark, sf_dir):
     steps = hourly(spark, sf_dir).select("user_id", hour_number().alias("m"), "k")
-    joined = _episodes(spark, sf_dir).join(steps, "user_id").where("m between t_start and t_end")
+    joined = runs.covering(_episodes(spark, sf_dir), steps, ["user_id"], "m")
     return joined.groupBy("user_id", "rule_id", "t_start").agg(F.round(F.min("k"), 4).alias("k_min"), F.round(F.max("k"), 4).alias("k_max"), F.round(F.avg("k"), 4).alias("k_mean"), (F.count("*") - F.count("k")).alias("k_missing"), F.count("*").alias("n_steps"))
 
 
 @query("""with r as (select *, row_number() over (partition by user_id order by value desc, ts, event_id) as rn from events) select user_id, event_id, value from r where rn = 1""")
 def argmax_observation(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy(F.desc("value"), "ts", "event_id")
-    return table(spark, sf_dir, "events").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("user_id", "event_id", "value")
+    first = F.min(F.struct(F.col("value").isNull().alias("none"), (-F.col("value")).alias("v"), "ts", "event_id")).alias("first")
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(first).select("user_id", "first.event_id", (-F.col("first.v")).alias("value"))
 
 
 @query("""with d as (select user_id, date_trunc('hour', ts) as h from events group by 1, 2), r as (select *, row_number() over (partition by user_id order by h) - 1 as i, count(*) over (partition by user_id) as n from d)
@@ -355,7 +353,12 @@ def seen_masks(spark, sf_dir):
     return hourly(spark, sf_dir).select("user_id", stamp("h").alias("h"), F.coalesce(F.max(F.when(F.col("value").isNotNull(), 1)).over(before), F.lit(0)).alias("seen_before"), F.coalesce(F.max(F.when(F.col("k") >= 95, 1)).over(after), F.lit(0)).alias("high_after"))
 
 
-@query(None)
+@query(f"""with recursive {_EPISODE_SQL}, o as (select user_id, rule_id, t_start, t_end, row_number() over (partition by user_id order by t_start, t_end, rule_id) as rn from episodes),
+l as (select user_id, rule_id, t_start, t_end, rn, [t_end] as busy, cast(1 as bigint) as lane from o where rn = 1
+ union all select user_id, rule_id, t_start, t_end, rn, case when lane > len(busy) then list_append(busy, t_end) else list_concat(list_append(busy[1:lane - 1], greatest(busy[lane], t_end)), busy[lane + 1:]) end, lane from (
+  select o.user_id, o.rule_id, o.t_start, o.t_end, o.rn, busy, cast(coalesce(list_position(list_transform(busy, lambda x: x < o.t_start), true), case when len(busy) < 6 then len(busy) + 1 else list_position(busy, list_min(busy)) end) as bigint) as lane
+  from l join o on o.user_id = l.user_id and o.rn = l.rn + 1))
+select user_id, rule_id, t_start, t_end, lane - 1 as lane from l""")
 def lane_packing(spark, sf_dir):
     from ..operators.lanes import pack_lanes
 
