@@ -15,7 +15,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that fail the rules, or whose host does."""
+    """Documents go that fail the rules, or whose host does.
+
+    Each row is judged on its own, repeated ones alike. A null or blank text has no words and fails; a null
+    source is a host of its own; ids are not looked at. Columns beyond those of documents are dropped. An empty
+    table gives an empty one.
+    """
     judged = hosts.judged(docs, others={c: c for c in ("doc_id", "lang", "source", "n_chars")})
     return judged.where("kept").select(*COLUMNS)
 
@@ -25,7 +30,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that share an id are documents of their own: they go only if their class is the same (or they have
     no words, both), and the digest of the text, then the other columns, choose among them. Rows with a null
-    id all stay.
+    id all stay, and so do texts without words under ids of their own. Columns beyond those of documents are
+    dropped. An empty table gives an empty one.
     """
     if not _repeated(docs):
         gone = omh.classes(docs).where("class_id is not null and class_id != doc_id").select("doc_id").distinct()
@@ -45,7 +51,13 @@ def _repeated(docs: DataFrame) -> bool:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages are cut out; a document that loses all its words goes. Others keep their text as it is."""
+    """Repeated passages are cut out; a document that loses all its words goes. Others keep their text as it is.
+
+    Of documents that share a passage that with the least id keeps it; rows with equal ids don't take from each
+    other, rows with a null id come last, as one document. Null and blank texts have no words and stay as they
+    are. ``n_chars`` is counted anew where a text was cut. Columns beyond those of documents are dropped. An
+    empty table gives an empty one.
+    """
     cut = substring.dedup(docs, columns=("doc_id", "text", "lang", "source", "n_chars"))
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept"))
     left = cut.where("n_removed = 0 or n_removed < n_words")
@@ -53,14 +65,23 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled so that sources, languages and topics come nearer to their target shares."""
+    """Documents are sampled so that sources, languages and topics come nearer to their target shares.
+
+    A null source, language or topic is a value of its own. Rows with equal ids, and all with a null id, are
+    kept or left together. A document without words has its cell's probability. Columns beyond those of
+    documents are dropped. An empty table gives an empty one.
+    """
     rows = mixing.topics(docs, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     margins = {"source": F.col("source"), "lang": F.col("lang"), "topic": F.col("mix_label")}
     return mixing.mixed(rows, margins, mixing.words("text"), "doc_id").where("mix_kept").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' ids in sequences."""
+    """Pieces of the documents' token ids in sequences; every row is packed, repeated and null ids too.
+
+    A null or empty text is its end token alone. Columns beyond id and text are not read. An empty table gives an
+    empty one.
+    """
     return packing.packed(docs)
 
 
