@@ -41,6 +41,8 @@ OUTSIDE, CHUNK = 64, 64
 PAIRS, MOST_TASKS = 1000, 20_000
 #: Pairs of one text that go to one task.
 PART = 64
+#: Documents whose keys, and links of a graph, that one task takes.
+DOCS, LINKS = 8_000, 100_000
 
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, (2, 256), dtype=np.uint64) | np.uint64(1)
 #: Parity bits of a text, as so many longs.
@@ -283,7 +285,8 @@ def components(links: DataFrame, shelf: Shelf) -> DataFrame:
     the logarithm of the longest path. A node with many links is no key of one task.
     """
     both = shelf.put(links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct(), "links")
-    labels = shelf.put(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("label")).select("node", F.least("node", "label").alias("label")), "labels")
+    tasks = max(4, both.count() // LINKS)
+    labels = shelf.put(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("label")).select("node", F.least("node", "label").alias("label")), "labels", tasks)
     often = hot_keys(both, ["y"])
     while True:
         roots = hot_keys(labels, ["label"])
@@ -291,7 +294,7 @@ def components(links: DataFrame, shelf: Shelf) -> DataFrame:
         spread = labels.join(seen, "node").select("node", F.least("label", "near").alias("new"), "label")
         root = spread.select(F.col("node").alias("new"), F.col("new").alias("root"))
         jumped = joined(spread, root, ["new"], hot=roots and roots.withColumnRenamed("label", "new"), known=True)
-        jumped = shelf.put(jumped.select("node", F.least("new", "root").alias("label"), (F.least("new", "root") != F.col("label")).alias("moved")), "labels")
+        jumped = shelf.put(jumped.select("node", F.least("new", "root").alias("label"), (F.least("new", "root") != F.col("label")).alias("moved")), "labels", tasks)
         shelf.drop(labels)
         if jumped.where("moved").isEmpty():
             shelf.drop(both)
@@ -330,12 +333,12 @@ def _linked(pairs: DataFrame, links: DataFrame, texts: DataFrame, least: float,
     Of a member and a component the pair with the fewest differing parities comes first; then all other pairs
     that are still in unlike components are tried.
     """
-    first = shelf.put(pairs.groupBy("a", "b_label").agg(F.min_by("b", F.struct("differ", "b")).alias("b")).select("a", "b"), "first")
+    first = shelf.put(pairs.groupBy("a", "b_label").agg(F.min_by("b", F.struct("differ", "b")).alias("b")).select("a", "b"), "first", max(4, pairs.count() // LINKS))
     links = links.unionByName(shelf.put(_verified(first, texts, least), "near"))
     labels = components(links, shelf)
     at = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_at"))
     rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
-    rest = shelf.put(rest.where(F.coalesce("a_at", "a") != F.coalesce("b_at", "b")).select("a", "b"), "rest")
+    rest = shelf.put(rest.where(F.coalesce("a_at", "a") != F.coalesce("b_at", "b")).select("a", "b"), "rest", max(4, pairs.count() // LINKS))
     shelf.drop(first)
     if not rest.isEmpty():
         more = shelf.put(_verified(rest, texts, least), "near")
@@ -400,7 +403,7 @@ def _by_rare_kmers(texts: DataFrame, least: float, shelf: Shelf) -> DataFrame:
     by_block = dealt.groupBy("block")
     told = by_block.applyInArrow(ask, "bucket int, block int, hashes binary, counts binary").groupBy("bucket").applyInArrow(tell, "bucket int, block int, told binary")
     rare = by_block.cogroup(told.groupBy("block")).applyInArrow(finish, "key long, id long")
-    return shelf.put(rare.distinct(), "rare")
+    return shelf.put(rare.distinct(), "rare", max(6, 4 * n))
 
 
 def _marked(groups: DataFrame, labels: DataFrame) -> DataFrame:
@@ -420,27 +423,28 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     texts = in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     longs = [f"p{i}" for i in range(LONGS)]
     found = shelf.put(texts.mapInArrow(_sketch(least), "id long, n long, size long, h1 long, h2 long, sketch array<long>, " + ", ".join(f"{c} long" for c in longs)), "sketches")
+    tasks = max(6, found.count() // DOCS)
     usable = found.where("n > 0 and id is not null")
-    same = shelf.put(usable.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count("*").alias("n")).where("n > 1"), "same")
-    members = shelf.put(joined(usable.select("id", "h1", "h2"), same.drop("n"), ["h1", "h2"], counts=same), "copies")
+    same = shelf.put(usable.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count("*").alias("n")).where("n > 1"), "same", tasks)
+    members = shelf.put(joined(usable.select("id", "h1", "h2"), same.drop("n"), ["h1", "h2"], counts=same), "copies", tasks)
     own = usable.join(small(members.where("id != node").select("id", "h1", "h2")), ["id", "h1", "h2"], "left_anti")
     keys = own.select("id", F.explode("sketch").alias("key"))
-    many = shelf.put(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"), "many")
-    groups = shelf.put(joined(keys, many, ["key"], counts=many), "groups")
-    scores = shelf.put(groups.groupBy("id").agg(F.sum("n").alias("score")), "scores")
-    scored = shelf.put(groups.select("key", "id").join(scores, "id"), "scored")
+    many = shelf.put(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"), "many", tasks)
+    groups = shelf.put(joined(keys, many, ["key"], counts=many), "groups", tasks)
+    scores = shelf.put(groups.groupBy("id").agg(F.sum("n").alias("score")), "scores", tasks)
+    scored = shelf.put(groups.select("key", "id").join(scores, "id"), "scored", tasks)
     shelf.drop(same, many, groups)
 
     pivots = scored.groupBy("key").agg(F.max(F.struct("score", "id")).alias("pivot"))
     best = joined(scored, pivots, ["key"]).where("id != pivot.id").groupBy("id").agg(F.max("pivot").alias("pivot"))
-    pairs = shelf.put(best.select(F.col("pivot.id").alias("a"), F.col("id").alias("b")), "pairs")
+    pairs = shelf.put(best.select(F.col("pivot.id").alias("a"), F.col("id").alias("b")), "pairs", tasks)
     candidates = scores.select("id")
     needed = texts.join(candidates, "id", "left_semi")
     bits = own.select("id", F.col("size").alias("p_size"), *longs).join(candidates, "id", "left_semi")
     links = shelf.put(_verified(pairs, needed, least), "near")
     labels = components(links, shelf)
-    marked = shelf.put(_marked(scored, labels), "marked")
-    unlike = shelf.put(_outside(marked), "unlike")
+    marked = shelf.put(_marked(scored, labels), "marked", tasks)
+    unlike = shelf.put(_outside(marked), "unlike", tasks)
     shelf.drop(pairs, scored)
 
     wide = unlike.where(F.col("minor") > outside)
@@ -451,8 +455,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     if not wide.isEmpty():
         apart = joined(marked, wide, ["key"]).select("id").distinct()
         rare = _by_rare_kmers(texts.join(apart, "id", "left_semi"), least, shelf)
-        again = shelf.put(_marked(rare, labels), "marked")
-        pairs = _candidates(again, shelf.put(_outside(again), "unlike"), bits, least, shelf)
+        again = shelf.put(_marked(rare, labels), "marked", tasks)
+        pairs = _candidates(again, shelf.put(_outside(again), "unlike", tasks), bits, least, shelf)
         links, labels = _linked(pairs, links, needed, least, shelf)
     shelf.drop(marked, unlike)
     twice = usable.groupBy("id").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("id")
@@ -460,8 +464,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     if not repeated.isEmpty():
         labels = components(links.unionByName(repeated), shelf)
     copies = joined(members.select("id", "node"), labels, ["node"], "left").select("id", F.coalesce("label", "node").alias("class_id"))
-    by_id = shelf.put(copies.unionByName(labels.select(F.col("node").alias("id"), F.col("label").alias("class_id"))).groupBy("id").agg(F.min("class_id").alias("class_id")), "classes")
-    out = shelf.put(joined(found.select("id"), by_id, ["id"], "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id")), "classes")
+    by_id = shelf.put(copies.unionByName(labels.select(F.col("node").alias("id"), F.col("label").alias("class_id"))).groupBy("id").agg(F.min("class_id").alias("class_id")), "classes", tasks)
+    out = shelf.put(joined(found.select("id"), by_id, ["id"], "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id")), "classes", tasks)
     shelf.keep(out)
     shelf.clear()
     return out

@@ -65,9 +65,10 @@ class Shelf:
         self.spark = spark
         self.paths: dict[int, tuple[DataFrame, str]] = {}
 
-    def put(self, rows: DataFrame, name: str) -> DataFrame:
+    def put(self, rows: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+        """``rows``, stored by as many tasks at most, so that a small table is not dealt over all shuffle partitions."""
         path = new_path(self.spark, name)
-        rows.write.parquet(path)
+        (rows.coalesce(tasks) if tasks else rows).write.parquet(path)
         out = self.spark.read.schema(rows.schema).parquet(path)
         self.paths[id(out)] = out, path
         return out
