@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from .config import check_parameters, rules
 from .operators import clean, features, grid, phases, runs, scoring
-from .operators.rules import flags as flag_rows
-from .operators.rules import rule_columns
+from .operators.rules import flag_rows, rule_columns
 from .session import cut
 
 #: Columns of a case that go with each of its minutes.
@@ -55,12 +54,12 @@ def labelled(raw_cases: DataFrame, raw_ventilator: DataFrame, raw_vitals: DataFr
     return features.add_features(phases.label(series, phases.boundaries(series, clean.clean_events(raw_events), cases)))
 
 
-def summary(series: DataFrame, steps: DataFrame, ids: list[str]) -> DataFrame:
+def summary(series: DataFrame, flags: DataFrame) -> DataFrame:
     """One row a case: observed minutes, span, medians, main agent, and scores (0 for a case that nothing flags), with the score per observed hour."""
     medians = [F.median(c).alias(f"median_{c}") for c in ("TV", "PIP", "PEEP", "ETCO2", "Agent_Et")]
     firsts = [F.first(c, ignorenulls=True).alias(c) for c in ("Age", "Gender", "Procedure_short", "primary_agent", "primary_agent_name", "phase_source", "case_duration_min")]
     cases = series.groupBy("PID").agg(F.count_if(observed(series)).alias("n_minutes"), F.min("Obs_time").alias("t_start"), F.max("Obs_time").alias("t_end"), *firsts, *medians)
-    scores = scoring.scores_of_steps(steps.withColumn("_at", F.unix_timestamp("Obs_time") / 60), ids, ["PID"], "_at").drop("n_steps")
+    scores = scoring.scores(flags.withColumn("_at", F.unix_timestamp("Obs_time") / 60), ["PID"], "Obs_time", "_at")
     counts = [c for c in scores.columns if c not in ("PID", "top_rules")]
     df = cases.join(scores, "PID", "left").fillna(0, counts).fillna("", ["top_rules"])
     return df.withColumn("score_per_hour", scoring.per_hour(F.col("anomaly_score"), F.col("n_minutes")))
@@ -69,8 +68,8 @@ def summary(series: DataFrame, steps: DataFrame, ids: list[str]) -> DataFrame:
 def process(raw_cases: DataFrame, raw_ventilator: DataFrame, raw_vitals: DataFrame, raw_events: DataFrame, preset: str = "default", pad_minutes: int = 5) -> Cases:
     """All results of raw string tables, under a preset of the rules.
 
-    Streams without a known case keep their rows and have no constants. The aligned and the labelled series are
-    kept in the checkpoint folder; what is made of them is lazy.
+    Streams without a known case keep their rows and have no constants. The series, aligned, labelled and
+    with its rules, is kept in the checkpoint folder; what is made of it is lazy.
     """
     check_parameters(pad_minutes=pad_minutes)
     return judged(cut(labelled(raw_cases, raw_ventilator, raw_vitals, raw_events, pad_minutes)), preset)
@@ -80,9 +79,10 @@ def judged(series: DataFrame, preset: str = "default") -> Cases:
     """Flags, episodes and cases of a labelled series."""
     catalog = rules(preset)
     steps, ids = rule_columns(series, catalog)
-    hits = flag_rows(series, catalog)
+    steps = cut(steps)
+    hits = flag_rows(steps, ids, catalog)
     episodes = runs.episodes(hits.withColumn("t_min", F.col("t_min").cast("double")), ["PID", "rule_id"], "t_min", 1.5)
-    return Cases(summary(series, steps, ids), series, hits, episodes)
+    return Cases(summary(series, hits), series, hits, episodes)
 
 
 def worst_first(episodes: DataFrame, most: int) -> DataFrame:

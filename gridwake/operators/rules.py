@@ -60,7 +60,11 @@ def rule_columns(series: DataFrame, catalog: dict | None = None, keys: list[str]
 def flags(series: DataFrame, catalog: dict | None = None, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
     """One row for each rule that fires in a row of ``series``."""
     catalog = catalog if catalog is not None else rules()
-    df, ids = rule_columns(series, catalog, keys, order)
+    return flag_rows(*rule_columns(series, catalog, keys, order), catalog, keys, order)
+
+
+def flag_rows(df: DataFrame, ids: list[str], catalog: dict, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """One row for each rule column of ``df`` that isn't null."""
     signal = {name: {**catalog, **COMPOSITES}[name]["signal"] for name in ids}
     hits = [F.when(F.col(f"rule_{n}").isNotNull(), F.struct(F.lit(n).alias("rule_id"), F.col(f"rule_{n}").alias("severity"), F.col(signal[n]).cast("double").alias("value"))) for n in ids]
     keep = [c for c in (*(keys or ["PID"]), *(order or ["Obs_time"]), "t_min", "phase") if c in df.columns]

@@ -33,7 +33,7 @@ def per_hour(score: Column, minutes: Column) -> Column:
 
 
 def scores_of_steps(steps: DataFrame, ids: list[str], keys: list[str], place: str, gap: float = 1.5, composites: list[str] | None = None) -> DataFrame:
-    """The scores of ``scores`` from one row a step with a column ``rule_<id>`` for each rule, and ``n_steps``, the steps of an entity.
+    """The scores of ``scores`` for a catalogue of a few rules, from one row a step with a column ``rule_<id>`` for each rule, and ``n_steps``, the steps of an entity.
 
     One window and one aggregation over the same keys, so one exchange; no flag becomes a row of its own. Entities
     without a flag have no row. A composite's episode begins where its last hit is more than ``gap`` before.
