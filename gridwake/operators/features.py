@@ -20,11 +20,11 @@ def rolling_slopes(df: DataFrame, values: dict[str, str], keys: list[str], order
     point = lambda v: F.when(F.col(v).isNotNull(), F.struct(F.col("_row").alias("x"), F.col(v).cast("double").alias("y")))
     total = lambda points, f: F.aggregate(points, F.lit(0.0), lambda s, p: s + f(p))
     df = df.withColumns({f"_p_{n}": F.collect_list(point(v)).over(frame) for n, v in values.items()})
-    df = df.withColumns({f"_{a}_{n}": total(f"_p_{n}", lambda p, a=a: p[a]) / F.size(f"_p_{n}") for n in values for a in "xy"})
+    df = df.withColumns({f"_{a}_{n}": F.try_divide(total(f"_p_{n}", lambda p, a=a: p[a]), F.size(f"_p_{n}")) for n in values for a in "xy"})
     for n in values:
         x, y = F.col(f"_x_{n}"), F.col(f"_y_{n}")
         xy, xx = (total(f"_p_{n}", f) for f in (lambda p, x=x, y=y: (p["x"] - x) * (p["y"] - y), lambda p, x=x: (p["x"] - x) * (p["x"] - x)))
-        df = df.withColumn(n, F.when(F.size(f"_p_{n}") >= least, xy / xx))
+        df = df.withColumn(n, F.when(F.size(f"_p_{n}") >= least, F.try_divide(xy, xx)))
     return df.drop(*[f"_{a}_{n}" for n in values for a in "pxy"])
 
 

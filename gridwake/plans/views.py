@@ -222,3 +222,29 @@ def grounded_numbers(spark, sf_dir):
     said = found.where("lang = 'en'").select("doc_id", "source", "number").distinct()
     known = found.where("lang <> 'en'").select("source", F.col("number").cast("double").alias("v")).distinct()
     return checks.grounded(said, known, ["source"], "number").select("doc_id", "number", "grounded")
+
+
+def raw_tables(spark, sf_dir):
+    """String tables of cases, ventilator, vitals and point events made of the driver's tables: an hour of events is a minute of a case."""
+    from .base import signal_k
+
+    at = F.timestamp_seconds(F.lit(1704067200) + (hour_number("ts") - 473352) * 60)
+    stamp = F.date_format(at, "yyyy-MM-dd HH:mm:ss")
+    events = table(spark, sf_dir, "events").withColumn("k", signal_k()).withColumns({"PID": F.col("user_id").cast("string"), "Obs_time": stamp})
+    signals = {"TV": F.col("value") * 2 + 300, "RR": F.col("k") % 20 + 8, "PIP": F.col("value") / 5 + 15, "PEEP": F.col("k") % 16, "ETCO2": F.col("value") / 3 + 25, "FIO2": F.col("k") / 2 + 40, "Agent_Et": F.col("value") / 40, "Agent_Fi": F.col("value") / 35, "ETN2O": F.lit(0.0)}
+    ventilator = events.select("PID", "Obs_time", F.element_at(F.array(*[F.lit(x) for x in "SIDN"]), (F.col("k") % 4 + 1).cast("int")).alias("Agent"), *[c.cast("string").alias(n) for n, c in signals.items()])
+    vitals = events.select("PID", "Obs_time", (F.col("value") / 2 + 60).cast("string").alias("HRe"), (100 - F.col("k") / 8).cast("string").alias("SPO2"), (F.col("k") / 2 + 50).cast("string").alias("nMAP"))
+    name = F.when(F.col("event_type") == "signup", "Intubation").when(F.col("event_type") == "purchase", "Extubation").otherwise(F.col("event_type"))
+    points = events.select("PID", F.col("Obs_time").alias("Event_time"), name.alias("Event_name"))
+    nation = F.col("c_nationkey")
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("PID"), (nation * 3).cast("string").alias("Age"), (nation + 150).cast("string").alias("Ht"), (nation + 50).cast("string").alias("Wt"), F.when(nation % 2 == 0, "M").otherwise("F").alias("Gender"), F.col("c_mktsegment").alias("Procedure"))
+    return people, ventilator, vitals, points
+
+
+@query(None)
+def case_pipeline(spark, sf_dir):
+    """Raw tables to scored cases: cleaning, minute grid, phases, features, 22 rules and 3 composites, episodes, scores."""
+    from ..cases import process
+
+    found = process(*raw_tables(spark, sf_dir)).cases
+    return found.select("PID", "n_minutes", "primary_agent", "phase_source", "anomaly_score", "rule_types", "n_info", "n_warn", "n_critical", "composite_episodes", "top_rules", "score_per_hour")
