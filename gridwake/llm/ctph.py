@@ -46,7 +46,7 @@ def _fingerprints(data: np.ndarray, offsets: np.ndarray) -> list[str]:
     rolling = np.zeros(len(data), np.uint64)
     for back in range(REACH):
         seen = np.zeros(len(data), np.uint64)
-        seen[back:] = data[: len(data) - back]
+        seen[back:] = data[: max(len(data) - back, 0)]
         seen[inside < back] = 0
         rolling = rolling * np.uint64(0x100000001B3) + seen
     value = (mix(rolling) & np.uint64(0xFFFFFFFF)).astype(np.int64) + 1
@@ -140,9 +140,9 @@ def _place(bounds: list[int]) -> Column:
 
     @F.pandas_udf("int")
     def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, ids.fillna(0).astype("int64"), "right").astype(np.int32) - 1)
+        return pd.Series(np.searchsorted(edges, ids, "right").astype(np.int32) - 1)
 
-    return place("id")
+    return place(F.coalesce("id", F.lit(0)))  # a null would make all ids of its batch doubles
 
 
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 2000) -> DataFrame:
