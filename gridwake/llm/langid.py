@@ -71,7 +71,8 @@ class Profiles(NamedTuple):
             return UNKNOWN, 0.0
         place = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
         known = self.codes[place] == own
-        distance = np.where(known, np.abs(self.ranks[:, place] - np.arange(len(own))), self.length).sum(1)
+        ranks = self.ranks[:, place]
+        distance = np.where(known & (ranks < self.length), np.abs(ranks - np.arange(len(own))), self.length).sum(1)
         best, second = (*np.sort(distance)[:2], np.inf)[:2]
         return self.languages[int(np.argmin(distance))], float(1 - best / second) if second else 0.0
 
