@@ -36,7 +36,7 @@ K, TAKEN, SKETCHES, NEAR = 5, 4, 24, 0.8
 #: Two texts of so many k-mers at most share a further key if they are near, whatever the sketches are.
 SHORT = 15
 #: Members outside of a group's largest component that are compared with all of it, and in one step of that.
-OUTSIDE, CHUNK = 64, 64
+OUTSIDE, CHUNK = 64, 1024
 #: Pairs of a task that aligns them, on average, as long as there are no more than so many tasks.
 PAIRS, MOST_TASKS = 1000, 20_000
 #: Pairs of one text that go to one task.
@@ -271,8 +271,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         parts = F.broadcast(hot.select("a", F.ceil(F.col("hot_n") / PART).cast("int").alias("parts")))
         dealt = pairs.join(parts, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
         pivots = dealt.select("a", "part").distinct()
-    own = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "text")
-    first = pivots.join(texts.withColumnRenamed("id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    own = texts.withColumnRenamed("id", "b").join(small(dealt), "b").select("a", "part", "b", "text")
+    first = texts.withColumnRenamed("id", "a").join(small(pivots), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
     tasks = max(1, min(-(-pairs.count() // PAIRS), MOST_TASKS))
     rows = own.unionByName(first).repartition(tasks, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return rows.select("a", "b", "text").mapInArrow(_compared(least), "a long, b long")
@@ -439,8 +439,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     best = joined(scored, pivots, ["key"]).where("id != pivot.id").groupBy("id").agg(F.max("pivot").alias("pivot"))
     pairs = shelf.put(best.select(F.col("pivot.id").alias("a"), F.col("id").alias("b")), "pairs", tasks)
     candidates = scores.select("id")
-    needed = texts.join(candidates, "id", "left_semi")
-    bits = own.select("id", F.col("size").alias("p_size"), *longs).join(candidates, "id", "left_semi")
+    needed = shelf.put(texts.join(small(candidates), "id", "left_semi"), "texts")
+    bits = shelf.put(own.select("id", F.col("size").alias("p_size"), *longs).join(small(candidates), "id", "left_semi"), "parities")
     links = shelf.put(_verified(pairs, needed, least), "near")
     labels = components(links, shelf)
     marked = shelf.put(_marked(scored, labels), "marked", tasks)
@@ -454,7 +454,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
         shelf.drop(pairs)
     if not wide.isEmpty():
         apart = joined(marked, wide, ["key"]).select("id").distinct()
-        rare = _by_rare_kmers(texts.join(apart, "id", "left_semi"), least, shelf)
+        rare = _by_rare_kmers(needed.join(small(apart), "id", "left_semi"), least, shelf)
         again = shelf.put(_marked(rare, labels), "marked", tasks)
         pairs = _candidates(again, shelf.put(_outside(again), "unlike", tasks), bits, least, shelf)
         links, labels = _linked(pairs, links, needed, least, shelf)
