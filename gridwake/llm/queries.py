@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctph, hosts, langid, mixing, omh, packing, pages, substring, warc, zclass
+from . import counts, ctph, hosts, langid, mixing, omh, packing, pages, resampling, spelling, substring, warc, zclass
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,19 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.classes(_read(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resampled(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(_read(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    every = (op1_substring_dedup, op2_fingerprints, op3_html_extraction, op4_packing, op5_language_id, op6_warc, op7_host_rules, op8_quality_classifier, op9_mixing, op10_order_minhash)
+    every = (op1_substring_dedup, op2_fingerprints, op3_html_extraction, op4_packing, op5_language_id, op6_warc, op7_host_rules, op8_quality_classifier, op9_mixing, op10_order_minhash, op11_importance_resampling, op12_token_counts, op13_spelling_variants)
     return {f.__name__: f for f in every} | {"pipeline": pipeline}
 
 
@@ -122,5 +135,47 @@ def _op9_sql() -> str:
     return "with " + ",\n".join(parts) + f"\nselect doc_id, tokens, topic, round(probability, 9) as probability, cast('0x' || substr(md5('0:' || doc_id), 1, 13) as ubigint) / {mixing._STEPS}.0 < probability as kept from p"
 
 
+#: CRC-32 by its table, over the bytes of ``{0}``.
+_CRC_TABLE = "select list(t order by i) as crcs from (select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as t from range(256) r(i))"
+_BYTES = "list_transform(range(1, length(hex(encode({0}))) + 1, 2), lambda i: cast('0x' || substr(hex(encode({0})), i, 2) as bigint))"
+_CRC = "xor(list_reduce(list_prepend(4294967295, " + _BYTES + "), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295)"
+_SMALL = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _op11_sql() -> str:
+    words = "coalesce(regexp_extract_all(" + _SMALL.format("text") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+    both = "unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])))"
+    return rf"""with crc as ({_CRC_TABLE}),
+d as (select doc_id, {words} as ws from documents),
+f as (select doc_id, {both} as g from d),
+y as (select {both} as g from (select {words} as ws from benchmark)),
+b as (select g, {_CRC.format("g")} % {resampling.BUCKETS} as bucket from (select g from f union select g from y), crc),
+s as (select bucket, cast(count(*) as double) as s from f join b using (g) group by 1),
+t as (select bucket, cast(count(*) as double) as t from y join b using (g) group by 1),
+gain as (select bucket, floor(1000 * ln((coalesce(t, 0) + 1) * ((select count(*) from f) + {resampling.BUCKETS}.0::double) / ((s + 1) * ((select count(*) from y) + {resampling.BUCKETS}.0::double)))) as gain from s left join t using (bucket)),
+w as (select doc_id, count(*) as n_features, floor(sum(gain) / count(*)) as weight from f join b using (g) join gain using (bucket) group by 1),
+r as (select doc_id, len(ws) as n_words, coalesce(n_features, 0) as n_features, cast(coalesce(weight, 0) as bigint) as weight,
+  cast(coalesce(weight, 0) + floor(-1000 * ln(-ln((cast('0x' || substr(sha256('{resampling.SEED}:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) + 0.5::double) / 4294967296))) as bigint) as score from d left join w using (doc_id)),
+o as (select doc_id, row_number() over (order by score desc, doc_id) as place, {resampling.PERCENT} * count(*) over () // 100 as draw from r where n_words >= {resampling.LEAST_WORDS})
+select doc_id, n_features, weight, score, case when place <= draw then place end as rank from r left join o using (doc_id)"""
+
+
+def _op13_sql() -> str:
+    return rf"""with recursive crc as ({_CRC_TABLE}),
+runs as (select doc_id, run, count(*) as k from (select doc_id, unnest(regexp_extract_all({_SMALL.format("text")}, '[a-z\x{{C0}}-\x{{FF}}]+')) as run from documents) group by 1, 2),
+h as (select run, k, {_CRC.format("(coalesce(cast(doc_id as varchar), '') || ':' || run)")} as h from runs, crc),
+w as (select case when h % {spelling.DROP} = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, k from h),
+words as (select word, cast(sum(k) as bigint) as n from w where length(word) >= {spelling.LETTERS} group by 1 having sum(k) >= {spelling.LEAST}),
+less as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from words, range(1, length(word) + 1) r(i)),
+near as (select a.word, b.word as other, b.n from less a join less b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select a.word, b.word, b.n from less a join words b on a.rest = b.word
+  union select b.word, a.word, a.n from less a join words b on a.rest = b.word),
+best as (select word, count(*) as n_near, max(n) as top from near group by 1),
+form as (select word, min(other) as form, any_value(near.n) as form_n from near join best using (word) join words using (word) where near.n = top and top >= {spelling.TIMES} * words.n group by 1),
+up as (select word, form as root, 1 as step from form union all select up.word, form.form, step + 1 from up join form on form.word = up.root),
+ends as (select word, arg_max(root, step) as root from up group by 1)
+select word, n, coalesce(n_near, 0) as n_near, form, form_n, coalesce(root, word) as root from words left join best using (word) left join form using (word) left join ends using (word)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op7_host_rules": OP7_SQL, "op9_mixing": _op9_sql()}
+    return {"op1_substring_dedup": OP1_SQL, "op7_host_rules": OP7_SQL, "op9_mixing": _op9_sql(), "op11_importance_resampling": _op11_sql(), "op13_spelling_variants": _op13_sql()}
