@@ -14,13 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import gathered
 from .packing import _WHOLE, chunks, tokenizer_path
 from .shared import in_small_batches, stored
-from .text import buffers, slices
+from .text import buffers, is_space, slices
 
 #: Pre-tokens that are broadcast, 20 bytes each; the rest is joined.
 HEAD = 1 << 20
@@ -43,10 +44,12 @@ def _open(path: str):
 
 
 class Cutter:
-    """Pre-tokens of texts, each distinct run of a word and the space before it cut once.
+    """Pre-tokens of texts, each distinct run of a word and the space before it cut once a slice.
 
-    Texts with white space beyond ASCII's, or with one of the tokenizer's special strings, are cut whole: at the
-    special strings, which are one token each, and then by the tokenizer's pattern.
+    The distinct runs of a slice are cut as one text: a run that begins with a space can follow any other, one that
+    doesn't follows a line break, which is a pre-token of its own there. Texts with white space beyond ASCII's, or with
+    one of the tokenizer's special strings, are cut whole: at the special strings, which are one token each, and then
+    by the tokenizer's pattern.
     """
 
     def __init__(self, path: str) -> None:
@@ -61,16 +64,41 @@ class Cutter:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.known: dict[str, np.ndarray] = {}
 
     @property
     def full(self) -> bool:
-        return len(self.number) > HELD or len(self.known) > HELD
+        return len(self.number) > HELD
 
     def numbered(self, pieces: list[str]) -> np.ndarray:
         number = self.number
         return np.array([number.setdefault(p, len(number)) for p in pieces], np.int64)
 
+    def _runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the pre-tokens of distinct runs, and where each run's begin."""
+        data, offsets = buffers(runs)
+        begin, size = offsets[:-1], np.diff(offsets)
+        space = is_space(data[begin])
+        second = is_space(data[np.minimum(begin + 1, max(len(data) - 1, 0))])
+        plain, bare = (data[begin] == 32) & (size > 1) & ~second, ~space
+        gaps = np.flatnonzero(~plain & ~bare)
+        joined = np.concatenate((np.flatnonzero(plain), np.flatnonzero(bare)))
+        units = pa.concat_arrays([runs.filter(pa.array(plain)), pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), runs.filter(pa.array(bare)), pa.scalar("", pa.large_string()))])
+        found = self.pattern.findall(buffers(units)[0].tobytes().decode())
+        coded = pa.array(found, pa.large_string()).dictionary_encode()
+        numbers = self.numbered(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)] if found else np.empty(0, np.int64)
+        ends = np.cumsum(pc.utf8_length(units).to_numpy(zero_copy_only=False).astype(np.int64))
+        until = np.searchsorted(np.cumsum(np.fromiter(map(len, found), np.int64, len(found))), ends, "right")
+        start = np.r_[0, until[:-1]] if len(until) else until
+        start[plain.sum() :] += 1  # the line break
+        own = [self.numbered(self.pattern.findall(g)) for g in runs.take(pa.array(gaps)).to_pylist()]
+        count = np.zeros(len(size), np.int64)
+        count[joined], count[gaps] = until - start, [len(x) for x in own]
+        base = np.zeros(len(size), np.int64)
+        base[joined], base[gaps] = start, len(numbers) + np.cumsum(count[gaps]) - count[gaps]
+        numbers = np.concatenate([numbers, *own])
+        first = np.r_[0, np.cumsum(count)]
+        return numbers[np.arange(first[-1]) + np.repeat(base - first[:-1], count)], first
+
     def cut(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each slice: the numbers of all its pre-tokens, how many each document has, and its special tokens."""
         data, offsets = buffers(texts)
@@ -78,18 +106,14 @@ class Cutter:
             own, edge = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             start, end, first = chunks(own, edge)
             coded = gathered(own, start, end).dictionary_encode()
-            lists = []
-            for chunk in coded.dictionary.to_pylist():
-                got = self.known.get(chunk)
-                if got is None:
-                    got = self.known[chunk] = self.numbered(self.pattern.findall(chunk))
-                lists.append(got)
-            size = np.array([len(x) for x in lists], np.int64)
-            flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
-            at = coded.indices.to_numpy(zero_copy_only=False)
-            n = size[at]
-            until = np.r_[0, np.cumsum(n)]
-            found = flat[np.arange(until[-1]) + np.repeat((np.cumsum(size) - size)[at] - until[:-1], n)]
+            if len(start):
+                flat, begin = self._runs(coded.dictionary)
+                at = coded.indices.to_numpy(zero_copy_only=False)
+                n = np.diff(begin)[at]
+                until = np.r_[0, np.cumsum(n)]
+                found = flat[np.arange(until[-1]) + np.repeat(begin[at] - until[:-1], n)]
+            else:
+                found, until = np.empty(0, np.int64), np.zeros(1, np.int64)
             per, ones = np.diff(until[first]), np.zeros(b - a, np.int64)
             rare = np.flatnonzero((own == 0xC2) | ((own >= 0xE1) & (own <= 0xE3)) | (own == 60))
             odd = [i for i in np.flatnonzero(np.diff(np.searchsorted(rare, edge))) if _WHOLE.search(own[edge[i] : edge[i + 1]].tobytes())]
@@ -206,9 +230,9 @@ def _summed(path: str, head):
                 sums.append(until[edge[1:]] - until[edge[:-1]] + ones)
                 left = got < 0
                 if left.any():
-                    pair, n = np.unique(np.stack((np.repeat(np.arange(len(per)) + begin, per)[left], found[left])), axis=1, return_counts=True)
-                    docs.append(pair[0])
-                    keys += [digest(names[i]) for i in pair[1].tolist()]
+                    pair, n = np.unique(np.repeat(np.arange(len(per)), per)[left] * len(names) + found[left], return_counts=True)
+                    docs.append(pair // len(names) + begin)
+                    keys += [digest(names[i]) for i in (pair % len(names)).tolist()]
                     often.append(n)
                 begin += len(per)
                 if cutter.full:
