@@ -1,6 +1,6 @@
 """The registered queries and their SQL forms."""
 
-from . import relational, search, series, views  # noqa: F401
+from . import relational, scans, search, series, views  # noqa: F401
 from .base import REGISTRY
 
 __all__ = ["REGISTRY"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import retrieval, rules
+from ..operators import grounding, retrieval, rules
 from .base import query, table
 
 _TERMS, _QUESTION = ["thing", "onnt"], "Which of the things is onnt?"
@@ -120,6 +120,63 @@ def clipped_texts(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.size(F.split("text", "[.;]")).cast("long").alias("n_sentences"), F.length(F.regexp_replace("text", r"\s+", " ")).cast("long").alias("n_chars"), F.when(F.length("text") > 200, F.concat(F.substring("text", 1, 200), F.lit(" …"))).otherwise(F.col("text")).alias("clipped"))
 
 
+_UNITS = {"click": "cmH2O", "error": "mL", "purchase": "%", "signup": "bpm", "view": "mmHg"}
+_UNIT_SQL = "case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in _UNITS.items()) + " end"
+
+#: A line of text for each event, and an answer for each user and type that states figures of the lines, right and wrong.
+_LINES_SQL = f"""line as (select user_id, event_id, event_type || ' ' || cast(cast(value as decimal(12,2)) as varchar) || ' ' || {_UNIT_SQL} || '; k ' || json_extract_string(props, '$.k') as text from events),
+stat as (select user_id, event_type, {_UNIT_SQL} as unit, max(cast(value as decimal(12,2))) as top, min(cast(value as decimal(12,2))) as low, cast(sum(cast(round(value * 100) as bigint)) // count(*) // 100 as bigint) as mid, count(*) as n from events group by 1, 2),
+answer as (select user_id, event_type, 'Peak ' || cast(top as varchar) || ' ' || unit || ', roughly ' || mid || ' ' || unit || '; it fell by ' || cast(top - low as varchar) || ' ' || unit || ' to ' || cast(cast(low as integer) + 1 as varchar) || ' ' || unit || ', ' || n || ' readings, −' || cast(low as varchar) || ' ' || unit || ', ' || cast(floor(100 * low / top) as integer) || '% of the peak, never 1,250 ' || unit || ' or ' || cast(top + 0.06 as varchar) || ' ' || unit || ', twenty-two times' as text from stat)"""
+
+_CUT_SQL = r"""select {keys}, i - 1 as place, split_part(p[i], '>', 1) as token, split_part(p[i], '>', 2) as tail, split_part(p[i - 1], '>', -1) as lead from (select {keys}, unnest(range(2, len(p) + 1)) as i, p from (select {keys}, string_split(regexp_replace(text, '(^|[^A-Za-z0-9_.])([0-9]+(?:,[0-9]{{3}})*(?:\.[0-9]+)?|twenty-two)', '\1<\2>', 'g'), '<') as p from {table}))"""
+_NUMBER_SQL = r"""select {keys}, place, token, try_cast(case when token = 'twenty-two' then '22' else replace(token, ',', '') end as decimal(18,6)) * case when right(lead, 1) = '−' then -1 else 1 end as value, length(regexp_extract(token, '\.([0-9]+)$', 1)) as decimals, right(lead, 1) = '−' as negative, right(lead, 8) = 'roughly ' as hedged, lower(regexp_extract(tail, '^ ?(cmH2O|mL|%|bpm|mmHg)', 1)) as unit from ({cut})"""
+
+
+def _grounded_sql() -> str:
+    claims = _NUMBER_SQL.format(keys="user_id, event_type", cut=_CUT_SQL.format(keys="user_id, event_type", table="answer"))
+    given = _NUMBER_SQL.format(keys="user_id", cut=_CUT_SQL.format(keys="user_id", table="line"))
+    return rf"""with {_LINES_SQL}, c0 as ({claims}), s as (select distinct user_id, value as v, unit from ({given})),
+c as (select *, case when decimals = 2 then cast(0.005 as decimal(18,7)) else cast(0.5 as decimal(18,7)) end as half, exists (select 1 from s where s.user_id = c0.user_id and s.unit = c0.unit and c0.unit not in ('', '%')) as own from c0),
+hit as (
+  select distinct c.user_id, event_type, place from c join s on s.user_id = c.user_id and (s.unit = c.unit or not own)
+  where (abs(v) >= abs(value) - half and abs(v) < abs(value) + half and (sign(v) = sign(value) or not negative)) or (hedged and abs(v - value) <= greatest(2 * half, abs(value) * 0.05))
+  union select distinct c.user_id, event_type, place from c join s a on a.user_id = c.user_id join s b on b.user_id = c.user_id
+  where c.value >= 0 and ((c.unit not in ('', '%') and a.unit = c.unit and b.unit = c.unit and a.v < b.v and b.v - a.v >= value - half and b.v - a.v < value + half)
+    or (c.unit = '%' and value <= 100 and b.v > 0 and a.v >= 0 and a.v <= b.v and 100 * a.v >= (value - half) * b.v and 100 * a.v < (value + half) * b.v)))
+select user_id, event_type, cast(place as bigint) as place, token, unit, hedged, hit.place is not null as grounded from c left join hit using (user_id, event_type, place)"""
+
+
+def _lines(spark, sf_dir):
+    unit = F.element_at(F.create_map(*[F.lit(x) for pair in _UNITS.items() for x in pair]), F.col("event_type"))
+    events = table(spark, sf_dir, "events").withColumns({"unit": unit, "fixed": F.col("value").cast("decimal(12,2)")})
+    show = lambda c: F.col(c).cast("string")
+    lines = events.select("user_id", F.concat_ws(" ", "event_type", show("fixed"), F.concat("unit", F.lit("; k")), F.get_json_object("props", "$.k")).alias("text"))
+    stats = events.groupBy("user_id", "event_type", "unit").agg(F.max("fixed").alias("top"), F.min("fixed").alias("low"), F.expr("cast(sum(cast(round(value * 100) as bigint)) div count(*) div 100 as string)").alias("mid"), F.count("*").cast("string").alias("n"))
+    more = stats.select("*", F.expr("cast(top - low as string)").alias("fall"), F.expr("cast(cast(round(low) as int) + 1 as string)").alias("to"), F.expr("cast(cast(floor(100 * low / top) as int) as string)").alias("share"), F.expr("cast(cast(top + 0.06 as decimal(13,2)) as string)").alias("over"))
+    text = F.format_string("Peak %s %s, roughly %s %s; it fell by %s %s to %s %s, %s readings, −%s %s, %s%% of the peak, never 1,250 %s or %s %s, twenty-two times", show("top"), "unit", "mid", "unit", "fall", "unit", "to", "unit", "n", show("low"), "unit", "share", "unit", "over", "unit")
+    return lines, more.select("user_id", "event_type", text.alias("text"))
+
+
+def _judged(spark, sf_dir):
+    lines, answers = _lines(spark, sf_dir)
+    return answers, grounding.grounded(grounding.numbers(answers, "text"), grounding.numbers(lines, "text"), ["user_id"])
+
+
+@query(_grounded_sql())
+def grounded_claims(spark, sf_dir):
+    """Which figures of each answer its user's lines hold: rounded, hedged, as differences and as percentages."""
+    return _judged(spark, sf_dir)[1].select("user_id", "event_type", F.col("place").cast("long").alias("place"), "token", "unit", "hedged", "grounded")
+
+
+@query(f"""with j as ({_grounded_sql()}), {_LINES_SQL}, p as ({_CUT_SQL.format(keys="user_id, event_type", table="answer")})
+select user_id, event_type, count(*) filter (where not grounded) as n_removed, any_value(split_part(text, ' ', 1)) || ' ' || string_agg(case when grounded then p.token else '{grounding.REMOVED}' end || tail, '' order by p.place) as kept
+from p join j using (user_id, event_type, place) join answer using (user_id, event_type) group by 1, 2""")
+def answers_without_ungrounded(spark, sf_dir):
+    """Each answer with a mark in place of the figures that nothing holds."""
+    answers, judged = _judged(spark, sf_dir)
+    return grounding.without(answers, judged, ["user_id", "event_type"], "text").select("user_id", "event_type", F.col("n_removed").cast("long").alias("n_removed"), "kept")
+
+
 def _catalog_sql() -> str:
     show = lambda x: "null" if x is None else f"{x}" if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
     rows = ", ".join(f"({', '.join(map(show, r))})" for r in rules.catalog_rows())

@@ -17,15 +17,18 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the checkpoint folder that the cluster shares, so later plans begin there.
-
-    The folder is that of ``spark.checkpoint.dir``; where it is unset a local session takes one of its own.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which the driver and all executors share; where it is unset a local session takes one of its own."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if not folder and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gridwake-"))
+    return (folder or context._jsc.sc().getCheckpointDir().get()).rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the checkpoint folder that the cluster shares, so later plans begin there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
