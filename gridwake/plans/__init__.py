@@ -1,6 +1,6 @@
 """The registered queries and their SQL forms."""
 
-from . import relational, scans, search, series, stores, views  # noqa: F401
+from . import relational, scans, search, series, stores, views, waves  # noqa: F401
 from .base import REGISTRY
 
 __all__ = ["REGISTRY"]
