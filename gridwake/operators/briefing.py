@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import placed
+
 
 def filtered(df: DataFrame, equal: dict | None = None, least: dict | None = None, contains: dict | None = None) -> DataFrame:
     """Rows that equal, reach and contain (whatever the case) what is asked; a null matches nothing."""
@@ -49,13 +51,9 @@ def rule_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def ranked_both(df: DataFrame, value: str, ties: list[str]) -> DataFrame:
-    """``up`` and ``down``: ranks by value in both directions, a null always the lowest, ties by ids.
-
-    The rows come in one order for all, so this is for lists of cases, one row a case.
-    """
-    up = Window.partitionBy(F.lit(0)).orderBy(F.col(value).asc_nulls_first(), *ties)
-    down = Window.partitionBy(F.lit(0)).orderBy(F.col(value).desc_nulls_last(), *ties)
-    return df.withColumns({"up": F.row_number().over(up).cast("long"), "down": F.row_number().over(down).cast("long")})
+    """``up`` and ``down``: ranks by value in both directions, a null always the lowest, ties by ids, which leave none."""
+    up = placed(df, [F.col(value).asc_nulls_first(), *ties], "up")
+    return placed(up, [F.col(value).desc_nulls_last(), *ties], "down")
 
 
 def first_of(df: DataFrame, keys: list[str], order: list, most: int) -> DataFrame:

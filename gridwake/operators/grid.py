@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Keys whose data spans more steps than this keep their rows as they are.
+#: Fixed value: keys whose data spans more steps than this keep their rows as they are.
 MOST_STEPS = 1680
 
 

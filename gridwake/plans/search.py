@@ -106,13 +106,12 @@ def number_extract(spark, sf_dir):
     return found.select("doc_id", F.size("x").cast("long").alias("n_numbers"), F.coalesce(F.try_element_at("x", F.lit(1)), F.lit("")).alias("first_number"))
 
 
-@query("""with a as (select conv_id, turn, unnest(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?')) as x from conversations where role = 'assistant'), u as (select conv_id, turn, unnest(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?')) as x from conversations where role <> 'assistant')
-select distinct a.conv_id, a.turn, a.x as number from a where not exists (select 1 from u where u.conv_id = a.conv_id and u.turn < a.turn and u.x = a.x)""")
+@query("""with a as (select distinct source, doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?')) as x from documents)
+select source, doc_id, x as number from a where not exists (select 1 from a b where b.source = a.source and b.doc_id < a.doc_id and b.x = a.x)""")
 def ungrounded_numbers(spark, sf_dir):
-    found = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.explode(text.integers(F.col("text"))).alias("number")).distinct()
-    said, given = found.where("role = 'assistant'"), found.where("role <> 'assistant'").groupBy("conv_id", "number").agg(F.min("turn").alias("first"))
-    joined = said.join(given, ["conv_id", "number"], "left").where("first is null or first >= turn")
-    return joined.select("conv_id", "turn", "number").distinct()
+    """Numbers of a document that no document before it of the same source has."""
+    found = table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(text.integers(F.col("text"))).alias("number"))
+    return found.groupBy("source", "number").agg(F.min("doc_id").alias("doc_id")).select("source", "doc_id", "number")
 
 
 @query("""select item_id, len(string_split_regex(text, '[.;]')) as n_sentences, length(regexp_replace(text, '\\s+', ' ', 'g')) as n_chars, case when length(text) > 200 then substr(text, 1, 200) || ' …' else text end as clipped from benchmark""")

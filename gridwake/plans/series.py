@@ -100,7 +100,8 @@ def left_dim_join(spark, sf_dir):
 
 _GRID_SQL = f"""{HOURLY_SQL},
 span as (select user_id, min(h) as lo, max(h) as hi from hourly group by 1),
-grid as (select user_id, unnest(generate_series(lo, hi, interval 1 hour)) as h from span where date_diff('hour', lo, hi) <= 1680),
+grid as (select user_id, unnest(generate_series(lo, hi, interval 1 hour)) as h from span where date_diff('hour', lo, hi) <= 1680
+  union all select user_id, h from hourly join span using (user_id) where date_diff('hour', lo, hi) > 1680),
 dense as (select g.user_id, g.h, value, k, n from grid g left join hourly using (user_id, h))"""
 
 
