@@ -92,11 +92,6 @@ def integers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"([0-9]+(?:\.[0-9]+)?)"))
 
 
-def mask_ids(text: Column) -> Column:
-    """Case numbers replaced by a mark."""
-    return F.regexp_replace(text, r"\b(SYN[0-9a-f]{10}|[0-9a-f]{16})\b", "[case]")
-
-
 def nice_step(width: Column) -> Column:
     """The least of 1, 2, 2.5, 5 and 10 times a power of ten that is at least ``width``."""
     power = F.pow(F.lit(10.0), F.floor(F.log10(width)))
