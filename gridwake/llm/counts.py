@@ -26,7 +26,7 @@ from .text import buffers, is_space, slices
 #: Pre-tokens that are broadcast, 20 bytes each; the rest is joined.
 HEAD = 1 << 20
 #: Distinct pre-tokens that a task holds before it sends them on, and bytes of text that are cut at a time.
-HELD, SLICE = 400_000, 4 << 20
+HELD, SLICE = 400_000, 2 << 20
 LIMIT = 512
 
 
