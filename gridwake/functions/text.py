@@ -12,7 +12,6 @@ STOPWORDS = tuple(
     "a an and any are be by can case cases did do does find for from give has have how i in is it list many me of on or "
     "patient patients show tell that the there these this those to was were what when where which who why will with".split()
 )
-_TOKEN = r"[\p{L}\p{N}]"
 
 
 def question_terms(question: str) -> list[str]:
@@ -51,20 +50,6 @@ def folded(text: Column) -> Column:
     return F.lower(F.replace(text, F.lit("₂"), F.lit("2")))
 
 
-def token_count(text: Column) -> Column:
-    """How many ``tokens`` a text has, by counting matches alone."""
-    stop = rf"(?<!{_TOKEN})(?:{'|'.join(STOPWORDS)})(?!{_TOKEN})"
-    return F.regexp_count(folded(text), F.lit(f"{_TOKEN}+")) - F.regexp_count(folded(text), F.lit(stop))
-
-
-def term_count(text: Column, term: str) -> Column:
-    """How often a search token occurs among a text's ``tokens``; 0 without a look at tokens where it is no part of the text."""
-    forms = [term] if not (len(term) > 3 and term.endswith("s") and not term.endswith("ss")) else []
-    forms += [term + "s"] if len(term) >= 3 and not term.endswith("s") else []
-    found = F.regexp_count(folded(text), F.lit(rf"(?<!{_TOKEN})(?:{'|'.join(map(re.escape, forms))})(?!{_TOKEN})")) if forms else F.lit(0)
-    return F.when(F.contains(folded(text), F.lit(term)), found).otherwise(0)
-
-
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors; 0 if they are empty, of unlike length, or of no length."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

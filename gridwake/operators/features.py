@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,19 +15,20 @@ from .runs import islands
 def rolling_slopes(df: DataFrame, values: dict[str, str], keys: list[str], order: list[str], rows: int = 10, least: int = 5) -> DataFrame:
     """``df`` with a column for each of ``values`` (new name: column): its least-squares slope against the row's place over the last ``rows`` rows.
 
-    Null with fewer than ``least`` values; a null value keeps its place. Places count from the mean place of the
-    frame's values, so a long series loses no digits. ``df`` comes from ``numbered``, whose exchange the window shares.
+    Null with fewer than ``least`` values; a null value keeps its place. Places count back from the row itself, so a
+    long series loses no digits; each is a lag, and their sums are plain arithmetic.
     """
-    frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(rows - 1), 0)
-    point = lambda v: F.when(F.col(v).isNotNull(), F.struct(F.col("_row").alias("x"), F.col(v).cast("double").alias("y")))
-    total = lambda points, f: F.aggregate(points, F.lit(0.0), lambda s, p: s + f(p))
-    df = df.withColumns({f"_p_{n}": F.collect_list(point(v)).over(frame) for n, v in values.items()})
-    df = df.withColumns({f"_{a}_{n}": F.try_divide(total(f"_p_{n}", lambda p, a=a: p[a]), F.size(f"_p_{n}")) for n in values for a in "xy"})
+    w = Window.partitionBy(*keys).orderBy(*order)
+    lags = {f"_{k}_{n}": F.lag(F.col(v).cast("double"), k).over(w) if k else F.col(v).cast("double") for n, v in values.items() for k in range(rows)}
+    df = df.withColumns(lags)
     for n in values:
-        x, y = F.col(f"_x_{n}"), F.col(f"_y_{n}")
-        xy, xx = (total(f"_p_{n}", f) for f in (lambda p, x=x, y=y: (p["x"] - x) * (p["y"] - y), lambda p, x=x: (p["x"] - x) * (p["x"] - x)))
-        df = df.withColumn(n, F.when(F.size(f"_p_{n}") >= least, F.try_divide(xy, xx)))
-    return df.drop(*[f"_{a}_{n}" for n in values for a in "pxy"])
+        at = [(-k, F.col(f"_{k}_{n}")) for k in range(rows)]
+        total = lambda f, at=at: reduce(lambda s, t: s + t, [F.when(y.isNotNull(), f(F.lit(float(x)), y)).otherwise(0.0) for x, y in at])
+        df = df.withColumns({f"_n_{n}": total(lambda x, y: F.lit(1.0)), f"_x_{n}": total(lambda x, y: x)})
+        middle = F.col(f"_x_{n}") / F.col(f"_n_{n}")
+        df = df.withColumns({f"_xy_{n}": total(lambda x, y, m=middle: (x - m) * y), f"_xx_{n}": total(lambda x, y, m=middle: (x - m) * (x - m))})
+        df = df.withColumn(n, F.when(F.col(f"_n_{n}") >= least, F.try_divide(f"_xy_{n}", f"_xx_{n}")))
+    return df.drop(*lags, *[f"_{a}_{n}" for n in values for a in ("n", "x", "xy", "xx")])
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

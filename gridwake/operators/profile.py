@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 PERCENTILES = (1, 5, 25, 50, 75, 95, 99)
 BINS, SMALL_CELL = 100, 11
 
@@ -56,12 +60,56 @@ def names(df: DataFrame, name: str, case: str, most: int = 100, least: int = SMA
     return ranked.unionByName(rest.select(F.lit("(other)").alias("label"), "n", F.lit(None).cast("long").alias("n_cases"), F.lit(None).cast("long").alias("rank")))
 
 
+#: Relative error of the sketch that brackets percentiles, as one over it, and keys whose sketches are broadcast at most.
+SKETCH, SKETCHED_KEYS = 10_000, 100_000
+
+
 def percentiles(df: DataFrame, keys: list[str], value: str, qs: tuple = PERCENTILES) -> DataFrame:
-    """Exact percentiles with linear interpolation, one column each.
+    """Exact percentiles with linear interpolation, one column each, and ``n``, the values of a key that are not null.
 
-    Values are counted first, so what is sorted for a key is its distinct values, which spill; no key's values
-    are held in a buffer.
+    A sketch gives bounds around each percentile; then values under the bounds are counted, and only the few between
+    them are counted one by one and sorted, so a key with much of the rows is no task of its own and no rows are
+    shuffled. With very many keys, or if bounds should not hold, all distinct values are counted and sorted by key.
     """
+    rows = df.where(F.col(value).isNotNull())
+    shares = [q / 100 for q in qs]
+    slack = 4.0 / SKETCH
+    cuts = F.percentile_approx(value, F.array(*[F.lit(min(max(s + d, 0.0), 1.0)) for s in shares for d in (-slack, slack)]), SKETCH)
+    sketch = cut(rows.groupBy(*keys).agg(F.count("*").alias("_total"), cuts.alias("_cuts")))
+    if sketch.count() > SKETCHED_KEYS:
+        return _percentiles_by_counts(df, keys, value, qs)
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    told = F.broadcast(sketch.withColumnsRenamed({k: f"_key_{k}" for k in keys}))  # at most SKETCHED_KEYS rows
+    joined = rows.join(told, reduce(lambda x, y: x & y, same, F.lit(True))).select(*keys, F.col(value).alias("_v"), "_total", "_cuts")
+    low, high = (lambda i: F.get("_cuts", F.lit(2 * i))), (lambda i: F.get("_cuts", F.lit(2 * i + 1)))
+    under = [x.alias(f"_{name}{i}") for i in range(len(qs)) for name, x in (("b", F.count_if(F.col("_v") < low(i))), ("u", F.max(F.when(F.col("_v") < low(i), F.col("_v")))), ("o", F.min(F.when(F.col("_v") > high(i), F.col("_v")))))]
+    sums = joined.groupBy(*keys).agg(F.max("_total").alias("n"), *under)
+    near = F.array_compact(F.array(*[F.when(F.col("_v").between(low(i), high(i)), F.lit(i)) for i in range(len(qs))]))
+    counted = joined.select(*keys, "_v", F.explode(near).alias("_i")).groupBy(*keys, "_i", "_v").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_i").orderBy("_v"))
+    lists = counted.withColumn("_upto", upto).groupBy(*keys).agg(*[F.array_sort(F.collect_list(F.when(F.col("_i") == i, F.struct("_upto", "_v")))).alias(f"_l{i}") for i in range(len(qs))])
+    both = sums.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    found = cut(lists.join(both, reduce(lambda x, y: x & y, same, F.lit(True))).drop(*[f"_key_{k}" for k in keys]))
+
+    def at(i: int, rank: Column) -> Column:
+        """The value at a rank (from 0): between the bounds, or the one beside them."""
+        inside = F.get(F.filter(f"_l{i}", lambda s: s["_upto"] + F.col(f"_b{i}") > rank), F.lit(0))["_v"]
+        over = F.get(f"_l{i}", F.size(f"_l{i}") - 1)["_upto"] + F.col(f"_b{i}")
+        return F.when(rank == F.col(f"_b{i}") - 1, F.col(f"_u{i}")).when(rank < F.col(f"_b{i}"), F.lit(None)).when(rank == over, F.col(f"_o{i}")).otherwise(inside)
+
+    place = lambda s: (F.col("n") - 1) * s
+    ends = [x.alias(f"_{side}{i}") for i, s in enumerate(shares) for side, x in (("lo", at(i, F.floor(place(s)))), ("hi", at(i, F.ceil(place(s)))))]
+    told = found.select(*keys, "n", *ends)
+    lost = F.lit(False)
+    for i in range(len(qs)):
+        lost |= F.col(f"_lo{i}").isNull() | F.col(f"_hi{i}").isNull()
+    if not told.where(lost).isEmpty():
+        return _percentiles_by_counts(df, keys, value, qs)
+    line = lambda i, s: F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (place(s) - F.floor(place(s)))
+    return told.select(*keys, "n", *[line(i, s).alias(f"p{q}") for i, (q, s) in enumerate(zip(qs, shares, strict=True))])
+
+
+def _percentiles_by_counts(df: DataFrame, keys: list[str], value: str, qs: tuple) -> DataFrame:
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     rows = counts.withColumn("upto", F.sum("n").over(whole.orderBy(value))).withColumn("total", F.sum("n").over(whole))

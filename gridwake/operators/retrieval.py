@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..session import cut
 
 #: BM25's saturation and length weights, and the constant of rank fusion.
 K1, B, RRF = 1.2, 0.75, 60
@@ -44,24 +45,21 @@ def keyword_postings(docs: DataFrame, key: str, column: str, question: str) -> D
 def bm25(docs: DataFrame, key: str, column: str, question: str) -> DataFrame:
     """BM25 of each document with a term of the question.
 
-    One pass over all texts counts tokens and gives the totals, two numbers and one for each term; the second
-    looks only at documents with a term.
+    Texts are cut once: their lengths and occurrences, a few numbers for each, are kept, and give the totals and the
+    scores. A document without tokens counts for neither.
     """
     terms = tx.question_terms(question)
-    text = F.col(column)
-    lengths = docs.select(tx.token_count(text).alias("n"), *[(tx.term_count(text, t) > 0).alias(f"d{i}") for i, t in enumerate(terms)]).where("n > 0")
-    stats = lengths.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"d{i}")).alias(f"d{i}") for i in range(len(terms))]).first()
-    some = F.lit(False)
-    for t in terms:
-        some |= F.contains(tx.folded(text), F.lit(t))
-    counted = docs.where(some).select(key, tx.token_count(text).alias("n"), *[tx.term_count(text, t).alias(f"f{i}") for i, t in enumerate(terms)])
+    words = docs.select(key, tx.tokens(F.col(column)).alias("_t"))
+    times = lambda term: F.size(F.filter("_t", lambda w: w == term))
+    counts = cut(words.select(key, F.size("_t").alias("n"), *[times(t).alias(f"f{i}") for i, t in enumerate(terms)]).where("n > 0"))
+    stats = counts.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(terms))]).first()
     score, any_ = F.lit(0.0), F.lit(False)
     for i in range(len(terms)):
         idf = math.log((stats["docs"] - stats[f"d{i}"] + 0.5) / (stats[f"d{i}"] + 0.5) + 1)
         f = F.col(f"f{i}")
         score += idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n") / F.lit(stats["mean"] or 1.0)))
         any_ |= f > 0
-    return counted.where(any_).select(key, score.alias("bm25"))
+    return counts.where(any_).select(key, score.alias("bm25"))
 
 
 def nearest(vectors: DataFrame, key: str, column: str, query: list[float]) -> DataFrame:
