@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .config import check_parameters, rules
-from .operators import clean, features, grid, phases, runs, scoring
+from .operators import clean, features, grid, phases, runs, scoring, verdicts
 from .operators.rules import flag_rows, rule_columns
 from .session import cut
 
@@ -65,14 +65,17 @@ def summary(series: DataFrame, flags: DataFrame) -> DataFrame:
     return df.withColumn("score_per_hour", scoring.per_hour(F.col("anomaly_score"), F.col("n_minutes")))
 
 
-def process(raw_cases: DataFrame, raw_ventilator: DataFrame, raw_vitals: DataFrame, raw_events: DataFrame, preset: str = "default", pad_minutes: int = 5) -> Cases:
-    """All results of raw string tables, under a preset of the rules.
+def process(raw_cases: DataFrame, raw_ventilator: DataFrame, raw_vitals: DataFrame, raw_events: DataFrame, preset: str = "default", pad_minutes: int = 5, validate: bool = False) -> Cases:
+    """All results of raw string tables, under a preset of the rules; with ``validate``, only if all checks of ``verdicts`` hold.
 
     Streams without a known case keep their rows and have no constants. The series, aligned, labelled and
     with its rules, is kept in the checkpoint folder; what is made of it is lazy.
     """
     check_parameters(pad_minutes=pad_minutes)
-    return judged(cut(labelled(raw_cases, raw_ventilator, raw_vitals, raw_events, pad_minutes)), preset)
+    found = judged(cut(labelled(raw_cases, raw_ventilator, raw_vitals, raw_events, pad_minutes)), preset)
+    if validate:
+        verdicts.validate(found._asdict(), pad_minutes=pad_minutes)
+    return found
 
 
 def judged(series: DataFrame, preset: str = "default") -> Cases:

@@ -16,12 +16,6 @@ def reversed_episodes(episodes: DataFrame) -> DataFrame:
     return episodes.agg(F.count_if(F.col("t_end") < F.col("t_start")).alias("n_reversed"))
 
 
-def required(df: DataFrame, columns: list[str]) -> list[str]:
-    """Faults of a frame's form: columns that it lacks, and that it is empty."""
-    faults = [f"no column {c}" for c in columns if c not in df.columns]
-    return faults + (["no rows"] if df.isEmpty() else [])
-
-
 def key_sets(wanted: DataFrame, have: DataFrame, key: str) -> DataFrame:
     """Keys that are in one of both alone: ``missing`` ones are wanted, ``extra`` ones aren't."""
     both = wanted.select(key).distinct().withColumn("_w", F.lit(True)).join(have.select(key).distinct().withColumn("_h", F.lit(True)), key, "full_outer")

@@ -97,6 +97,12 @@ def gap_runs(grid: DataFrame, keys: list[str], at: str, value: str) -> DataFrame
     return marked.groupBy(*keys, "_run").agg(F.min(at).alias("gap_start"), F.max(at).alias("gap_end"), F.count("*").alias("gap_length")).drop("_run")
 
 
+def gap_spans(gaps: DataFrame, step: float = 1.0) -> DataFrame:
+    """``gap_runs`` (with places as numbers) as spans that reach half a step beyond their first and last missing place."""
+    half = step / 2
+    return gaps.withColumns({"span_start": F.col("gap_start") - half, "span_end": F.col("gap_end") + half, "span": F.col("gap_end") - F.col("gap_start") + step})
+
+
 def covering(intervals: DataFrame, points: DataFrame, keys: list[str], at: str, start: str = "t_start", end: str = "t_end", width: int = 24) -> DataFrame:
     """Intervals joined with the points of the same keys that they cover, both ends included.
 

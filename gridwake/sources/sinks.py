@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def write_whole(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write Parquet beside ``path``, then rename: a reader sees the old table or the new one, and a failed job leaves the old."""
+    """Write Parquet beside ``path``, then rename: a failed job leaves the old table, and so does a rename that fails.
+
+    Between its two renames, for as long as a file system needs for one, there is no table; readers that can't wait
+    for that read results of ``scan.Scan``, which are published by a manifest.
+    """
     staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(staged)
@@ -22,8 +26,16 @@ def _replace(spark: SparkSession, staged: str, path: str) -> None:
     fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     away = jvm.org.apache.hadoop.fs.Path(f"{staged}.old")
     had = fs.exists(old)
-    if had and not fs.rename(old, away) or not fs.rename(new, old):
-        raise OSError(f"cannot rename {staged} to {path}")
+    if had and not fs.rename(old, away):
+        raise OSError(f"cannot rename {path}")
+    try:
+        done = fs.rename(new, old)
+    except Exception:
+        done = False
+    if not done:
+        if had:
+            fs.rename(away, old)
+        raise OSError(f"cannot rename {staged} to {path}; the table is as it was")
     if had:
         fs.delete(away, True)
 

@@ -32,7 +32,7 @@ def write_tables(folder):
 def test_from_files_to_scores(spark, tmp_path):
     write_tables(tmp_path)
     tables = [raw.read_csv(spark, str(tmp_path / f"{n}.csv")) for n in ("cases", "vent", "vitals", "events")]
-    out = cases.process(*tables)
+    out = cases.process(*tables, validate=True)
     series = {(r["PID"], int(r["t_min"])): r for r in out.series.collect()}
     assert {p for p, _ in series} == {"A", "B"} and len([1 for p, _ in series if p == "A"]) == 25 and len([1 for p, _ in series if p == "B"]) == 20
     a = series[("A", 12)]
