@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .shared import small, stored
 
-#: Least rounds of fitting, exponent that turns shares into target shares, and the cap on a rate in the SQL form (here, none).
-ROUNDS, TEMPER, MOST_RATE = 6, 0.7, 4.0
+#: Least rounds of fitting, and exponent that turns shares into target shares.
+ROUNDS, TEMPER = 6, 0.7
 #: Fitting goes on until each value's share is met but for this part of it, or stops where more rounds don't help.
 TOLERANCE, MOST_ROUNDS = 1e-3, 200
 #: Stands for a null in a margin.

@@ -130,7 +130,7 @@ def _op9_sql() -> str:
         parts.append(f"c{i + 1} as (select c{i}.source, c{i}.lang, c{i}.topic, tokens, weight * coalesce(share * total / nullif(sum(weight) over (partition by c{i}.{m}), 0), 0) as weight from c{i} left join goal_{m} using ({m}), whole)")
     last = f"c{3 * mixing.ROUNDS}"
     parts.append(f"r as (select source, lang, topic, weight / nullif(tokens, 0) as rate from {last})")
-    parts.append(f"t as (select least(max(rate), {mixing.MOST_RATE}) as scale from r)")
+    parts.append("t as (select max(rate) as scale from r)")
     parts.append("p as (select doc_id, tokens, topic, least(1.0, coalesce(rate / scale, 1.0)) as probability from d join r using (source, lang, topic), t)")
     return "with " + ",\n".join(parts) + f"\nselect doc_id, tokens, topic, round(probability, 9) as probability, cast('0x' || substr(md5('0:' || doc_id), 1, 13) as ubigint) / {mixing._STEPS}.0 < probability as kept from p"
 
