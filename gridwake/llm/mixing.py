@@ -11,7 +11,7 @@ import math
 import warnings
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import small, stored
@@ -20,6 +20,8 @@ from .shared import small, stored
 ROUNDS, TEMPER = 6, 0.7
 #: Fitting goes on until each value's share is met but for this part of it, or stops where more rounds don't help.
 TOLERANCE, MOST_ROUNDS = 1e-3, 200
+#: Cells that one task fits; more are dealt out.
+FEW_CELLS = 100_000
 #: Stands for a null in a margin.
 NONE = "(none)"
 _STEPS = 1 << 52
@@ -42,28 +44,39 @@ def raked(cells: DataFrame, margins: list[str], targets: dict[str, DataFrame] |
     ``targets`` holds for a margin a frame of its values and their ``share``; by default a margin's target
     shares are its shares to the power TEMPER, scaled to sum to 1. Values without a target, and cells
     without tokens, get no weight. After ``rounds`` rounds, more follow until all shares are met within
-    TOLERANCE; a warning tells if targets exclude each other. One frame of cells is kept per step; no cell
-    leaves the cluster.
+    TOLERANCE; a warning tells if targets exclude each other. Up to FEW_CELLS cells are fitted in one task, a round
+    at a time; more are dealt out, and one frame of them is kept per margin. No cell leaves the cluster.
     """
+    few = cells.count() <= FEW_CELLS
+    together = lambda df: df.coalesce(1) if few else df  # noqa: E731  # one partition needs no exchange to add up a margin
+    cells = together(cells)
     goals = _goals(cells, margins, targets)
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
     errors: list[float] = []
+    if few:
+        for m in margins:
+            now = now.join(goals[m].withColumnRenamed("share", f"_share_{m}"), m, "left")
+        now = together(stored(now, "cells"))
     while True:
         for m in margins:
+            if few:
+                sum_ = F.sum("weight").over(Window.partitionBy(m))
+                now = now.withColumn("weight", F.col("weight") * F.coalesce(F.try_divide(F.col(f"_share_{m}") * total, sum_), F.lit(0.0)))
+                continue
             sums = now.groupBy(m).agg(F.sum("weight").alias("sum"))
             factor = sums.join(goals[m], m).select(m, F.try_divide(F.col("share") * total, F.col("sum")).alias("factor"))
             now = now.join(factor, m, "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(0.0))).drop("factor").checkpoint()
-        now = stored(now, "cells")  # a checkpoint keeps the plan's size estimate, which is squared with each step
+        now = together(stored(now, "cells"))  # a checkpoint keeps the plan's size estimate, which is squared with each step
         rounds -= 1
         if rounds > 0:
             continue
         errors.append(_error(now, goals, total))
         if errors[-1] <= TOLERANCE:
-            return now
+            return now.drop(*[f"_share_{m}" for m in margins])
         if len(errors) > MOST_ROUNDS or len(errors) > 8 and errors[-1] > 0.95 * errors[-9]:
             warnings.warn(f"no weights found that meet all margins: a share is off by {errors[-1]:.2g} of its target", stacklevel=2)
-            return now
+            return now.drop(*[f"_share_{m}" for m in margins])
 
 
 def _goals(cells: DataFrame, margins: list[str], targets: dict[str, DataFrame] | None) -> dict[str, DataFrame]:

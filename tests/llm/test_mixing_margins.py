@@ -30,3 +30,13 @@ def test_raking_goes_on_until_margins_are_met(spark):
         assert all(abs(w / 2020 / goal[v] - 1) <= 1.01 * mixing.TOLERANCE for v, w in got.groupby(m)["weight"].sum().items())
     with pytest.warns(UserWarning, match="off by"):
         mixing.raked(cells.where("tokens > 10"), ["s", "l"], targets)
+
+
+def test_few_and_many_cells_are_fitted_alike(spark, monkeypatch):
+    rows = [(f"s{i % 7}", f"l{i % 3}", 10 + i * 37 % 101) for i in range(60)] + [("s8", "l0", 0)]
+    cells = spark.createDataFrame(rows, "s string, l string, tokens long").groupBy("s", "l").agg(F.sum("tokens").alias("tokens"))
+    weights = []
+    for few in (1000, 0):
+        monkeypatch.setattr(mixing, "FEW_CELLS", few)
+        weights.append({(r["s"], r["l"]): r["weight"] for r in mixing.raked(cells, ["s", "l"]).collect()})
+    assert weights[0].keys() == weights[1].keys() and all(abs(weights[0][k] - v) <= 1e-9 * max(1.0, abs(v)) for k, v in weights[1].items())
