@@ -101,7 +101,7 @@ def claims(handoffs: DataFrame) -> DataFrame:
         F.flatten(F.collect_list(F.when(F.col("_m"), F.regexp_extract_all("_t", F.lit(_NUMBER), F.lit(0))))).alias("minutes"),
         last.alias("value"),
         F.collect_list(F.when(F.col("_u"), F.regexp_extract("_t", _NUMBER, 0))).alias("under"),
-        F.bool_or(F.col("_f").isNotNull() & (F.col("_gap") | F.col("_t").rlike(rf"^no\s"))).alias("lacking"),
+        F.bool_or(F.col("_f").isNotNull() & ~concept & (F.col("_gap") | F.col("_t").rlike(r"^no\s"))).alias("lacking"),
     )
     numbers = lambda c, kind: F.transform(F.flatten(F.collect_list(c)), lambda x: x.cast("double").cast(kind))
     return per.groupBy("case", "finding").agg(

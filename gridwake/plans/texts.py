@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import attribution, deidentify
-from .base import query, table
+from ..operators import attribution, deidentify, handoff
+from .base import query, signal_k, table
 
 _PROCEDURES = {0: ("Total Knee Arthroplasty", "Orthopedic"), 1: ("CABG x3, valve", "Cardiac"), 2: ("Brain biopsy", "Neurosurgery"), 3: ("Unnamed, of Smith", deidentify.OTHER), 4: ("Laparoscopic appendectomy", "General and abdominal")}
 _CASE_SQL = lambda place: "case e.user_id % 5 " + " ".join(f"when {k} then '{v[place]}'" for k, v in _PROCEDURES.items()) + " end"
@@ -55,3 +56,39 @@ def misattributed_details(spark, sf_dir):
     listed = both.select("user_id", F.explode(F.array("id", "next")).alias("case"))
     details = attribution.placed(both.select("user_id", text.alias("text")), "user_id", "text", r"(?:\b\d+\.\d{2}\b|\b[a-z]+_high\b)")
     return attribution.misattributed(details, "user_id", listed, record, F.col("detail").endswith("_high"))
+
+
+_DRUG_NAMES = ["Phenylephrine", "phenylephrine  nasal", "Dobutamine", "EPHEDRINE", "saline", "norepinephrine", "Milrinone"]
+_HANDOFFS = ["No hypotension. Desaturation below 90 was seen.", "Hypotension under 65. Phenylephrine given. Dobutamine at minute 9999.", "Hypotension at minute 99999; SpO2 missing", "Stable."]
+_DRUG_SQL = "case event_id % 7 " + " ".join(f"when {i} then '{' '.join(d.lower().split())}'" for i, d in enumerate(_DRUG_NAMES)) + " end"
+
+
+def _run_sql(name: str, value: str, below: float, longer: int) -> str:
+    marked = f"select *, {value} < {below} as low, lag(minute) over w as p, lag({value} < {below}) over w as pl from s where {value} is not null window w as (partition by user_id order by minute)"
+    return f"{name} as (select user_id, min(minute) as t from (select *, sum(case when p is null or minute - p > 1 or low <> pl then 1 else 0 end) over (partition by user_id order by minute) as run from ({marked})) where low group by user_id, run having count(*) >= 2 and max(minute) - min(minute) > {longer})"
+
+
+@query(f"""with s0 as (select user_id, event_id, event_type, row_number() over (partition by user_id order by event_id) as minute, value, 80 + cast(json_extract_string(props, '$.k') as double) / 5 as sat from events),
+s as (select *, case when value between 20 and 200 then value end as art, case when sat between 50 and 100 then sat end as spo2 from s0),
+{_run_sql("hypo", "art", 65, 5)}, {_run_sql("desat", "spo2", 90, 0)},
+dose as (select user_id, {_DRUG_SQL} as drug from s where event_type = 'purchase'), given as (select user_id, drug, case when drug in ('dobutamine', 'milrinone') then 'inotrope' else 'vasopressor' end as kind from dose where drug not in ('saline', 'phenylephrine nasal')),
+u as (select distinct user_id, user_id % 4 as h from events),
+g as (
+  select user_id, unnest(case h when 0 then ['unsupported', 'missed'] when 1 then ['mentioned'] when 2 then ['unsupported', 'missed'] else ['missed'] end) as status, 'hypotension' as kind from hypo join u using (user_id)
+  union all select user_id, unnest(case h when 0 then ['mentioned'] else ['missed'] end), 'desaturation' from desat join u using (user_id)
+  union all select user_id, unnest(case when h = 1 and drug = 'phenylephrine' then ['mentioned'] when h = 1 and drug = 'dobutamine' then ['unsupported', 'missed'] else ['missed'] end), kind from given join u using (user_id)
+  union all select user_id, 'unsupported', 'hypotension' from u where h in (1, 2) and user_id not in (select user_id from hypo)
+  union all select user_id, 'unsupported', 'desaturation' from u where h = 0 and user_id not in (select user_id from desat)
+  union all select user_id, 'unsupported', 'medication' from u, (values ('phenylephrine'), ('dobutamine')) d(drug) where h = 1 and not exists (select 1 from given where given.user_id = u.user_id and given.drug = d.drug)
+  union all select user_id, 'missed', 'missing_map' from u where not exists (select 1 from s where s.user_id = u.user_id and art is not null))
+select user_id, status, kind, count(*) as n from g group by 1, 2, 3""")
+def handoff_grades(spark, sf_dir):
+    """Handoffs of four kinds, graded against timelines of low readings and doses."""
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    events = table(spark, sf_dir, "events").withColumns({"minute": F.row_number().over(order).cast("long"), "k": signal_k()})
+    samples = events.select(F.col("user_id").alias("case"), "minute", F.col("value").alias("map_art"), F.lit(None).cast("double").alias("nmap"), (80 + F.col("k") / 5).alias("spo2"))
+    drug = F.get(F.array(*map(F.lit, _DRUG_NAMES)), (F.col("event_id") % 7).cast("int"))
+    doses = events.where("event_type = 'purchase'").select(F.col("user_id").alias("case"), drug.alias("drug"), "minute", (F.col("minute") + F.col("event_id") % 3).alias("end_minute"))
+    said = handoff.claims(events.select(F.col("user_id").alias("case")).distinct().select("case", F.get(F.array(*map(F.lit, _HANDOFFS)), (F.col("case") % 4).cast("int")).alias("text")))
+    graded = handoff.grades(handoff.timeline(samples, doses), said)
+    return graded.groupBy(F.col("case").alias("user_id"), "status", "kind").agg(F.count("*").alias("n"))

@@ -32,6 +32,8 @@ CASES = [
     (DESAT, [("epinephrine  ", 5, 3)], "No epinephrine; SpO2 below 90 at minute 20", {(HIT, "desaturation"), (BAD, "vasopressor"), (MISS, "vasopressor")}),
     (DESAT, [("Milrinone", 5, 9)], "milrinone at minute 30. Dobutamine too", {(MISS, "desaturation"), (BAD, "inotrope"), (MISS, "inotrope"), (BAD, "medication")}),
     ([(m, 82.0, None, None) for m in range(4)], [], "SpO2 missing", {(HIT, "missing_spo2")}),
+    ([(m, None, None, 97.0) for m in range(4)], [], "No hypotension", {(MISS, "missing_map")}),
+    ([(m, None, None, 97.0) for m in range(4)], [], "no blood pressure", {(HIT, "missing_map")}),
     ([(m, 82.0, None, None) for m in range(4)], [], "SpO2 was 97", {(BAD, "missing_spo2")}),
     (ART + [(m, 55.0, None, 98.0) for m in range(40, 50)], [], "hypotension in minutes 10 to 16 and at minute 45", {(HIT, "hypotension")}),
     (DESAT, [], None, {(MISS, "desaturation")}),
@@ -57,7 +59,7 @@ def test_grades(graded):
 
 def test_counts(graded):
     got = {r["case"]: (r["mentioned"], r["missed"], r["unsupported"]) for r in handoff.counts(graded).collect()}
-    assert got[0] == (2, 0, 0) and got[11] == (1, 1, 1) and got[24] == (2, 0, 0)
+    assert got[0] == (2, 0, 0) and got[11] == (1, 1, 1) and got[26] == (2, 0, 0)
 
 
 def test_no_rows(spark):
