@@ -37,8 +37,12 @@ def numbered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def rolling_median(df: DataFrame, value: str, keys: list[str], order: list[str], name: str, rows: int = 15, least: int = 5) -> DataFrame:
     """``df`` with the median of the last ``rows`` rows of the same keys; null with fewer than ``least`` values."""
-    frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(rows - 1), 0)
-    return df.withColumn(name, F.when(F.count(value).over(frame) >= least, F.percentile(value, F.lit(0.5)).over(frame)))
+    w = Window.partitionBy(*keys).orderBy(*order)
+    lags = {f"_{k}": F.lag(F.col(value).cast("double"), k).over(w) if k else F.col(value).cast("double") for k in range(rows)}
+    held = df.withColumns(lags).withColumn("_sorted", F.sort_array(F.array_compact(F.array(*lags)))).drop(*lags)
+    n = F.size("_sorted")
+    low, high = (F.get("_sorted", F.floor(x / 2).cast("int")) for x in (n - 1, n))
+    return held.withColumn(name, F.when(n >= least, low + (high - low) * 0.5)).drop("_sorted")
 
 
 def potency(agent: Column, age: Column) -> Column:
