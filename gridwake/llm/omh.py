@@ -216,26 +216,48 @@ def similarity(x: np.ndarray, y: np.ndarray, least: float = NEAR) -> float:
     head = int(differ[0]) if len(differ) else short
     differ = np.flatnonzero(x[len(x) - short + head :][::-1] != y[len(y) - short + head :][::-1])
     tail = int(differ[0]) if len(differ) else short - head
-    matched = head + tail + _aligned(x[head : len(x) - tail].tolist(), y[head : len(y) - tail].tolist(), int(total - 2 * needed) + 1)
+    matched = head + tail + _aligned(x[head : len(x) - tail], y[head : len(y) - tail], int(total - 2 * needed) + 1)
     return matched / (total - matched)
 
 
-def _aligned(x: list[int], y: list[int], band: int) -> int:
-    """Longest common subsequence over matches at most ``band`` off the diagonal; a row of the table is the bits of a number."""
-    if not x or not y:
+def _aligned(x: np.ndarray, y: np.ndarray, band: int) -> int:
+    """Longest common subsequence over matches at most ``band`` off the diagonal.
+
+    A row of the table is the bits of a number, of which only those within the band are held: what lies before is
+    counted when it leaves, what comes after is still untouched. So memory is that of the sequences and one band.
+    """
+    if not len(x) or not len(y):
         return 0
-    where: dict[int, int] = {}
-    for j, c in enumerate(y):
-        where[c] = where.get(c, 0) | 1 << j
-    full = (1 << len(y)) - 1
-    row, window = full, (1 << (2 * band + 1)) - 1
-    for i, c in enumerate(x):
-        match = where.get(c)
-        if match:
-            match &= window << (i - band) if i >= band else window >> (band - i)
-            taken = row & match
-            row = ((row + taken) | (row - taken)) & full
-    return len(y) - row.bit_count()
+    order = np.argsort(y, kind="stable")
+    left, right = (np.searchsorted(y, x, side, sorter=order) for side in ("left", "right"))
+    low = high = done = row = 0
+    for i in np.flatnonzero(right > left).tolist():
+        a, b = max(0, i - band), min(len(y), i + band + 1)
+        if a >= len(y):
+            break
+        if a >= high:
+            done += high - low - row.bit_count()
+            row = (1 << (b - a)) - 1
+        else:
+            done += a - low - (row & ((1 << (a - low)) - 1)).bit_count()
+            row = row >> (a - low) | ((1 << (b - high)) - 1) << (high - a)
+        low, high = a, b
+        places = order[left[i] : right[i]]
+        taken = row & _bits(places[(places >= low) & (places < high)] - low, high - low)
+        if taken:
+            row = (row + taken) | (row - taken)
+            if row.bit_length() > high - low:
+                row &= (1 << (high - low)) - 1
+    return done + high - low - row.bit_count()
+
+
+def _bits(places: np.ndarray, size: int) -> int:
+    """A number of ``size`` bits with those at ``places`` set."""
+    if len(places) <= 64:
+        return sum(1 << j for j in places.tolist())
+    bits = np.zeros(size, np.uint8)
+    bits[places] = 1
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
 
 
 def _compared(least: float):
