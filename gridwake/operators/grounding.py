@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .bands import band_join
 
 # Units, number words, hedges and phrases that results depend on.
@@ -97,14 +98,16 @@ def grounded(claims: DataFrame, sources: DataFrame, scope: list[str], parts_of:
     Rounding is half away from zero; an unsigned number may state a negative value. Equal claims and equal values
     of a scope are compared once, and where pairs of values are looked for, a scope's values are dealt into
     ``parts_of`` parts, so a scope with much of the rows is no task of its own. A scope that is null has no sources.
+    Claims and values are found in their texts once and kept.
     """
-    values = sources.select(*scope, "value", "unit").distinct()
+    claims = cut(claims)
+    values = cut(sources.select(*scope, "value", "unit").distinct())
     known = values.where(F.col("unit").isin(MEASURES)).select(*scope, F.col("unit").alias("pool")).distinct()
     pooled = values.select(*scope, "value", F.explode(F.array_distinct(F.array(F.lit(""), "unit"))).alias("pool")).distinct()
     about = ["value", "decimals", "negative", "hedged", "unit", "differs"]
     one = claims.select(*scope, *about).distinct().withColumn("pool", F.when(F.col("unit").isin(MEASURES), F.col("unit")).otherwise(F.lit("")))
     one = one.join(known.withColumn("known", F.lit(True)), [*scope, "pool"], "left").withColumn("pool", F.when(F.col("known"), F.col("pool")).otherwise(F.lit(""))).drop("known")
-    one = one.withColumnsRenamed({c: f"c_{c}" for c in about}).withColumn("half", _half(F.col("c_decimals")))
+    one = cut(one.withColumnsRenamed({c: f"c_{c}" for c in about}).withColumn("half", _half(F.col("c_decimals"))))
     x, half, least = F.col("c_value"), F.col("half"), F.lit("0.000001").cast(_KIND)
     reach = F.greatest(2 * half, (F.abs(x) * F.lit(str(TOLERANCE)).cast("decimal(3,2)")))
     direct = one.withColumns({"low": x - half, "high": x + half})
@@ -120,14 +123,14 @@ def grounded(claims: DataFrame, sources: DataFrame, scope: list[str], parts_of:
     spans = (F.col("c_unit") != "") & (F.col("c_differs") | F.col("c_unit").isin("min", "sec", "hour"))
     open_ = one.where((x >= 0) & F.when(share, x <= 100).otherwise(spans)).withColumn("pool", F.when(share, F.lit("")).otherwise(F.col("c_unit")))
     dealt = pooled.withColumnRenamed("value", "b").withColumn("part", F.pmod(F.xxhash64("b"), F.lit(parts_of)).cast("int"))
-    pairs = open_.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts_of - 1)))).join(dealt, [*keys, "part"]).drop("part")
+    pairs = open_.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts_of - 1)))).hint("merge").join(dealt, [*keys, "part"]).drop("part")
     b = F.col("b")
     gaps = pairs.where(~share).withColumns({"low": b - x - half, "high": b - x + half})
     shares = pairs.where(share & (b > 0)).withColumns({"low": (x - half).cast("double") * b.cast("double") / 100 - 1e-6, "high": (x + half).cast("double") * b.cast("double") / 100 + 1e-6})
-    found.append(band_join(gaps, pooled, keys, "low", "high", "value").where((F.col("value") < b) & (b - F.col("value") >= x - half) & (b - F.col("value") < x + half)))
+    found.append(band_join(gaps, pooled.where("pool <> ''"), keys, "low", "high", "value").where((F.col("value") < b) & (b - F.col("value") >= x - half) & (b - F.col("value") < x + half)))
     hundred = F.lit(100).cast("decimal(3,0)")
     of = F.col("value") * hundred
-    found.append(band_join(shares, pooled, keys, "low", "high", "value").where((F.col("value") >= 0) & (F.col("value") <= b) & (of >= (x - half) * b) & (of < (x + half) * b)))
+    found.append(band_join(shares, pooled.where("pool = ''"), keys, "low", "high", "value").where((F.col("value") >= 0) & (F.col("value") <= b) & (of >= (x - half) * b) & (of < (x + half) * b)))
     hit = reduce(DataFrame.unionByName, [f.select(*scope, *[f"c_{c}" for c in about]) for f in found]).distinct()
     hit = hit.withColumnsRenamed({f"c_{c}": c for c in about}).withColumn("hit", F.lit(True))
     return claims.join(hit, [*scope, *about], "left").withColumn("grounded", F.coalesce("hit", F.lit(False))).drop("hit")
