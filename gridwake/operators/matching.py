@@ -18,19 +18,18 @@ def near_misses(asked: DataFrame, rows: DataFrame, key: str = "key", name: str =
     """Pairs (``asked_key``, ``key``) whose names differ by one edit, or of which one begins the other; equal names are no miss.
 
     Keys are the deletions of both sides, the beginnings of the asked names, and of the others those beginnings
-    that have the length of an asked name. Null names match nothing; repeated rows give one pair.
+    that have the length of an asked name; they are hashes, and the names themselves decide. Names that many rows have
+    are compared once. Null names match nothing; repeated rows give one pair. Each name becomes some twenty rows,
+    which sizes of files don't tell, so no side is sent whole to the driver: joins are by sorting.
     """
     asked = asked.where(F.col(name).isNotNull()).select(F.col(key).alias("asked_key"), F.col(name).alias("asked_name"))
-    rows = rows.where(F.col(name).isNotNull()).select(key, name)
+    rows = rows.where(F.col(name).isNotNull()).select(key, F.col(name).alias("_name"))
     lengths = [r[0] for r in asked.select(F.length("asked_name")).distinct().collect()]
     begins = lambda c, upto: F.transform(F.filter(upto, lambda n: n < F.length(c)), lambda n: F.substring(c, F.lit(1), n))
-    sides = [
-        (deletions(F.col("asked_name")), deletions(F.col(name))),
-        (begins(F.col("asked_name"), F.sequence(F.lit(0), F.length("asked_name"))), F.array(name)),
-        (F.array("asked_name"), begins(F.col(name), F.array(*[F.lit(n) for n in lengths]).cast("array<int>"))),
-    ]
-    found = None
-    for left, right in sides:
-        pairs = asked.withColumn("_key", F.explode(left)).join(rows.withColumn("_key", F.explode(right)), "_key").where(near_miss(F.col("asked_name"), F.col(name))).select("asked_key", key)
-        found = pairs if found is None else found.unionByName(pairs)
-    return found.distinct()
+    hashed = lambda kind, words: F.transform(words, lambda w: F.xxhash64(F.lit(kind), w))
+    dealt = lambda *kinds: F.explode(F.array_distinct(F.flatten(F.array(*[hashed(i, words) for i, words in enumerate(kinds)]))))
+    said, known = F.col("asked_name"), F.col("_name")
+    left = asked.select("asked_name").distinct().withColumn("_key", dealt(deletions(said), begins(said, F.sequence(F.lit(0), F.length(said))), F.array(said)))
+    right = rows.select("_name").distinct().withColumn("_key", dealt(deletions(known), F.array(known), begins(known, F.array(*[F.lit(n) for n in lengths]).cast("array<int>"))))
+    names = left.hint("merge").join(right, "_key").where(near_miss(said, known)).select("asked_name", "_name").distinct()
+    return names.hint("merge").join(asked, "asked_name").hint("merge").join(rows, "_name").select("asked_key", key).distinct()

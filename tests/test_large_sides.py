@@ -1,8 +1,11 @@
 """Joins whose sides grow after the files that Spark judges their sizes by."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from gridwake.functions.text import near_miss
 from gridwake.operators.bands import band_join
+from gridwake.operators.matching import near_misses
 
 
 def plan(df) -> str:
@@ -17,3 +20,15 @@ def test_bands_are_not_sent_whole_to_the_driver(spark, tmp_path):
     assert "Broadcast" not in plan(joined)
     want = bands.join(values, "k").where("v between low and high").groupBy("k", "low", "v").count().orderBy("k", "low", "v").collect()
     assert joined.groupBy("k", "low", "v").count().orderBy("k", "low", "v").collect() == want
+
+
+@pytest.mark.parametrize("copies", [1, 3])
+def test_names_are_not_sent_whole_to_the_driver(spark, tmp_path, copies):
+    names = ["", "a", "ab", "abc", "abd", "abcd", "aab", "aabb", "ba", "Customer#0001", "Customer#0011", "Customer#00011", "Customer#001", "ß1", None]
+    spark.createDataFrame([(i, n) for i, n in enumerate(names * copies)], "key long, name string").write.parquet(f"{tmp_path}/n")
+    rows = spark.read.parquet(f"{tmp_path}/n")
+    found = near_misses(rows.where("key % 2 = 0"), rows)
+    assert "Broadcast" not in plan(found)
+    a, b = rows.where("key % 2 = 0").toDF("asked_key", "a"), rows.toDF("key", "b")
+    want = a.crossJoin(b).where(near_miss(F.col("a"), F.col("b"))).select("asked_key", "key")
+    assert sorted(found.collect()) == sorted(want.collect())
