@@ -101,7 +101,7 @@ def outbound(texts: DataFrame, key: str, text_col: str, aliases: DataFrame, case
         t, tail = F.split_part(part, F.lit(_SHUT), F.lit(1)), F.split_part(part, F.lit(_SHUT), F.lit(2))
         stamp = F.try_to_timestamp(F.regexp_replace(F.regexp_extract(t, _STAMP, 0), "T", " "))
         minutes = F.round((F.unix_micros(stamp) - F.unix_micros("_at")) / 6e7).cast("long")
-        signed = F.concat(F.when(minutes >= 0, F.lit("+")).otherwise(F.lit("")), minutes.cast("string"))
+        signed = F.concat(F.when(stamp >= F.col("_at"), F.lit("+")).otherwise(F.lit("")), minutes.cast("string"))
         age = F.regexp_extract(t, r"(\d{1,3})(?:\.\d+)?", 1).cast("int")
         return (
             F.when(t.rlike("^(- )?Procedure: "), F.concat(F.regexp_extract(t, "^(- )?", 0), F.lit("Procedure category: "), category(F.regexp_replace(t, "^(- )?Procedure: ", ""))))

@@ -96,3 +96,11 @@ def test_details_that_another_case_has(spark):
     got = attribution.misattributed(details, "id", listed, record, F.col("detail").endswith("_high")).collect()
     assert sorted((r["case"], r["detail"], r["holder"]) for r in got) == sorted([(ONE, "2.5", TWO.lower()), (ONE, "pip_high", TWO.lower()), (TWO.lower(), "hr_high", None)], key=str)
     assert attribution.misattributed(details.limit(0), "id", listed, record, F.lit(True)).collect() == []
+
+
+def test_less_than_half_a_minute_before_has_no_plus(spark):
+    texts = spark.createDataFrame([("k", "c", "- 2024-01-02 09:59:40: a\n- 2024-01-02 10:00:20: b\n- 2024-01-02 09:59:30: c")], "key string, case string, text string")
+    anchors = spark.createDataFrame([("c", dt.datetime(2024, 1, 2, 10))], "case string, at timestamp").select("case", F.lit("2024-01-02 10:00:00").cast("timestamp").alias("at"))
+    none = spark.createDataFrame([], "id string, alias string")
+    sent = deidentify.outbound(texts, "key", "text", none, "case", anchors).first()["sent"]
+    assert sent == "- minute 0 from incision: a\n- minute +0 from incision: b\n- minute -1 from incision: c"
