@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from gridwake.functions.text import near_miss
 from gridwake.operators.bands import band_join
 from gridwake.operators.matching import near_misses
+from gridwake.plans import REGISTRY
 
 
 def plan(df) -> str:
@@ -32,3 +33,10 @@ def test_names_are_not_sent_whole_to_the_driver(spark, tmp_path, copies):
     a, b = rows.where("key % 2 = 0").toDF("asked_key", "a"), rows.toDF("key", "b")
     want = a.crossJoin(b).where(near_miss(F.col("a"), F.col("b"))).select("asked_key", "key")
     assert sorted(found.collect()) == sorted(want.collect())
+
+
+def test_equal_rounded_cosines_are_in_the_order_of_ids(spark, tmp_path):
+    rows = [(i, [1.0, 0.0 if i == 0 else 0.001 * (50 - i)], 0) for i in range(40)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    told = [r["vec_id"] for r in REGISTRY["cosine_topk"].run(spark, str(tmp_path)).collect()]
+    assert told == [0, *sorted(range(1, 40), key=lambda i: (-round((1 + (0.001 * (50 - i)) ** 2) ** -0.5, 4), i))][:20]
