@@ -53,5 +53,11 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy("user_id", F.date_trunc("hour", "ts").alias("h")).agg(F.expr("percentile(value, 0.5)").alias("value"), F.expr("percentile(k, 0.5)").alias("k"), F.count("*").alias("n"))
 
 
+def heard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per user and hour, with its number ``hn``: a value of each signal, null where ``hourly`` has none."""
+    events = table(spark, sf_dir, "events").withColumns({"k": signal_k(), "h": F.date_trunc("hour", "ts")})
+    return events.groupBy("user_id", hour_number().alias("hn")).agg(F.max("value").alias("value"), F.max("k").alias("k"))
+
+
 def hour_number(c="h"):
     return F.expr(f"cast(unix_seconds(cast({c} as timestamp)) / 3600 as long)")

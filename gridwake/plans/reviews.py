@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import briefing, profile, runs, verdicts
-from .base import hour_number, hourly, query, table
-from .series import _GRID_SQL, _HOUR, _dense
+from ..session import cut
+from .base import heard, query, table
+from .series import _GRID_SQL, _HOUR
 
 #: Frames with faults: cases that repeat, scores below zero or not whole, rows without a key or time, unknown severities, reversed episodes, orphans.
 _FRAMES_SQL = """c as (select c_custkey as pid, case when c_custkey % 50 = 0 then -1.0 when c_custkey % 49 = 0 then 0.5 else 2.0 end as s from customer where c_custkey < 140 union all select c_custkey, 1.0 from customer where c_custkey % 40 = 0 and c_custkey < 140),
@@ -63,14 +64,13 @@ gaps as (select user_id, signal, min(hn) as gap_start, max(hn) as gap_end, count
 
 
 def _gaps(spark, sf_dir):
-    grid = _dense(spark, sf_dir).select("user_id", hour_number().alias("hn"), "value", "k").unpivot(["user_id", "hn"], ["value", "k"], "signal", "v")
-    return runs.gap_spans(runs.gap_runs(grid, ["user_id", "signal"], "hn", "v"))
+    return runs.gap_spans(runs.gaps_of_rows(heard(spark, sf_dir), "user_id", "hn", ["value", "k"]))
 
 
 @query(f"""with {_GAPS_SQL} select signal, count(*) as n, sum(gap_end - gap_start + 1.0) as spanned, quantile_cont(gap_end - gap_start + 1.0, 0.5) as p50, round(quantile_cont(gap_end - gap_start + 1.0, 0.9), 4) as p90, max(gap_end + 0.5) as last_end, min(gap_start - 0.5) as first_start, count(distinct user_id) as cases from gaps group by 1""")
 def gap_span_profile(spark, sf_dir):
     """Spans of the gaps of each signal, half a step beyond their ends: how much they span, and percentiles of that."""
-    spans = _gaps(spark, sf_dir)
+    spans = cut(_gaps(spark, sf_dir).select("user_id", "signal", "span", "span_start", "span_end"))
     shares = profile.percentiles(spans, ["signal"], "span", (50, 90))
     sums = spans.groupBy("signal").agg(F.sum("span").alias("spanned"), F.max("span_end").alias("last_end"), F.min("span_start").alias("first_start"), F.count_distinct("user_id").alias("cases"))
     return sums.join(shares, "signal").select("signal", "n", "spanned", "p50", F.round("p90", 4).alias("p90"), "last_end", "first_start", "cases")
@@ -82,6 +82,6 @@ select user_id, 'Signals: ' || concat_ws(', ', case when k then 'k' end, case wh
 from g0 left join q using (user_id) left join i using (user_id)""")
 def case_facts_with_gaps(spark, sf_dir):
     """A line for each case: its signals, what was raised, and signals that stop and begin again."""
-    signals = hourly(spark, sf_dir).groupBy("user_id").agg(*[(F.count(c) > 0).alias(c) for c in ("k", "value")])
+    signals = heard(spark, sf_dir).groupBy("user_id").agg(*[(F.count(c) > 0).alias(c) for c in ("k", "value")])
     raised = table(spark, sf_dir, "events").where("value >= 150").select("user_id", F.concat("event_type", F.lit("_high")).alias("rule_id"))
     return briefing.facts(signals, ["k", "value"], raised, "user_id", _gaps(spark, sf_dir))

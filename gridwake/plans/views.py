@@ -7,7 +7,8 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from ..operators import briefing, checks, profile, retrieval, runs
-from .base import HOURLY_SQL, hour_number, hourly, query, table
+from ..session import cut
+from .base import HOURLY_SQL, heard, hour_number, hourly, query, table
 from .series import _EPISODE_SQL, _GRID_SQL, _HOUR, _SCORE_SQL, _dense, _episodes, _scores, _w
 
 
@@ -86,7 +87,7 @@ def worst_episodes(spark, sf_dir):
 r as (select *, sum(case when miss then 0 else 1 end) over (partition by user_id order by hn) as g from m where h between lo and hi), gaps as (select user_id, count(*) as n from r where miss group by user_id, g)
 select count(*) as n_gaps, quantile_cont(n, 0.5) as p50, round(quantile_cont(n, 0.9), 4) as p90, max(n) as longest, count(distinct case when n >= 10 then user_id end) as n_long_cases from gaps""")
 def gap_profile(spark, sf_dir):
-    gaps = runs.gap_runs(_dense(spark, sf_dir).withColumn("hn", hour_number()), ["user_id"], "hn", "value")
+    gaps = cut(runs.gaps_of_rows(heard(spark, sf_dir), "user_id", "hn", ["value"]).select("user_id", "gap_length"))
     shares = profile.percentiles(gaps, [], "gap_length", (50, 90))
     whole = gaps.agg(F.max("gap_length").alias("longest"), F.count_distinct(F.when(F.col("gap_length") >= 10, F.col("user_id"))).alias("n_long_cases"))
     return shares.join(F.broadcast(whole)).select(F.col("n").alias("n_gaps"), "p50", F.round("p90", 4).alias("p90"), "longest", "n_long_cases")

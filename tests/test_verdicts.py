@@ -1,11 +1,12 @@
 """Verdicts on frames with one fault at a time, and what a run does with them."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from gridwake.operators import runs, verdicts
+from gridwake.operators import grid, runs, verdicts
 
 AT = dt.datetime(2024, 1, 1, 8)
 
@@ -70,3 +71,24 @@ def test_gap_spans(spark):
     grid = spark.createDataFrame([("a", i, v) for i, v in enumerate([None, 1.0, None, None, 2.0, None, 3.0, None])], "k string, at long, v double")
     got = runs.gap_spans(runs.gap_runs(grid, ["k"], "at", "v")).orderBy("gap_start").collect()
     assert [(r["span_start"], r["span_end"], r["span"], r["gap_length"]) for r in got] == [(1.5, 3.5, 2.0, 2), (4.5, 5.5, 1.0, 1)]
+
+
+def test_gaps_of_rows_are_those_of_the_grid(spark):
+    chance = random.Random(5)
+    rows = [(k, at, chance.choice([1.0, None]), chance.choice([1.0, None, None])) for k in range(12) for at in sorted(chance.sample(range(30 if k < 8 else 90), 14))]
+    rows += [(None, 3, 1.0, 1.0), (None, 9, 1.0, 1.0), (20, 5, 1.0, None), (21, 7, None, None)]
+    frame = spark.createDataFrame(rows, "k long, at long, v double, w double")
+    timed = frame.withColumn("t", F.timestamp_seconds(F.col("at") * 3600))
+    dense = grid.dense(timed.drop("at"), "k", "t", "1 hour", most=40).withColumn("at", F.expr("unix_seconds(t) div 3600"))
+    want = sorted((r["k"], n, r["gap_start"], r["gap_end"], r["gap_length"]) for n in ("v", "w") for r in runs.gap_runs(dense, ["k"], "at", n).collect())
+    found = runs.gaps_of_rows(frame, "k", "at", ["v", "w"], most=40)
+    assert sorted(tuple(r) for r in found.select("k", "signal", "gap_start", "gap_end", "gap_length").collect()) == want and len(want) > 50
+
+
+def test_gap_queries_make_no_grid(spark):
+    from gridwake.plans import REGISTRY
+
+    from .oracle import DATA
+
+    for name in ("gap_runs", "case_facts_with_gaps"):
+        assert "sequence(" not in REGISTRY[name].run(spark, DATA)._jdf.queryExecution().executedPlan().toString()
