@@ -63,13 +63,13 @@ def first_of(df: DataFrame, keys: list[str], order: list, most: int) -> DataFram
 
 def facts(signals: DataFrame, names: list[str], flags: DataFrame, key: str, gaps: DataFrame | None = None) -> DataFrame:
     """One line of text a case: the signals that it has, the rules that it raised, and with ``gaps`` (key, ``signal``) those that it lacks between readings, each in order."""
-    raised = flags.groupBy(key).agg(F.array_join(F.sort_array(F.collect_set("rule_id")), ", ").alias("_raised"))
+    raised = flags.select(key, "rule_id").distinct().groupBy(key).agg(F.array_join(F.sort_array(F.collect_list("rule_id")), ", ").alias("_raised"))
     there = F.concat_ws(", ", *[F.when(F.col(n), F.lit(n)) for n in sorted(names)])
     said = F.when(F.col("_raised").isNull(), F.lit("No rule raised.")).otherwise(F.concat(F.lit("Rules raised: "), F.col("_raised"), F.lit(".")))
     rows = signals.join(raised, key, "left")
     if gaps is None:
         return rows.select(key, F.concat(F.lit("Signals: "), there, F.lit(". "), said).alias("facts"))
-    missing = gaps.groupBy(key).agg(F.array_join(F.sort_array(F.collect_set("signal")), ", ").alias("_gaps"))
+    missing = gaps.select(key, "signal").distinct().groupBy(key).agg(F.array_join(F.sort_array(F.collect_list("signal")), ", ").alias("_gaps"))
     inside = F.when(F.col("_gaps").isNotNull(), F.concat(F.lit(" Interior gaps: "), F.col("_gaps"), F.lit("."))).otherwise(F.lit(""))
     return rows.join(missing, key, "left").select(key, F.concat(F.lit("Signals: "), there, F.lit(". "), said, inside).alias("facts"))
 

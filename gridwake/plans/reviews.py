@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import briefing, profile, runs, verdicts
 from ..session import cut
-from .base import heard, query, table
+from .base import heard, query, signal_k, table
 from .series import _GRID_SQL, _HOUR
 
 #: Frames with faults: cases that repeat, scores below zero or not whole, rows without a key or time, unknown severities, reversed episodes, orphans.
@@ -82,6 +82,6 @@ select user_id, 'Signals: ' || concat_ws(', ', case when k then 'k' end, case wh
 from g0 left join q using (user_id) left join i using (user_id)""")
 def case_facts_with_gaps(spark, sf_dir):
     """A line for each case: its signals, what was raised, and signals that stop and begin again."""
-    signals = heard(spark, sf_dir).groupBy("user_id").agg(*[(F.count(c) > 0).alias(c) for c in ("k", "value")])
+    signals = table(spark, sf_dir, "events").withColumn("k", signal_k()).groupBy("user_id").agg(*[(F.count(c) > 0).alias(c) for c in ("k", "value")])
     raised = table(spark, sf_dir, "events").where("value >= 150").select("user_id", F.concat("event_type", F.lit("_high")).alias("rule_id"))
     return briefing.facts(signals, ["k", "value"], raised, "user_id", _gaps(spark, sf_dir))
