@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.stem import stemmed
 from ..operators.retrieval import B, K1
 
-#: Folders of postings.
-PARTS = 64
+#: Folders of postings, and bytes of texts that one task of an import counts.
+PARTS, SLICE = 64, 8 << 20
 
 _MARKED = [c for c in map(chr, range(0xC0, 0x250)) if c.islower() and len(unicodedata.normalize("NFD", c)) > 1]
 _FROM, _TO = "".join(_MARKED), "".join(unicodedata.normalize("NFD", c)[0] for c in _MARKED)
@@ -64,10 +64,13 @@ class TextIndex:
         """Index rows whose id isn't there yet; how many. Of rows with equal ids the least in the order of their texts is taken; a null id is left out.
 
         The text of a row is that of its columns in a row; a row without tokens is in the index, and is never found.
+        Texts and counts are dealt by ids into slices as many as the texts' bytes ask for, so a task holds no more of a larger import.
         """
         run = f"r{uuid.uuid4().hex}"
         text = F.concat_ws("\n", *[F.col(c) for c in text_cols])
         rows = texts.select(F.col(id_col).cast("string").alias("id"), text.alias("text")).where("id is not null")
+        slices = int((rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // SLICE) + 1
+        rows = rows.repartition(slices, "id")
         fresh = rows.join(self.documents().select("id"), "id", "left_anti")
         one = fresh.groupBy("id").agg(F.min("text").alias("text"))
         counted = one.select("id", tokens(F.col("text")).alias("tokens"))
@@ -77,8 +80,8 @@ class TextIndex:
         found = self.spark.read.schema(found.schema).parquet(kept)
         found.groupBy("id").agg(F.max("length").alias("length")).write.parquet(f"{self.folder}/documents/run={run}")
         stems = stemmed(found.select("term").where("term is not null").distinct(), "term")
-        by_stem = found.join(stems, "term").groupBy(F.col("stem").alias("term"), "id", "length").agg(F.sum("tf").alias("tf"))
-        dealt = by_stem.withColumn("part", _part(F.col("term"))).repartitionByRange("part", "term", "id").sortWithinPartitions("part", "term", "id")
+        by_stem = found.join(stems, "term").repartition(slices, "id").groupBy(F.col("stem").alias("term"), "id", "length").agg(F.sum("tf").alias("tf"))
+        dealt = by_stem.withColumn("part", _part(F.col("term"))).repartitionByRange(max(slices, PARTS), "part", "term", "id").sortWithinPartitions("part", "term", "id")
         dealt.write.partitionBy("part").parquet(f"{self.folder}/postings/run={run}")
         sums = self.spark.read.schema("id string, length long").parquet(f"{self.folder}/documents/run={run}").agg(F.count("*").alias("docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"))
         sums.select(F.lit(run).alias("run"), "docs", "tokens").coalesce(1).write.mode("append").parquet(f"{self.folder}/log")

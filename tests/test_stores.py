@@ -130,3 +130,15 @@ def test_an_embedder_gets_batches_and_may_fail(spark, tmp_path):
     assert cache.vectors("m").count() == 100
     with pytest.raises(ValueError):
         cache.update(frame, "text", sizes, "a/b")
+
+
+def test_a_larger_import_is_dealt_into_more_slices(spark, tmp_path, monkeypatch):
+    from gridwake.sources import textindex
+
+    monkeypatch.setattr(textindex, "SLICE", 100)
+    monkeypatch.setattr(textindex, "PARTS", 2)
+    texts = spark.createDataFrame([(i, f"word{i % 3} common " * 4) for i in range(40)], "id long, text string")
+    index = textindex.TextIndex(spark, str(tmp_path / "sliced"))
+    assert index.add(texts, "id", "text") == 40
+    files = spark.read.parquet(f"{tmp_path}/sliced/postings").inputFiles()
+    assert len(files) > 5 and index.search("common").count() == 40
