@@ -40,6 +40,20 @@ def dense(df: DataFrame, key: str, time: str, step: str = "1 minute", most: int
     return grid.unionByName(sparse).join(df.drop(*constants), [key, time], "left")
 
 
+def placed(df: DataFrame, key: str, time: str, name: str, step: str = "1 minute", most: int = MOST_STEPS) -> DataFrame:
+    """``df`` with ``name``: the number of each row's step on the grid that ``dense`` makes of it, without that grid.
+
+    ``time`` must be on the grid and unique per key. Keys that span more than ``most`` steps have their own rows alone
+    for a grid, so these are numbered one by one. A null key is on no grid.
+    """
+    seconds = F.expr(f"unix_seconds(timestamp'1970-01-02 00:00:00' + interval {step}) - unix_seconds(timestamp'1970-01-02 00:00:00')")
+    second, order = F.unix_seconds(F.col(time).cast("timestamp")), Window.partitionBy(key).orderBy(time)
+    whole = Window.partitionBy(key)
+    df = df.where(F.col(key).isNotNull()).withColumns({"_lo": F.min(second).over(whole), "_hi": F.max(second).over(whole), "_row": F.row_number().over(order).cast("long")})
+    place = F.when((F.col("_hi") - F.col("_lo")) / seconds <= most, ((second - F.col("_lo")) / seconds).cast("long")).otherwise(F.col("_row"))
+    return df.withColumn(name, place).drop("_lo", "_hi", "_row")
+
+
 def offsets(df: DataFrame, key: str, time: str, anchor: str | None = None, end: str | None = None) -> DataFrame:
     """``df`` with ``t_min`` (minutes from the anchor, or from the first row where it is null), ``case_duration_min`` and ``case_frac``.
 

@@ -20,11 +20,11 @@ def active(phase: Column | None, skip: tuple) -> Column:
     return ~F.coalesce(phase.isin(*skip), F.lit(False)) if phase is not None and skip else F.lit(True)
 
 
-def rule_columns(series: DataFrame, catalog: dict | None = None, keys: list[str] | None = None, order: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+def rule_columns(series: DataFrame, catalog: dict | None = None, keys: list[str] | None = None, order: list[str] | None = None, place: str | None = None) -> tuple[DataFrame, list[str]]:
     """``series`` with ``rule_<id>``, the severity at which a rule fires in the row or null, and the ids.
 
     A rule whose signal ``series`` lacks is left out, and so is a composite without its parts. Phases are taken
-    out before rows in a row are counted.
+    out before rows in a row are counted, by ``place`` as in ``runs.all_long_runs``.
     """
     keys, order = keys or ["PID"], order or ["Obs_time"]
     catalog = catalog if catalog is not None else rules()
@@ -39,7 +39,7 @@ def rule_columns(series: DataFrame, catalog: dict | None = None, keys: list[str]
         severities[name] = two_step(value, *rule[step], step == "above") if step else F.lit(rule["severity"])
         on = where & active(phase, rule.get("skip", ())) & severities[name].isNotNull() & value.isNotNull()
         fires[f"_on_{name}"] = on, rule.get("run", 1)
-    df = all_long_runs(series, keys, order, fires)
+    df = all_long_runs(series, keys, order, fires, place)
     df = df.withColumns({f"rule_{n}": F.when(F.col(f"_on_{n}"), s) for n, s in severities.items()}).drop(*fires)
     over = {}
     for name, rule in COMPOSITES.items():

@@ -27,11 +27,12 @@ def long_runs(df: DataFrame, keys: list[str], order: list[str], flag: Column, le
     return all_long_runs(df, keys, order, {name: (flag, least)})
 
 
-def all_long_runs(df: DataFrame, keys: list[str], order: list[str], flags: dict[str, tuple[Column, int]]) -> DataFrame:
+def all_long_runs(df: DataFrame, keys: list[str], order: list[str], flags: dict[str, tuple[Column, int]], place: str | None = None) -> DataFrame:
     """``df`` with a column for each of ``flags``: it holds, and does so for at least so many rows in a row; null counts as false.
 
     A run ends at the last row before and the first row after where the flag doesn't hold. One exchange and two
-    sorts, however many flags: all look back over one window and forward over its reverse.
+    sorts, however many flags: all look back over one window and forward over its reverse. With ``place``, a column
+    of whole numbers in ``order``, rows that leave a number out are not in a row: no flag holds in what is left out.
     """
     df = df.withColumns({name: F.coalesce(flag, F.lit(False)) for name, (flag, _) in flags.items()})
     long = [name for name, (_, least) in flags.items() if least > 1]
@@ -40,11 +41,13 @@ def all_long_runs(df: DataFrame, keys: list[str], order: list[str], flags: dict[
     forth = Window.partitionBy(*keys).orderBy(*order)
     back = Window.partitionBy(*keys).orderBy(F.desc("_place"))
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_place", F.row_number().over(forth))
-    df = df.withColumns({f"_low_{n}": F.coalesce(F.max(F.when(~F.col(n), F.col("_place"))).over(upto(forth)), F.lit(0)) for n in long})
-    df = df.withColumns({"_last": F.max("_place").over(upto(back))} | {f"_high_{n}": F.min(F.when(~F.col(n), F.col("_place"))).over(upto(back)) for n in long})
-    rows = lambda n: F.coalesce(f"_high_{n}", F.col("_last") + 1) - F.col(f"_low_{n}") - 1
-    return df.withColumns({n: F.col(n) & (rows(n) >= flags[n][1]) for n in long}).drop("_place", "_last", *[f"_{side}_{n}" for side in ("low", "high") for n in long])
+    df = df.withColumn("_place", F.col(place).cast("long") if place else F.row_number().over(forth).cast("long"))
+    df = df.withColumns({"_before": F.col("_place") - F.lag("_place").over(forth), "_after": F.lead("_place").over(forth) - F.col("_place")})
+    alone = lambda n, side, step: F.when(~F.col(n), F.col("_place")).when(F.coalesce(F.col(side) > 1, F.lit(True)), F.col("_place") + step)
+    df = df.withColumns({f"_low_{n}": F.max(alone(n, "_before", -1)).over(upto(forth)) for n in long})
+    df = df.withColumns({f"_high_{n}": F.min(alone(n, "_after", 1)).over(upto(back)) for n in long})
+    rows = lambda n: F.col(f"_high_{n}") - F.col(f"_low_{n}") - 1
+    return df.withColumns({n: F.col(n) & (rows(n) >= flags[n][1]) for n in long}).drop("_place", "_before", "_after", *[f"_{side}_{n}" for side in ("low", "high") for n in long])
 
 
 def severity_rank(column: str | Column) -> Column:

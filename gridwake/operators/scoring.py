@@ -32,11 +32,12 @@ def per_hour(score: Column, minutes: Column) -> Column:
     return F.when(minutes > 0, F.bround(score / (minutes / 60), 2))
 
 
-def scores_of_steps(steps: DataFrame, ids: list[str], keys: list[str], place: str, gap: float = 1.5, composites: list[str] | None = None) -> DataFrame:
+def scores_of_steps(steps: DataFrame, ids: list[str], keys: list[str], place: str, gap: float = 1.5, composites: list[str] | None = None, also: list[Column] | None = None) -> DataFrame:
     """The scores of ``scores`` for a catalogue of a few rules, from one row a step with a column ``rule_<id>`` for each rule, and ``n_steps``, the steps of an entity.
 
     One window and one aggregation over the same keys, so one exchange; no flag becomes a row of its own. Entities
-    without a flag have no row. A composite's episode begins where its last hit is more than ``gap`` before.
+    without a flag have no row, unless there are aggregates of all steps to add (``also``). A composite's episode begins
+    where its last hit is more than ``gap`` before.
     """
     composites = [c for c in (COMPOSITES if composites is None else composites) if c in ids]
     before = Window.partitionBy(*keys).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
@@ -56,7 +57,8 @@ def scores_of_steps(steps: DataFrame, ids: list[str], keys: list[str], place: st
         *[c.alias(f"n_{s}") for s, c in counted.items()],
         *[F.count(f"rule_{i}").alias(f"_n_{i}") for i in ids],
         sum((F.count_if(c) for c in begins), F.lit(0)).cast("long").alias("composite_episodes"),
-    ).where("flagged_steps > 0")
+        *(also or []),
+    ).where(F.lit(True) if also else F.col("flagged_steps") > 0)
     hits = F.filter(F.array(*[F.struct((-F.col(f"_n_{i}")).alias("n"), F.lit(i).alias("rule_id")) for i in ids]), lambda x: x["n"] < 0)
     shown = F.transform(F.slice(F.sort_array(hits), 1, 5), lambda x: F.concat(x["rule_id"], F.lit("("), (-x["n"]).cast("string"), F.lit(")")))
     score = weighted(F.col("worst_warn"), F.col("worst_critical"), F.col("composite_episodes"))

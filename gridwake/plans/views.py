@@ -251,7 +251,7 @@ def raw_tables(spark, sf_dir):
 @query(None)
 def case_pipeline(spark, sf_dir):
     """Raw tables to scored cases: cleaning, minute grid, phases, features, 22 rules and 3 composites, episodes, scores."""
-    from ..cases import process
+    from ..cases import scored
 
-    found = process(*raw_tables(spark, sf_dir)).cases
+    found = scored(*raw_tables(spark, sf_dir))
     return found.select("PID", "n_minutes", "primary_agent", "phase_source", "anomaly_score", "rule_types", "n_info", "n_warn", "n_critical", "composite_episodes", "top_rules", "score_per_hour")
