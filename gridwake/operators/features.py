@@ -80,14 +80,16 @@ def add_features(series: DataFrame, place: str | None = None) -> DataFrame:
     })
     nitrous = F.col("ETN2O") / (N2O_MAC_AGE40 * F.pow(F.lit(10.0), MAC_AGE_COEF * (age - 40)))
     df = df.withColumn("MAC_total_Et", F.when(F.col("MAC_Et").isNotNull() | nitrous.isNotNull(), F.coalesce("MAC_Et", F.lit(0.0)) + F.coalesce(nitrous, F.lit(0.0))))
-    df = numbered(df, ["PID"], ["Obs_time"])
+    if "phase" in df.columns:
+        df = df.withColumn("_phase_before", F.lag("phase").over(Window.partitionBy("PID").orderBy("Obs_time")))
+    if not place:
+        df = numbered(df, ["PID"], ["Obs_time"])
     df = rolling_slopes(df, {"PIP_slope": "PIP", "TV_slope": "TV"}, ["PID"], ["Obs_time"], place=place)
     at = F.col(place) if place else F.col("_row").cast("long")
     if "phase" in df.columns:
-        before = F.lag("phase").over(Window.partitionBy("PID").orderBy("Obs_time"))
-        df = islands(df, ["PID"], ["Obs_time"], (F.col("_row") > 1) & ~F.col("phase").eqNullSafe(before), "_phase_run")
+        df = islands(df, ["PID"], ["Obs_time"], ~F.col("phase").eqNullSafe(F.col("_phase_before")), "_phase_run")
         at += F.col("_phase_run") * 2**32  # rows of another phase are too far away
-    df = rolling_median(df.withColumn("_at", at), "Agent_Et", ["PID"], ["Obs_time"], "Agent_Et_rollmed", place=F.col("_at")).drop("_phase_run", "_at")
+    df = rolling_median(df.withColumn("_at", at), "Agent_Et", ["PID"], ["Obs_time"], "Agent_Et_rollmed", place=F.col("_at")).drop("_phase_run", "_phase_before", "_at")
     df = df.withColumn("Agent_Et_drift", F.abs(F.col("Agent_Et") - F.col("Agent_Et_rollmed"))).drop("_row")
     names = F.create_map(*[F.lit(x) for pair in AGENT_NAMES.items() for x in pair])
     return df.withColumn("primary_agent_name", names[F.col("primary_agent")])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,6 +18,24 @@ def collapse(df: DataFrame, keys: list[str], time: str, numbers: list[str], cate
     return binned.groupBy(*keys, name).agg(*medians, *modes)
 
 
+def collapse_few(df: DataFrame, keys: list[str], time: str, numbers: list[str], categories: list[str], unit: str = "minute", name: str = "time_bin") -> DataFrame:
+    """``collapse`` where a step has few rows, as after ``clean.last_by``: they are listed once and not counted up for each column."""
+    listed = df.groupBy(*keys, F.date_trunc(unit, F.col(time)).alias(name)).agg(F.collect_list(F.struct(*numbers, *categories)).alias("_rows"))
+    first, second, most = F.get("_rows", F.lit(0)), F.get("_rows", F.lit(1)), F.size("_rows") <= 2
+    values = lambda c: F.array_compact(F.transform("_rows", lambda r: r[c]))
+
+    def median(c: str) -> Column:
+        n, in_order = F.size(values(c)), F.sort_array(values(c))
+        half = lambda a, b: 0.5 * a + 0.5 * b
+        return F.when(most, F.coalesce(half(first[c], second[c]), first[c], second[c])).otherwise(half(*[F.get(in_order, F.floor(x / 2).cast("int")) for x in (n - 1, n)])).alias(c)
+
+    def mode(c: str) -> Column:
+        told = F.transform(F.array_distinct(values(c)), lambda v: F.struct((-F.size(F.filter(values(c), lambda x: x == v))).alias("n"), v.alias("v")))
+        return F.when(most, F.least(first[c], second[c])).otherwise(F.array_min(told)["v"]).alias(c)
+
+    return listed.select(*keys, name, *[median(c) for c in numbers], *[mode(c) for c in categories])
+
+
 def merge_streams(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """All steps that either stream has; columns of the other are null."""
     return left.join(right, keys, "full_outer")

@@ -28,10 +28,11 @@ def boundaries(series: DataFrame, events: DataFrame, cases: DataFrame, phases: d
     marks = events.withColumn("role", role(F.col("Event_name"), phases)).where("role is not null").withColumn("at", F.date_trunc("minute", "Event_time"))
     pad = minute(phases["event_pad_min"])
     marks = marks.join(span.select("PID", "first", "last"), "PID").where(F.col("at").between(F.col("first") - pad, F.col("last") + pad))
-    start = marks.where("role = 'intubation'").groupBy("PID").agg(F.min("at").alias("intub"))
-    end = marks.where("role = 'extubation'").join(start, "PID", "left").where("intub is null or at > intub").groupBy("PID").agg(F.max("at").alias("extub"))
+    first, last = F.min(F.when(F.col("role") == "intubation", F.col("at"))), F.max(F.when(F.col("role") == "extubation", F.col("at")))
+    airway = marks.groupBy("PID").agg(first.alias("intub"), last.alias("extub"))
+    airway = airway.withColumn("extub", F.when(F.col("intub").isNull() | (F.col("extub") > F.col("intub")), F.col("extub")))
     one = cases.groupBy("PID").agg(F.min("case_start").alias("case_start"), F.max("case_end").alias("case_end"))
-    df = span.join(start, "PID", "left").join(end, "PID", "left").join(one, "PID", "left")
+    df = span.join(airway, "PID", "left").join(one, "PID", "left")
     df = df.withColumns({
         "pre_end": F.coalesce("intub", F.least("vent_start", "case_start")),
         "ind_end": F.when(F.col("intub").isNotNull(), F.col("intub") + minute(phases["induction_after_min"])).otherwise(F.coalesce("case_start", F.least("vent_start", "case_start"))),

@@ -39,11 +39,13 @@ def all_long_runs(df: DataFrame, keys: list[str], order: list[str], flags: dict[
     if not long:
         return df
     forth = Window.partitionBy(*keys).orderBy(*order)
-    back = Window.partitionBy(*keys).orderBy(F.desc("_place"))
+    at = place or "_place"
+    back = Window.partitionBy(*keys).orderBy(F.desc(at))
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_place", F.col(place).cast("long") if place else F.row_number().over(forth).cast("long"))
-    df = df.withColumns({"_before": F.col("_place") - F.lag("_place").over(forth), "_after": F.lead("_place").over(forth) - F.col("_place")})
-    alone = lambda n, side, step: F.when(~F.col(n), F.col("_place")).when(F.coalesce(F.col(side) > 1, F.lit(True)), F.col("_place") + step)
+    if not place:
+        df = df.withColumn(at, F.row_number().over(forth).cast("long"))
+    df = df.withColumns({"_before": F.col(at) - F.lag(at).over(forth), "_after": F.lead(at).over(forth) - F.col(at)})
+    alone = lambda n, side, step: F.when(~F.col(n), F.col(at)).when(F.coalesce(F.col(side) > 1, F.lit(True)), F.col(at) + step)
     df = df.withColumns({f"_low_{n}": F.max(alone(n, "_before", -1)).over(upto(forth)) for n in long})
     df = df.withColumns({f"_high_{n}": F.min(alone(n, "_after", 1)).over(upto(back)) for n in long})
     rows = lambda n: F.col(f"_high_{n}") - F.col(f"_low_{n}") - 1

@@ -32,20 +32,20 @@ def per_hour(score: Column, minutes: Column) -> Column:
     return F.when(minutes > 0, F.bround(score / (minutes / 60), 2))
 
 
-def scores_of_steps(steps: DataFrame, ids: list[str], keys: list[str], place: str, gap: float = 1.5, composites: list[str] | None = None, also: list[Column] | None = None) -> DataFrame:
+def scores_of_steps(steps: DataFrame, ids: list[str], keys: list[str], place: str, gap: float = 1.5, composites: list[str] | None = None, also: list[Column] | None = None, order: Column | None = None) -> DataFrame:
     """The scores of ``scores`` for a catalogue of a few rules, from one row a step with a column ``rule_<id>`` for each rule, and ``n_steps``, the steps of an entity.
 
     One window and one aggregation over the same keys, so one exchange; no flag becomes a row of its own. Entities
     without a flag have no row, unless there are aggregates of all steps to add (``also``). A composite's episode begins
-    where its last hit is more than ``gap`` before.
+    where its last hit is more than ``gap`` before. ``order`` is that of ``place`` or its reverse, if rows are sorted so.
     """
     composites = [c for c in (COMPOSITES if composites is None else composites) if c in ids]
-    before = Window.partitionBy(*keys).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(place if order is None else order).rowsBetween(Window.unboundedPreceding, -1)
     begins = {}
     for c in composites:
         on = F.col(f"rule_{c}").isNotNull()
         last = F.last(F.when(on, F.col(place)), ignorenulls=True).over(before)
-        begins[f"_begin_{c}"] = on & (last.isNull() | (F.col(place) - last > gap))
+        begins[f"_begin_{c}"] = on & (last.isNull() | (F.abs(F.col(place) - last) > gap))
     worst = F.greatest(F.lit(0), *[severity_rank(f"rule_{i}") for i in ids])
     rows = steps.withColumns({**begins, "_worst": worst})
     counted = {s: sum((F.count_if(F.col(f"rule_{i}") == s) for i in ids[1:]), F.count_if(F.col(f"rule_{ids[0]}") == s)) for s in ("info", "warn", "critical")}

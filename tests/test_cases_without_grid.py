@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridwake import cases
-from gridwake.operators import features, runs
+from gridwake.operators import features, grid, runs
 from gridwake.session import cut
 
 START = dt.datetime(2024, 1, 1, 8)
@@ -75,3 +75,11 @@ def test_left_out_steps_count(spark, seed):
         return sorted(rows.where("flag is not null").collect())
 
     assert judged(frame.where("flag is not null"), "at") == judged(frame, None)
+
+
+def test_few_rows_a_step_are_collapsed_as_many(spark):
+    rng = random.Random(5)
+    rows = [(k, START + dt.timedelta(seconds=rng.randrange(1200)), rng.choice([None, 0.0, 1.5, -2.25, 7.1]), rng.choice([None, 3.3]), rng.choice(["a", "b", "c", None])) for k in ("x", "y", None) for _ in range(90)]
+    frame = spark.createDataFrame(rows, "k string, at timestamp, v double, w double, c string")
+    few, many = (sorted(f(frame, ["k"], "at", ["v", "w"], ["c"]).collect(), key=str) for f in (grid.collapse_few, grid.collapse))
+    assert few == many and len(few) > 50
