@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .grid import MOST_STEPS
-
 
 def islands(df: DataFrame, keys: list[str], order: list[str], breaks: Column, name: str = "run_id") -> DataFrame:
     """``df`` with ``name``: how many rows up to this one in order begin a new run.
@@ -104,25 +102,28 @@ def gap_runs(grid: DataFrame, keys: list[str], at: str, value: str) -> DataFrame
     return marked.groupBy(*keys, "_run").agg(F.min(at).alias("gap_start"), F.max(at).alias("gap_end"), F.count("*").alias("gap_length")).drop("_run")
 
 
-def gaps_of_rows(rows: DataFrame, key: str, at: str, values: list[str], most: int = MOST_STEPS) -> DataFrame:
-    """The ``gap_runs`` of each of ``values`` (named in ``signal``) on the grid that ``grid.dense`` makes of ``rows``, without that grid.
+def gaps_of_rows(rows: DataFrame, key: str, at: str, values: list[str], most: int | None = None) -> DataFrame:
+    """The ``gap_runs`` of each of ``values`` (named in ``signal``) on the grid of all steps from a key's first row to its last, without that grid.
 
     ``at`` is the number of a step, unique per key. A gap lies between two rows with a value that follow each other, so
-    only the rows themselves are sorted, once for all values. Keys that span more than ``most`` steps have their own rows
-    alone for a grid. A null key or step is on no grid.
+    only the rows themselves are sorted, once for all values, however many steps lie between. With ``most``, the grid is
+    that of ``grid.dense``: keys that span more steps have their own rows alone. A null key or step is on no grid.
     """
     order = Window.partitionBy(key).orderBy(at)
     whole, before = Window.partitionBy(key), order.rowsBetween(Window.unboundedPreceding, -1)
-    held = rows.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, at, *[F.col(v).isNotNull().alias(v) for v in values])
-    held = held.withColumns({"_place": F.row_number().over(order).cast("long"), "_next": F.lead(at).over(order), "_prior": F.lag(at).over(order), "_wide": F.max(at).over(whole) - F.min(at).over(whole) > most})
-    last = {f"_last_{v}": F.last(F.when(F.col(v), F.struct(F.col(at).alias("at"), F.col("_place").alias("place"), F.col("_next").alias("next"))), ignorenulls=True).over(before) for v in values}
+    held = rows.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, at, *[F.when(F.col(v).isNotNull(), F.col(at)).alias(v) for v in values])
+    last = {f"_last_{v}": F.last(v, ignorenulls=True).over(before) for v in values}
+    if most is not None:
+        held = held.withColumns({"_place": F.row_number().over(order).cast("long"), "_next": F.lead(at).over(order), "_prior": F.lag(at).over(order), "_wide": F.max(at).over(whole) - F.min(at).over(whole) > most})
+        last |= {f"_row_{v}": F.last(F.when(F.col(v).isNotNull(), F.struct(F.col("_place").alias("place"), F.col("_next").alias("next"))), ignorenulls=True).over(before) for v in values}
     held = held.withColumns(last)
 
     def gap(v: str) -> Column:
-        own = lambda part: F.col(f"_last_{v}.{part}")
-        length = F.when(F.col("_wide"), F.col("_place") - own("place") - 1).otherwise(F.col(at) - own("at") - 1)
-        start, end = F.when(F.col("_wide"), own("next")).otherwise(own("at") + 1), F.when(F.col("_wide"), F.col("_prior")).otherwise(F.col(at) - 1)
-        return F.when(F.col(v) & (length > 0), F.struct(F.lit(v).alias("signal"), start.alias("gap_start"), end.alias("gap_end"), length.alias("gap_length")))
+        start, end, length = F.col(f"_last_{v}") + 1, F.col(at) - 1, F.col(at) - F.col(f"_last_{v}") - 1
+        if most is not None:
+            own = lambda rows, step: F.when(F.col("_wide"), rows).otherwise(step)
+            start, end, length = own(F.col(f"_row_{v}.next"), start), own(F.col("_prior"), end), own(F.col("_place") - F.col(f"_row_{v}.place") - 1, length)
+        return F.when(F.col(v).isNotNull() & (length > 0), F.struct(F.lit(v).alias("signal"), start.alias("gap_start"), end.alias("gap_end"), length.alias("gap_length")))
 
     return held.select(key, F.inline(F.array_compact(F.array(*[gap(v) for v in values]))))
 
