@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
-from ..operators import briefing, checks, grid, profile, retrieval, runs
+from ..operators import briefing, checks, profile, retrieval, runs
 from ..session import cut
 from .base import HOURLY_SQL, heard, hour_number, hourly, query, table
-from .series import _EPISODE_SQL, _GRID_SQL, _HOUR, _SCORE_SQL, _dense, _episodes, _scores, _w
+from .series import _EPISODE_SQL, _GRID_SQL, _HOUR, _SCORE_SQL, _WHOLE_GRID_SQL, _dense, _episodes, _scores, _w
 
 
 @query("""select p_partkey, p_name from part where contains(lower(p_name), 'red') and contains(lower(p_type), 'economy') order by p_partkey limit 50""")
@@ -83,11 +83,11 @@ def worst_episodes(spark, sf_dir):
     return briefing.first_of(_episodes(spark, sf_dir), ["user_id"], order, 20).select("user_id", "place", "rule_id", "t_start")
 
 
-@query(f"""with {_GRID_SQL}, m as (select user_id, {_HOUR} as hn, value is null as miss, min(case when value is not null then h end) over w as lo, max(case when value is not null then h end) over w as hi, h from dense window w as (partition by user_id)),
+@query(f"""with {_WHOLE_GRID_SQL}, m as (select user_id, {_HOUR} as hn, value is null as miss, min(case when value is not null then h end) over w as lo, max(case when value is not null then h end) over w as hi, h from dense window w as (partition by user_id)),
 r as (select *, sum(case when miss then 0 else 1 end) over (partition by user_id order by hn) as g from m where h between lo and hi), gaps as (select user_id, count(*) as n from r where miss group by user_id, g)
 select count(*) as n_gaps, quantile_cont(n, 0.5) as p50, round(quantile_cont(n, 0.9), 4) as p90, max(n) as longest, count(distinct case when n >= 10 then user_id end) as n_long_cases from gaps""")
 def gap_profile(spark, sf_dir):
-    gaps = cut(runs.gaps_of_rows(heard(spark, sf_dir), "user_id", "hn", ["value"], grid.MOST_STEPS).select("user_id", "gap_length"))
+    gaps = cut(runs.gaps_of_rows(heard(spark, sf_dir), "user_id", "hn", ["value"]).select("user_id", "gap_length"))
     shares = profile.percentiles(gaps, [], "gap_length", (50, 90))
     whole = gaps.agg(F.max("gap_length").alias("longest"), F.count_distinct(F.when(F.col("gap_length") >= 10, F.col("user_id"))).alias("n_long_cases"))
     return shares.join(F.broadcast(whole)).select(F.col("n").alias("n_gaps"), "p50", F.round("p90", 4).alias("p90"), "longest", "n_long_cases")

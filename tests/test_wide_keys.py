@@ -47,3 +47,10 @@ def test_facts_tell_gaps_of_any_length(spark, folder):
     assert inside == {1: "k, value", 2: "k, value", 3: "k, value", 4: "k", 5: ""}
     assert {u: f.partition(" Interior gaps: ")[2].rstrip(".") for u, f in zip(got["user_id"], got["facts"])} == inside
     assert not differences(got, by_sql("case_facts_with_gaps", folder))
+
+
+def test_profile_counts_gaps_of_any_length(spark, folder):
+    got = REGISTRY["gap_profile"].run(spark, folder).toPandas()
+    gaps = [n for found in lengths(0).values() for n in found]
+    assert (got["n_gaps"][0], got["longest"][0], got["n_long_cases"][0]) == (len(gaps), max(gaps), 2) == (3, 3 * MOST_STEPS - 1, 2)
+    assert not differences(got, by_sql("gap_profile", folder))
