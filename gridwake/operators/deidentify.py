@@ -45,6 +45,8 @@ _KINDS = {
     "date": rf"\b\d{{4}}-\d{{2}}-\d{{2}}\b|\b\d{{1,2}}/\d{{1,2}}/\d{{2,4}}\b|(?i:\b\d{{1,2}}(?:st|nd|rd|th)?\s+(?:of\s+)?{_MONTH}\s+\d{{4}}\b|\b{_MONTH}\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}\b)",
     "age": rf"(?i:(?:\bage:\s*|\baged\s+|\bage\s+of\s+)\d{{1,3}}(?:\.\d+)?(?![\d.]*\d)|(?<![\w.–-])\d{{1,3}}(?:\.\d+)?{_AGE_TAIL})",
 }
+#: Where any kind can begin: it holds at each match of _KINDS, and most places of a text are passed by it alone.
+_START = r"(?:(?<!\w)(?=[-/0-9A-FJMNOPSa-fjmnos])|(?=[A-Za-z]:\\))"
 _OPEN, _SHUT = "\u0001", "\u0002"
 
 
@@ -79,6 +81,11 @@ def _mapped(rows: DataFrame, table: DataFrame, key: str, source: str, target: st
     return rows.join(table.select(F.col(source).alias("_word"), F.col(target).alias("_to")), "_word").groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("_word", "_to"))).alias("_map"))
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with further columns that are computed once: a generator isn't merged into the functions of arrays that use them, which would compute them for each element."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def outbound(texts: DataFrame, key: str, text_col: str, aliases: DataFrame, case_col: str | None = None, anchors: DataFrame | None = None) -> DataFrame:
     """``texts`` with ``sent``, the text as it may leave.
 
@@ -87,36 +94,37 @@ def outbound(texts: DataFrame, key: str, text_col: str, aliases: DataFrame, case
     become their category, ages five-year bands, other times, dates and paths notes, and lines over LINES a count. A
     null text is empty. ``key`` is unique; other columns stay.
     """
-    every = "|".join(f"(?:{p})" for p in _KINDS.values())
-    rows = texts.withColumn("_parts", _cut(F.col(text_col), every))
+    every = _START + "(?:" + "|".join(f"(?:{p})" for p in _KINDS.values()) + ")"
     ids = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(ID), F.lit(0)))).alias("_word"))
-    rows = rows.join(_mapped(ids, aliases, key, "id", "alias"), key, "left")
-    if anchors is not None and case_col:
-        rows = rows.join(anchors.select(F.col("case").alias(case_col), F.col("at").alias("_at")), case_col, "left")
-    else:
-        rows = rows.withColumn("_at", F.lit(None).cast("timestamp"))
+    told_of = _mapped(ids, aliases, key, "id", "alias").withColumn("_at", F.lit(None).cast("timestamp"))
+    if anchors is not None and case_col:  # met by keys alone, so texts are dealt out once
+        at = texts.select(key, F.col(case_col).alias("case")).join(anchors.select("case", F.col("at").alias("_at")), "case").select(key, F.lit(None).cast(told_of.schema["_map"].dataType).alias("_map"), "_at")
+        told_of = told_of.unionByName(at).groupBy(key).agg(F.first("_map", True).alias("_map"), F.first("_at", True).alias("_at"))
+    rows = _once(texts.join(told_of, key, "left"), _parts=_cut(F.col(text_col), every))
     is_ = lambda t, kind: t.rlike(f"^(?:{_KINDS[kind]})")
 
-    def told(part: Column) -> Column:
-        t, tail = F.split_part(part, F.lit(_SHUT), F.lit(1)), F.split_part(part, F.lit(_SHUT), F.lit(2))
+    def told(t: Column, tail: Column) -> Column:
         stamp = F.try_to_timestamp(F.regexp_replace(F.regexp_extract(t, _STAMP, 0), "T", " "))
-        minutes = F.round((F.unix_micros(stamp) - F.unix_micros("_at")) / 6e7).cast("long")
-        signed = F.concat(F.when(stamp >= F.col("_at"), F.lit("+")).otherwise(F.lit("")), minutes.cast("string"))
+        since = F.array(F.unix_micros(stamp) - F.unix_micros("_at"))
+        minute = F.get(F.transform(since, lambda d: F.concat(F.lit("- minute "), F.when(d >= 0, F.lit("+")).otherwise(F.lit("")), F.round(d / 6e7).cast("long").cast("string"), F.lit(" from incision"))), F.lit(0))
         age = F.regexp_extract(t, r"(\d{1,3})(?:\.\d+)?", 1).cast("int")
         return (
-            F.when(t.rlike("^(- )?Procedure: "), F.concat(F.regexp_extract(t, "^(- )?", 0), F.lit("Procedure category: "), category(F.regexp_replace(t, "^(- )?Procedure: ", ""))))
-            .when(t.startswith("- ") & tail.startswith(": "), F.when(minutes.isNull(), "- time not sent").otherwise(F.concat(F.lit("- minute "), signed, F.lit(" from incision"))))
-            .when(t.rlike(r"^(?:/|[A-Za-z]:\\)"), NOT_SENT.format("path"))
-            .when(t.rlike(f"^{ID}$"), F.coalesce(F.try_element_at("_map", t), F.lit(NOT_SENT.format("case number"))))
-            .when(is_(t, "time"), NOT_SENT.format("time"))
+            F.when(t.startswith("Procedure: ") | t.startswith("- Procedure: "), F.concat(F.regexp_extract(t, "^(- )?", 0), F.lit("Procedure category: "), category(F.regexp_replace(t, "^(- )?Procedure: ", ""))))
+            .when(t.startswith("- ") & tail.startswith(": "), F.coalesce(minute, F.lit("- time not sent")))
+            .when(t.startswith("/") | t.rlike(r"^[A-Za-z]:\\"), NOT_SENT.format("path"))
+            .when(F.length(t).isin(13, 16) & t.rlike(f"^{ID}$"), F.coalesce(F.try_element_at("_map", t), F.lit(NOT_SENT.format("case number"))))
+            .when((F.contains(t, F.lit(":")) | F.contains(t, F.lit("h"))) & is_(t, "time"), NOT_SENT.format("time"))
             .when(is_(t, "date"), NOT_SENT.format("date"))
             .otherwise(F.concat(F.regexp_extract(t, r"^\D*", 0), age_band(age), F.regexp_replace(t, r"^\D*\d{1,3}(?:\.\d+)?", "")))
         )
 
-    rows = rows.withColumn("_told", F.transform(F.expr("slice(_parts, 2, greatest(size(_parts) - 1, 0))"), told))
+    part = lambda p: F.struct(F.substring_index(p, _SHUT, 1).alias("t"), F.substring_index(p, _SHUT, -1).alias("tail"))
+    rows = _once(rows, _found=F.transform(F.expr("slice(_parts, 2, greatest(size(_parts) - 1, 0))"), part))
+    rows = _once(rows, _told=F.transform("_found", lambda f: F.concat(told(f["t"], f["tail"]), f["tail"])))
+    rows = _once(rows, _sent=F.concat(F.get("_parts", F.lit(0)), F.array_join("_told", "")))
     lines = F.split("_sent", "\n")
     capped = F.when(F.size(lines) > LINES, F.concat(F.array_join(F.slice(lines, 1, LINES), "\n"), F.lit("\n["), (F.size(lines) - LINES).cast("string"), F.lit(" more lines not sent]"))).otherwise(F.col("_sent"))
-    return rows.withColumn("_sent", _joined("_parts", "_told")).withColumn("sent", capped).drop("_parts", "_told", "_map", "_at", "_sent")
+    return rows.withColumn("sent", capped).drop("_parts", "_found", "_told", "_map", "_at", "_sent")
 
 
 def inbound(texts: DataFrame, key: str, text_col: str, aliases: DataFrame) -> DataFrame:

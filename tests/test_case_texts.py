@@ -104,3 +104,11 @@ def test_less_than_half_a_minute_before_has_no_plus(spark):
     none = spark.createDataFrame([], "id string, alias string")
     sent = deidentify.outbound(texts, "key", "text", none, "case", anchors).first()["sent"]
     assert sent == "- minute 0 from incision: a\n- minute +0 from incision: b\n- minute -1 from incision: c"
+
+
+def test_a_text_with_many_matches_is_told_once(spark):
+    frame = spark.createDataFrame([(1, "c", "- 2016-03-01 09:30:00: x\n" + " ".join(["Aged 47 at 10:59", ONE, "of /a/b.xml"] * 700))], "id long, pid string, text string")
+    out = deidentify.outbound(frame, "id", "text", spark.createDataFrame([(ONE, "Case-A")], "id string, alias string"), "pid", spark.createDataFrame([("c", dt.datetime(2016, 3, 1, 9, 41))], "case string, at timestamp"))
+    plan = out.select("id", "sent")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Procedure category: ") == 1  # what a match becomes is computed in one place of the plan
+    assert out.first()["sent"] == "- minute -11 from incision: x\n" + " ".join(["Aged 45–49 at [time not sent]", "Case-A", "of [path not sent]"] * 700)
