@@ -1,7 +1,11 @@
 """Numbers of answers against those of their sources, and the join of bands that decides it."""
 
 import random
+from decimal import Decimal
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +91,77 @@ def test_bands_against_all_pairs(spark, n):
     got = band_join(spark.createDataFrame(bands, "i long, k long, low double, high double"), spark.createDataFrame(values, "j long, k long, v double"), ["k"], "low", "high", "v")
     want = sorted((i, j) for i, a, lo, hi in bands for j, b, v in values if a == b and None not in (lo, v) and lo <= v <= hi)
     assert sorted((r["i"], r["j"]) for r in got.collect()) == want
+
+
+ABOUT = "case long, value decimal(18,6), decimals int, negative boolean, hedged boolean, unit string, differs boolean, place int"
+
+
+def _random_numbers(draw, scopes, n):
+    units = ["", "%", "mmhg", "ml", "min", "other"]
+    some = lambda: draw.choice([0, 7, -3, 0.5, 12.345678, "999999999999.999999", round(draw.uniform(0, 120), draw.choice([0, 1, 2, 6]))])
+    rows = [(draw.choice([*range(scopes), None]), Decimal(str(some())), draw.choice([0, 1, 2, 6, 9]), False, draw.random() < 0.3, draw.choice(units), draw.random() < 0.5, i) for i in range(n)]
+    return [(c, v, d, v < 0, h, u, f, i) for c, v, d, _, h, u, f, i in rows]
+
+
+def _by_hand(claim, values):
+    """Whether a claim is grounded, by all values and pairs as fractions."""
+    _, x, decimals, negative, hedged, unit, differs, _ = claim
+    x, half = Fraction(x), Fraction(5, 10 ** (min(decimals, 6) + 1))
+    own = [Fraction(v) for v, u in values if u == unit]
+    every = [Fraction(v) for v, _ in values]
+    pool = own if unit in grounding.MEASURES and own else every
+    near = lambda v: (abs(v) >= abs(x) - half and abs(v) < abs(x) + half and (x - half <= v <= x + half or not negative and x > 0 and -x - half <= v <= half - x))
+    if any(near(v) or hedged and abs(v - x) <= max(2 * half, abs(x) / 20) for v in pool):
+        return True
+    if x < 0:
+        return False
+    if unit in ("%", "vol%"):
+        return x <= 100 and any(b > 0 and 0 <= a <= b and (x - half) * b <= 100 * a < (x + half) * b for a in every for b in every)
+    return unit != "" and (differs or unit in ("min", "sec", "hour")) and any(a < b and x - half <= b - a < x + half for a in own for b in own)
+
+
+def test_scopes_of_any_size_by_hand(spark):
+    draw = random.Random(5)
+    claims, sources = _random_numbers(draw, 12, 300), _random_numbers(draw, 12, 200)
+    want = {c[-1]: c[0] is not None and _by_hand(c, [(v[1], v[5]) for v in sources if v[0] == c[0]]) for c in claims}
+    assert 50 < sum(want.values()) < 250
+    frames = [spark.createDataFrame(rows, ABOUT) for rows in (claims, sources)]
+    for wide in (grounding.WIDE, 35, 0):  # each scope in one task, some dealt out, all dealt out
+        assert {r["place"]: r["grounded"] for r in grounding.grounded(*frames, ["case"], wide=wide).collect()} == want
+
+
+def test_scopes_that_span_batches(monkeypatch):
+    draw = random.Random(6)
+    claims, sources = _random_numbers(draw, 9, 200), _random_numbers(draw, 9, 200)
+    rows = sorted([(r[0] if r[0] is not None else -1, r, k) for k, rs in ((0, sources), (1, claims)) for r in rs], key=lambda r: r[0])
+    column = lambda f, kind: pa.array([f(r, k) for _, r, k in rows], kind)
+    table = pa.table({
+        "case": column(lambda r, k: r[0], pa.int64()),
+        "_claim": column(lambda r, k: {"place": r[7]} if k else None, pa.struct([("place", pa.int32())])),
+        "_x": column(lambda r, k: int(r[1] * grounding._SCALE), pa.int64()),
+        "_unit": column(lambda r, k: r[5], pa.string()),
+        "_decimals": column(lambda r, k: min(r[2], 6) if k else None, pa.int32()),
+        "_flags": column(lambda r, k: r[3] + 2 * r[4] + 4 * r[6] if k else None, pa.int32()),
+    })
+    told = []
+    for chunk, pairs in ((10**6, 10**6), (17, 40), (1, 1)):
+        monkeypatch.setattr(grounding, "CHUNK", chunk)
+        monkeypatch.setattr(grounding, "PAIRS", pairs)
+        out = pa.Table.from_batches(grounding._judged(iter(table.to_batches(max_chunksize=7)), ["case"]))
+        told.append(sorted((p["place"], g) for p, g in zip(out["_claim"].to_pylist(), out["grounded"].to_pylist(), strict=True)))
+    assert len(told[0]) == 200 and told[0] == told[1] == told[2]
+
+
+def test_percentages_beyond_64_bits():
+    b = np.array([2 * 10**18 - 1, 3, 10**18 + 7], np.int64)
+    x, half = np.array([200 * 10**6, 0, 33_333_333], np.int64), np.array([1, 10**6, 1000], np.int64)
+    low, high = grounding._share(x, half, b)
+    of = 100 * grounding._SCALE
+    want = [(max(-(-(i - h) * j // of), 0), min(-(-(i + h) * j // of) - 1, j)) for i, h, j in zip(x.tolist(), half.tolist(), b.tolist(), strict=True)]
+    assert list(zip(low.tolist(), high.tolist(), strict=True)) == want
+
+
+def test_pairs_of_a_scope_are_no_rows(spark):
+    answers, sources = _frames(spark)
+    judged = grounding.grounded(grounding.numbers(answers, "text"), grounding.numbers(sources, "text"), ["case"])
+    assert "Join" not in judged._jdf.queryExecution().optimizedPlan().toString()
