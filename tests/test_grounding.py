@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from gridwake.operators import grounding
 from gridwake.operators.bands import band_join
+from gridwake.plans import REGISTRY
+
+from .oracle import DATA
 
 CASES = [
     ("PIP reached 45 cmH2O", "PIP max 22.09 cmH2O", False),
@@ -165,3 +168,9 @@ def test_pairs_of_a_scope_are_no_rows(spark):
     answers, sources = _frames(spark)
     judged = grounding.grounded(grounding.numbers(answers, "text"), grounding.numbers(sources, "text"), ["case"])
     assert "Join" not in judged._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_answers_meet_their_marks_alone(spark):
+    kept = REGISTRY["answers_without_ungrounded"].run(spark, DATA)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "_bucket" not in plan  # texts with what is to go; no pairs of values
